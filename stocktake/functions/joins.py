@@ -22,11 +22,14 @@ def materialize_small(df: DataFrame, eager: bool = True) -> tuple[DataFrame, int
 
 def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner",
                  small_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only if its row count is known to be under ``max_rows``."""
-    if small_rows is None:
-        small, small_rows = materialize_small(small)
-    side = F.broadcast(small) if small_rows <= max_rows else small
-    return big.join(side, on=on, how=how)
+    """Broadcast ``small`` only if its row count is known to be under ``max_rows``.
+
+    Without a known count the join is left to AQE, which converts it to a broadcast
+    only when the measured size of the materialized side is under its threshold.
+    """
+    if small_rows is not None and small_rows <= max_rows:
+        return big.join(F.broadcast(small), on=on, how=how)
+    return big.join(small, on=on, how=how)
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:

@@ -23,6 +23,7 @@ from ..functions.names import clean_name, with_suffix
 DEFAULT_DEPTH = 8
 MAX_DEPTH = 256
 DEFAULT_MAX_COLUMNS = 20000
+INJECT_MARK = "@"
 
 
 class FlattenError(ValueError):
@@ -137,11 +138,14 @@ class ColumnPlan:
 
 
 def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column | None = None,
-             depth: int | None = None, max_columns: int = DEFAULT_MAX_COLUMNS) -> dict[tuple, list[ColumnPlan]]:
+             depth: int | None = None, max_columns: int = DEFAULT_MAX_COLUMNS,
+             inject: list[str] | None = None) -> dict[tuple, list[ColumnPlan]]:
     """One aggregate over the records: the wide columns per group of ``by``.
 
     Partial aggregation keeps the shuffle at one row per (task, path). If some records
     nest deeper than ``depth`` the pass is repeated deeper; nothing is cut off.
+    ``inject`` names top-level string fields supplied as columns (context such as the
+    parent's name); they are named and de-duplicated together with the record's keys.
     """
     by = list(by or [])
     if depth is None:
@@ -149,6 +153,12 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
     while True:
         leaves = leaf_rows(df.select(*by, v), v, by, depth, keep)
         kinds = leaves.groupBy(*by, "_j", "_p").agg(F.collect_set("_k").alias("kinds"))
+        if inject:
+            extra = (kinds.select(*by).distinct()
+                     .select(*by, F.explode(F.array(*[F.lit(n) for n in inject])).alias("_p"))
+                     .select(*by, F.concat(F.lit(INJECT_MARK), F.col("_p")).alias("_j"), "_p",
+                             F.array(F.lit(V.K_STR)).alias("kinds")))
+            kinds = kinds.unionByName(extra)
         plan = _plan_frame(kinds, by)
         rows = plan.collect()
         if any(r["deep"] for r in rows):
@@ -214,11 +224,14 @@ def estimate_depth(df: DataFrame, v: str) -> int:
     return max(best, 1) + (1 if "VARIANT" in schema else 0)
 
 
-def flatten_wide(df: DataFrame, v: str, plan: list[ColumnPlan], keep_cols: list[str] | None = None) -> DataFrame:
+def flatten_wide(df: DataFrame, v: str, plan: list[ColumnPlan], keep_cols: list | None = None,
+                 inject: dict[str, Column] | None = None) -> DataFrame:
     """One narrow projection: ``keep_cols`` plus one typed column per planned path."""
     keep_cols = list(keep_cols or [])
-    exprs = [V.extract(v, c.jpath, c.type, c.guard).alias(c.name) for c in plan]
-    return df.select(*[F.col(c) for c in keep_cols], *exprs)
+    inject = inject or {}
+    exprs = [(inject[c.path] if c.jpath.startswith(INJECT_MARK) else V.extract(v, c.jpath, c.type, c.guard))
+             .alias(c.name) for c in plan]
+    return df.select(*[F.col(c) if isinstance(c, str) else c for c in keep_cols], *exprs)
 
 
 def flatten(df: DataFrame, v: str, keep_cols: list[str] | None = None, keep: Column | None = None,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import TOKEN_FIELD
 from ..functions.joins import join_checked
@@ -20,33 +21,44 @@ DEFAULT_TS = "2024-01-01 00:00:00"
 def pack_pages(df: DataFrame, endpoint: str, list_key: str | None, page_no: Column, record: Column,
                order: Column, parent: Column | None = None, workspace: Column | str = "ws-main",
                status: Column | None = None, html: Column | None = None, token: bool = True,
+               end_here: Column | None = None, extra_fields: dict[str, str] | None = None,
                collected_at: str = DEFAULT_TS) -> DataFrame:
     """Group records into envelopes ``{list_key: [...], next_page_token?}``.
 
-    ``status`` / ``html`` are aggregates over a page's records (e.g. a max of a
-    flag) that mark it failed or give it a non-JSON body. ``list_key=None`` lands
-    each record as the page body itself (object listings).
+    ``status`` / ``html`` / ``end_here`` are aggregated over a page's records (a max)
+    and mark it failed, give it a non-JSON body, or drop its token although later
+    pages exist. ``extra_fields`` adds envelope fields (JSON text values).
+    ``list_key=None`` lands each record as the page body itself (object listings).
     """
     ws = F.lit(workspace) if isinstance(workspace, str) else workspace
     par = parent if parent is not None else F.lit(None).cast("string")
+    if not isinstance(df.select(record).schema.fields[0].dataType, (T.StructType, T.ArrayType, T.MapType)):
+        # scalar records: JSON text of a one-element array without its brackets
+        rec_json = F.regexp_extract(F.to_json(F.array(record)), r"^\[(.*)\]$", 1)
+    else:
+        rec_json = F.to_json(record)
     src = df.select(ws.alias("workspace"), par.cast("string").alias("parent"), page_no.cast("int").alias("page_no"),
-                    order.alias("_o"), F.to_json(record).alias("_r"),
+                    order.alias("_o"), rec_json.alias("_r"),
                     (status if status is not None else F.lit(200)).alias("_st"),
-                    (html if html is not None else F.lit(False)).alias("_html"))
+                    (html if html is not None else F.lit(False)).alias("_html"),
+                    (end_here if end_here is not None else F.lit(False)).alias("_end"))
     aggs = [F.sort_array(F.collect_list(F.struct(F.col("_o"), F.col("_r")))).alias("_rs")]
-    aggs += [F.max("_st").alias("status"), F.max(F.col("_html").cast("int")).alias("_html")]
+    aggs += [F.max("_st").alias("status"), F.max(F.col("_html").cast("int")).alias("_html"),
+             F.max(F.col("_end").cast("int")).alias("_end")]
     pages = src.groupBy("workspace", "parent", "page_no").agg(*aggs)
     last = pages.groupBy(F.col("workspace").alias("_w"), F.col("parent").alias("_p")) \
                 .agg(F.max("page_no").alias("_last"))
     on = (pages["workspace"].eqNullSafe(last["_w"])) & (pages["parent"].eqNullSafe(last["_p"]))
     pages = join_checked(pages, last, on)
     items = F.array_join(F.transform("_rs", lambda x: x["_r"]), ",")
-    tok = F.when(F.lit(token) & (F.col("page_no") < F.col("_last")),
+    tok = F.when(F.lit(token) & (F.col("page_no") < F.col("_last")) & (F.col("_end") == 0),
                  F.concat(F.lit(f',"{TOKEN_FIELD}":"p'), (F.col("page_no") + 1).cast("string"), F.lit('"')))
     if list_key is None:
         body = F.element_at(F.transform("_rs", lambda x: x["_r"]), 1)
     else:
-        body = F.concat(F.lit('{"' + list_key + '":['), items, F.lit("]"), F.coalesce(tok, F.lit("")), F.lit("}"))
+        extra = "".join(f',"{k}":{v}' for k, v in (extra_fields or {}).items())
+        body = F.concat(F.lit('{"' + list_key + '":['), items, F.lit("]" + extra), F.coalesce(tok, F.lit("")),
+                        F.lit("}"))
     body = F.when(F.col("_html") == 1, F.lit("<html><body>Service unavailable</body></html>")).otherwise(body)
     return pages.select("workspace", F.lit(endpoint).alias("endpoint"), "parent", "page_no",
                         F.col("status").cast("int").alias("status"),

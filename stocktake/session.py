@@ -30,6 +30,7 @@ def build_session(master: str = "local[8]", app: str = "stocktake",
     conf.update({
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.warehouse.dir": os.path.join(_scratch_root(), "warehouse"),
     })
