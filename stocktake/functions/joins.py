@@ -16,10 +16,24 @@ def materialize_small(df: DataFrame, eager: bool = True) -> tuple[DataFrame, int
     The reliable checkpoint cuts its lineage, so the count and the later join read
     the same rows without recomputing them, and an executor loss re-reads files.
     """
-    cp = df.checkpoint(eager=eager)
+    cp = checkpoint_once(df, eager)
     return cp, cp.count()
 
 
+def checkpoint_once(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint that computes ``df`` once.
+
+    An eager checkpoint runs one job to count and another to write; persisting first
+    lets the write read the computed blocks instead of recomputing the plan.
+    """
+    df = df.persist()
+    try:
+        return df.checkpoint(eager=eager)
+    finally:
+        if eager:
+            df.unpersist()
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner",
                  small_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``small`` only if its row count is known to be under ``max_rows``.

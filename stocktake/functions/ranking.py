@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_checked, materialize_small
+from .joins import checkpoint_once, join_checked, materialize_small
 
 DEFAULT_SALT_BUCKETS = 64
 
@@ -44,7 +44,7 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str], o
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
     # Reliable checkpoint: fixes partition ids and row ids, and survives executor loss.
-    s = s.checkpoint(eager=True)
+    s = checkpoint_once(s)
     s = s.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.coalesce(

@@ -13,7 +13,11 @@ K_OBJ, K_ARR, K_DEEP = "O", "A", "X"    # markers: container seen / container le
 
 def kind_of(v: Column) -> Column:
     """Kind code of a scalar variant (containers give their marker)."""
-    s = F.schema_of_variant(v)
+    return kind_from_schema(F.schema_of_variant(v))
+
+
+def kind_from_schema(s: Column) -> Column:
+    """Kind code from a ``schema_of_variant`` string (computed once, in its own column)."""
     return (F.when(s == "BIGINT", K_INT)
             .when(s.isin("INT", "SMALLINT", "TINYINT"), K_INT)
             .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), K_NUM)

@@ -21,6 +21,7 @@ from ..functions import variant as V
 from ..functions.names import clean_name, with_suffix
 
 DEFAULT_DEPTH = 8
+FIRST_DEPTH = 3          # first guess; deeper records trigger one more, deeper pass
 MAX_DEPTH = 256
 DEFAULT_MAX_COLUMNS = 20000
 INJECT_MARK = "@"
@@ -50,44 +51,57 @@ def _start(df: DataFrame, v: str, ids: list[str], keep: Column | None) -> DataFr
 def _step(df: DataFrame, ids: list[str], with_keep: bool) -> DataFrame:
     """Expand every container row by one level; leaves and markers pass through.
 
-    Two ``posexplode_outer`` generators (arrays, then objects as key/value entries),
-    both code-generated; position 0 of each carries the container marker, so empty
-    containers leave only their marker and vanish from the leaves.
+    Two code-generated generators: ``posexplode_outer`` over a slot array (arrays:
+    marker + elements; objects: marker + one slot for their entries), then
+    ``explode_outer`` of the object's map in that slot. Slot 0 carries the container
+    marker, so an empty container leaves only its marker and vanishes from the leaves.
     """
     p, j, v, k = F.col("_p"), F.col("_j"), F.col("_v"), F.col("_k")
-    keep_cols = [F.col(c) for c in ids] + [F.col("_keep"), p, j, v, k]
-    m = F.when(k.isNull(), F.try_variant_get(v, "$", "map<string,variant>"))
-    df = df.select(*keep_cols, m.alias("_m"))
+    base = [F.col(c) for c in ids] + [F.col("_keep"), p, j, v, k]
+    df = df.select(*base, F.when(k.isNull(), F.try_variant_get(v, "$", "map<string,variant>")).alias("_m"))
+    null_v = F.lit(None).cast("variant")
     a = F.when(k.isNull() & F.col("_m").isNull(), F.try_variant_get(v, "$", "array<variant>"))
-    arr = F.when(a.isNotNull(), F.concat(F.array(F.lit(None).cast("variant")), a))
-    df = df.select(*keep_cols, "_m", F.posexplode_outer(arr).alias("_ai", "_av"))
-    ent = F.when(F.col("_m").isNotNull(),
-                 F.concat(F.array(F.lit(None).cast("struct<key:string,value:variant>")), F.map_entries("_m")))
-    df = df.select(*keep_cols, "_ai", "_av", F.posexplode_outer(ent).alias("_mi", "_me"))
-
-    ai, mi = F.col("_ai"), F.col("_mi")
-    key, val = F.col("_me.key"), F.col("_me.value")
+    slots = (F.when(F.col("_m").isNotNull(), F.array(null_v, null_v))
+              .otherwise(F.when(a.isNotNull(), F.concat(F.array(null_v), a))))
+    df = df.select(*base, "_m", F.posexplode_outer(slots).alias("_ai", "_av"))
+    is_obj = F.col("_m").isNotNull()
+    entries = F.when(is_obj & (F.col("_ai") == 1), F.col("_m"))
+    df = df.select(*base, "_ai", "_av", is_obj.alias("_obj"), F.explode_outer(entries).alias("_key", "_val"))
+    ai, obj, key, val = F.col("_ai"), F.col("_obj"), F.col("_key"), F.col("_val")
+    # an empty object's entry slot produces one row without a key: drop it
+    df = df.where(~(obj & (ai == 1) & key.isNull()))
+    # schema strings computed once per row in their own columns (kind tests reuse them)
+    scalar_row = k.isNull() & ai.isNull()
+    sv_cols = [F.schema_of_variant(F.when(scalar_row, v)).alias("_sv")]
+    if with_keep:
+        sv_cols.append(F.schema_of_variant(F.when(obj & (ai == 1) & F.col("_keep").isNotNull() & (p == ""), val))
+                       .alias("_sval"))
+    df = df.select("*", *sv_cols)
+
+    marker = (ai == 0)
+    arr_child = ~obj & (ai > 0)
+    obj_child = obj & (ai == 1)
     idx = V.index_step(ai - 1)
-    # object child
-    o_p, o_j, o_v, o_k = _child_path(p, key), F.concat(j, V.key_step(key)), val, F.lit(None).cast("string")
+    o_p, o_j, o_k = _child_path(p, key), F.concat(j, V.key_step(key)), F.lit(None).cast("string")
     if with_keep:
         # Keep-list projection on the record's own keys: containers become <key>_json text,
         # listed scalars keep their kind, the other scalars become text.
         keep = F.col("_keep")
         on = keep.isNotNull() & (p == "")
-        cont = V.is_container(val)
+        kind = V.kind_from_schema(F.col("_sval"))
+        cont = F.col("_sval").startswith("OBJECT") | F.col("_sval").startswith("ARRAY")
         kept_kind = (F.when(cont, F.lit(V.K_JSON))
-                     .when((F.size(keep) == 0) | F.array_contains(keep, key), V.kind_of(val))
+                     .when((F.size(keep) == 0) | F.array_contains(keep, key), kind)
                      .otherwise(F.lit(V.K_FORCE_STR)))
         o_p = F.when(on & cont, F.concat(key, F.lit(JSON_SUFFIX))).otherwise(o_p)
         o_k = F.when(on, kept_kind).otherwise(o_k)
-    null_v = F.lit(None).cast("variant")
-    new_p = F.when(k.isNotNull() | (ai == 0) | (mi == 0), p).when(ai > 0, F.concat(p, idx)).when(mi > 0, o_p).otherwise(p)
-    new_j = F.when(k.isNotNull() | (ai == 0) | (mi == 0), j).when(ai > 0, F.concat(j, idx)).when(mi > 0, o_j).otherwise(j)
-    new_v = F.when(k.isNotNull(), v).when((ai == 0) | (mi == 0), null_v).when(ai > 0, F.col("_av")) \
-             .when(mi > 0, o_v).otherwise(v)
-    new_k = (F.when(k.isNotNull(), k).when(ai == 0, F.lit(V.K_ARR)).when(mi == 0, F.lit(V.K_OBJ))
-             .when(ai > 0, F.lit(None).cast("string")).when(mi > 0, o_k).otherwise(V.kind_of(v)))
+    new_p = F.when(arr_child, F.concat(p, idx)).when(obj_child, o_p).otherwise(p)
+    new_j = F.when(arr_child, F.concat(j, idx)).when(obj_child, o_j).otherwise(j)
+    new_v = (F.when(k.isNotNull(), v).when(marker, null_v).when(arr_child, F.col("_av"))
+             .when(obj_child, val).otherwise(v))
+    new_k = (F.when(k.isNotNull(), k).when(marker & obj, F.lit(V.K_OBJ)).when(marker, F.lit(V.K_ARR))
+             .when(arr_child, F.lit(None).cast("string")).when(obj_child, o_k)
+             .otherwise(V.kind_from_schema(F.col("_sv"))))
     return df.select(*[F.col(c) for c in ids], new_p.alias("_p"), new_j.alias("_j"), new_v.alias("_v"),
                      new_k.alias("_k"), F.col("_keep"))
 
@@ -117,14 +131,16 @@ def flatten_long(df: DataFrame, v: str, ids: list[str], depth: int | None = None
 
 
 def required_depth(df: DataFrame, v: str, ids: list[str], keep: Column | None = None) -> int:
-    depth = estimate_depth(df, v)
+    """Levels needed so that no container is left unexpanded."""
+    depth = FIRST_DEPTH
     while True:
-        deep = leaf_rows(df.select(*ids, v), v, ids, depth, keep).where(F.col("_k") == V.K_DEEP)
-        if deep.isEmpty():
+        deep = (leaf_rows(df.select(*ids, v), v, ids, depth, keep).where(F.col("_k") == V.K_DEEP)
+                .agg(F.count(F.lit(1)).alias("n"), F.schema_of_variant_agg(F.col("_v")).alias("s")).first())
+        if not deep["n"]:
             return depth
         if depth >= MAX_DEPTH:
             raise FlattenError(f"records nest deeper than {MAX_DEPTH} levels")
-        depth = min(depth * 2, MAX_DEPTH)
+        depth = min(depth + max(schema_depth(deep["s"]), 1), MAX_DEPTH)
 
 
 @dataclass(frozen=True)
@@ -139,35 +155,45 @@ class ColumnPlan:
 
 def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column | None = None,
              depth: int | None = None, max_columns: int = DEFAULT_MAX_COLUMNS,
-             inject: list[str] | None = None) -> dict[tuple, list[ColumnPlan]]:
+             inject: list[str] | None = None, counts_out: dict | None = None) -> dict[tuple, list[ColumnPlan]]:
     """One aggregate over the records: the wide columns per group of ``by``.
 
     Partial aggregation keeps the shuffle at one row per (task, path). If some records
     nest deeper than ``depth`` the pass is repeated deeper; nothing is cut off.
     ``inject`` names top-level string fields supplied as columns (context such as the
     parent's name); they are named and de-duplicated together with the record's keys.
+    ``counts_out`` receives the number of records per group (same pass).
     """
     by = list(by or [])
-    if depth is None:
-        depth = estimate_depth(df, v)
+    depth = depth or FIRST_DEPTH
     while True:
         leaves = leaf_rows(df.select(*by, v), v, by, depth, keep)
-        kinds = leaves.groupBy(*by, "_j", "_p").agg(F.collect_set("_k").alias("kinds"))
+        kinds = leaves.groupBy(*by, "_j", "_p").agg(
+            F.collect_set("_k").alias("kinds"),
+            # every record has exactly one row at the root path: its count comes for free
+            F.count(F.lit(1)).alias("_rows"),
+            # shape of whatever is still unexpanded: tells how much deeper to go
+            F.schema_of_variant_agg(F.when(F.col("_k") == V.K_DEEP, F.col("_v"))).alias("_deep_schema"))
         if inject:
             extra = (kinds.select(*by).distinct()
                      .select(*by, F.explode(F.array(*[F.lit(n) for n in inject])).alias("_p"))
                      .select(*by, F.concat(F.lit(INJECT_MARK), F.col("_p")).alias("_j"), "_p",
-                             F.array(F.lit(V.K_STR)).alias("kinds")))
+                             F.array(F.lit(V.K_STR)).alias("kinds"), F.lit(0).cast("long").alias("_rows"),
+                             F.lit(None).cast("string").alias("_deep_schema")))
             kinds = kinds.unionByName(extra)
-        plan = _plan_frame(kinds, by)
-        rows = plan.collect()
-        if any(r["deep"] for r in rows):
-            if depth >= MAX_DEPTH:
-                raise FlattenError(f"records nest deeper than {MAX_DEPTH} levels")
-            depth = min(depth * 2, MAX_DEPTH)
-            continue
-        break
+        rows = _plan_frame(kinds, by).collect()
+        deep = [r["_deep_schema"] for r in rows if r["deep"]]
+        if not deep:
+            break
+        if depth >= MAX_DEPTH:
+            raise FlattenError(f"records nest deeper than {MAX_DEPTH} levels")
+        depth = min(depth + max(max(schema_depth(x) for x in deep), 1), MAX_DEPTH)
     out: dict[tuple, list[ColumnPlan]] = {}
+    if counts_out is not None:
+        for r in rows:
+            if r["_j"] == "$":
+                g = tuple(r[c] for c in by)
+                counts_out[g] = counts_out.get(g, 0) + int(r["_rows"])
     for r in rows:
         if not r["is_column"]:
             continue
@@ -202,14 +228,13 @@ def _plan_frame(kinds: DataFrame, by: list[str]) -> DataFrame:
                                         with_suffix(F.col("clean"), F.row_number().over(w) - 1)))
 
 
-def estimate_depth(df: DataFrame, v: str) -> int:
-    """Nesting depth from the merged variant schema (one cheap aggregate).
+def schema_depth(schema: str | None) -> int:
+    """Nesting depth of a variant schema string (OBJECT<..>/ARRAY<..> levels).
 
-    Mixed arrays merge to VARIANT and hide their depth; the deep-marker check in
-    ``discover`` then repeats the pass deeper, so an estimate that is too low costs
-    time, never rows.
+    Mixed arrays merge to VARIANT and hide their depth: one more level is added, and
+    any container still left unexpanded triggers another, deeper pass.
     """
-    schema = df.select(F.schema_of_variant_agg(F.col(v)).alias("s")).first()["s"] or ""
+    schema = schema or ""
     depth = best = 0
     i = 0
     while i < len(schema):
@@ -221,7 +246,13 @@ def estimate_depth(df: DataFrame, v: str) -> int:
         if schema[i] == ">":
             depth -= 1
         i += 1
-    return max(best, 1) + (1 if "VARIANT" in schema else 0)
+    return best + (1 if "VARIANT" in schema else 0)
+
+
+def estimate_depth(df: DataFrame, v: str) -> int:
+    """Nesting depth from the merged variant schema (one cheap aggregate)."""
+    schema = df.select(F.schema_of_variant_agg(F.col(v)).alias("s")).first()["s"]
+    return max(schema_depth(schema), 1)
 
 
 def flatten_wide(df: DataFrame, v: str, plan: list[ColumnPlan], keep_cols: list | None = None,

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import COLLECTED_AT, EMPTY_PLACEHOLDER_COLUMN, WORKSPACE
+
+# Column marking a placeholder that must be written even though it has no rows.
+EMPTY_MARK = "__placeholder"
 from ..sources.registry import keep_fields_col
 from .flatten import DEFAULT_MAX_COLUMNS, discover, flatten_wide
 
@@ -32,7 +35,7 @@ def empty_raw(spark: SparkSession, collected_at=None, workspace: str | None = No
 
 def shape_records(records: DataFrame, by: list[str] | None = None, keep: Column | None | bool = True,
                   inject: dict[str, Column] | None = None, prefix: str = "", provenance: bool = True,
-                  max_columns: int = DEFAULT_MAX_COLUMNS) -> dict[tuple, DataFrame]:
+                  max_columns: int = DEFAULT_MAX_COLUMNS, counts_out: dict | None = None) -> dict[tuple, DataFrame]:
     """One wide DataFrame per group of ``by`` (default: per endpoint).
 
     ``keep=True`` applies the per-type keep-lists (types without one are flattened
@@ -46,8 +49,17 @@ def shape_records(records: DataFrame, by: list[str] | None = None, keep: Column
     elif keep is False:
         keep = None
     inject = inject or {}
-    plans = discover(records, "rec", by=by, keep=keep, max_columns=max_columns, inject=list(inject))
+    found: dict = {}
+    plans = discover(records, "rec", by=by, keep=keep, max_columns=max_columns, inject=list(inject),
+                     counts_out=found)
+    if counts_out is not None:
+        for g, n in found.items():
+            counts_out[g] = counts_out.get(g, 0) + n
     out = {}
+    # Records that flatten to nothing (all `{}`): a zero-row placeholder table.
+    for g, n in found.items():
+        if n and g not in plans:
+            out[g] = empty_raw(records.sparkSession).withColumn(EMPTY_MARK, F.lit(True))
     for g, plan in plans.items():
         cond = None
         for c, val in zip(by, g):

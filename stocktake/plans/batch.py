@@ -11,7 +11,7 @@ from ..fixed_values import (COUNTER_KEYS, INJECTED_CHILD_FIELD, INJECTED_TABLE_F
                             SCHEMA_KEY, TABLE_KEY)
 from ..operators.hierarchy import catalog_scan, child_rows
 from ..operators.shape import add_provenance, shape_records
-from ..operators.summary import build_summary, count_rows, ordered_summary
+from ..operators.summary import build_summary, ordered_summary
 from ..sinks.tables import InventorySink, drop_matching
 from ..sources.landing import landed_records
 from ..sources.registry import keep_fields_col, resolved_registry
@@ -45,14 +45,15 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
                          reg.where(F.col("parent_key").isNull()), policy)
     inv = Inventory()
     record_sets = [top.select("endpoint", "collected_at", "workspace", "rec")]
-    for r in shape_records(top, keep=True, prefix=prefix).items():
+    found: dict = {}            # records per endpoint, counted by the discovery pass
+    for r in shape_records(top, keep=True, prefix=prefix, counts_out=found).items():
         inv.raw[r[0][0]] = r[1]
 
     for c in child_cfg:
         parents = top.where(F.col("endpoint") == c["parent_key"])
         kids = child_rows(parents, pages.where(F.col("endpoint") == c["key"]), c["list_key"],
                           paginate=c["paginate"], page_cap=c["page_cap"])
-        shaped = shape_records(kids, keep=True, prefix=prefix,
+        shaped = shape_records(kids, keep=True, prefix=prefix, counts_out=found,
                                inject={INJECTED_CHILD_FIELD: F.col(INJECTED_CHILD_FIELD)})
         for g, df in shaped.items():
             inv.raw[g[0]] = df
@@ -65,7 +66,7 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
 
     # Counted keys: every enabled endpoint (0 when nothing came back); child endpoints
     # only when their parent listing had rows, as children are fetched per parent.
-    counts = count_rows(records)
+    counts = spark.createDataFrame([(g[0], n) for g, n in found.items()], "key string, count long")
     keys = spark.createDataFrame([(r["key"], r["parent_key"]) for r in reg_rows], "key string, parent_key string")
     per_key = keys.join(F.broadcast(counts.withColumnRenamed("key", "_k")), F.col("key") == F.col("_k"), "left")
     parent_counts = counts.select(F.col("key").alias("_pk"), F.col("count").alias("_pc"))

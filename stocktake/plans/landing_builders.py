@@ -46,10 +46,15 @@ def pack_pages(df: DataFrame, endpoint: str, list_key: str | None, page_no: Colu
     aggs += [F.max("_st").alias("status"), F.max(F.col("_html").cast("int")).alias("_html"),
              F.max(F.col("_end").cast("int")).alias("_end")]
     pages = src.groupBy("workspace", "parent", "page_no").agg(*aggs)
-    last = pages.groupBy(F.col("workspace").alias("_w"), F.col("parent").alias("_p")) \
-                .agg(F.max("page_no").alias("_last"))
-    on = (pages["workspace"].eqNullSafe(last["_w"])) & (pages["parent"].eqNullSafe(last["_p"]))
-    pages = join_checked(pages, last, on)
+    if parent is None and isinstance(workspace, str):
+        # a single listing: its last page is one number
+        last_no = src.agg(F.max("page_no")).first()[0]
+        pages = pages.withColumn("_last", F.lit(last_no))
+    else:
+        last = pages.groupBy(F.col("workspace").alias("_w"), F.col("parent").alias("_p")) \
+                    .agg(F.max("page_no").alias("_last"))
+        on = (pages["workspace"].eqNullSafe(last["_w"])) & (pages["parent"].eqNullSafe(last["_p"]))
+        pages = join_checked(pages, last, on)
     items = F.array_join(F.transform("_rs", lambda x: x["_r"]), ",")
     tok = F.when(F.lit(token) & (F.col("page_no") < F.col("_last")) & (F.col("_end") == 0),
                  F.concat(F.lit(f',"{TOKEN_FIELD}":"p'), (F.col("page_no") + 1).cast("string"), F.lit('"')))

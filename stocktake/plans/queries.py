@@ -8,6 +8,8 @@ of every query grows with its tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -362,15 +364,15 @@ def q_evolve_append(spark, d):
     ensure_schema(spark, CHECK_SCHEMA)
     sink = InventorySink(spark, CHECK_SCHEMA, raw_mode="append")
     o = _t(spark, d, "orders")
-    ident = sink.table("orders_evolve")
+    key = f"orders_evolve_{uuid.uuid4().hex[:12]}"
     first = o.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice")
-    sink.write_raw("orders_evolve", first, mode="overwrite")
+    sink.write_raw(key, first, mode="overwrite")
     second = o.where(F.col("o_orderstatus") == "O").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    sink.write_raw("orders_evolve", second, mode="append")
+    sink.write_raw(key, second, mode="append")
     third = o.where(F.col("o_orderstatus") == "P").select("o_orderkey", F.col("o_custkey").cast("string"),
                                                           "o_totalprice", "o_orderpriority")
-    sink.write_raw("orders_evolve", third, mode="append")
-    return spark.table(ident)
+    sink.write_raw(key, third, mode="append")
+    return spark.table(sink.table(key))
 
 
 def q_stream_equals_batch(spark, d):
@@ -381,7 +383,7 @@ def q_stream_equals_batch(spark, d):
                        parent=F.floor(F.col("event_id") / 1000).cast("string"))
     land = shared_path(spark, "landing")
     pages.repartition(8, "parent").write.mode("overwrite").json(land)
-    schema = f"stocktake_stream_{abs(hash(land)) % 10**8}"
+    schema = f"stocktake_stream_{uuid.uuid4().hex[:12]}"
     ensure_schema(spark, schema)
     sink = InventorySink(spark, schema, raw_mode="append")
     q = stream_raw(spark, land, shared_path(spark, "stream-checkpoint"), sink=sink, max_files_per_trigger=2)

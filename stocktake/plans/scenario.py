@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import SCHEMA_KEY, TABLE_KEY
+from ..session import shared_path
+from ..sources.landing import read_pages
 from .landing_builders import pack_pages
 
 WORKSPACE_NAME = "ws-main"
@@ -43,7 +45,14 @@ def table_type_of(segment) -> F.Column:
             .otherwise(F.lit("MATERIALIZED_VIEW")))
 
 
+_LANDED: dict[tuple, str] = {}
+
+
 def landing(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The derived landing; written once per session and table folder, then re-read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if materialize and key in _LANDED:
+        return read_pages(spark, _LANDED[key])
     t = lambda n: read_table(spark, sf_dir, n)
     orders, lineitem, customer, part = t("orders"), t("lineitem"), t("customer"), t("part")
     events, supplier, nation, region = t("events"), t("supplier"), t("nation"), t("region")
@@ -108,9 +117,14 @@ def landing(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataF
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # Written once to the shared checkpoint folder: every later job reads these files
-    # (as it would read a real landing) instead of re-deriving the pages.
-    return out.checkpoint(eager=True) if materialize else out
+    if not materialize:
+        return out
+    # Landed once as parquet in the shared folder, partitioned by endpoint like a real
+    # landing: later jobs read columnar files and endpoint filters prune whole folders.
+    path = shared_path(spark, "landing")
+    out.write.mode("overwrite").partitionBy("endpoint").parquet(path)
+    _LANDED[key] = path
+    return read_pages(spark, path)
 
 
 def mounts(spark: SparkSession, sf_dir: str) -> DataFrame:

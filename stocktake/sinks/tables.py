@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..fixed_values import COLLECTED_AT, RAW_TABLE_PREFIX, SUMMARY_TABLE, WORKSPACE
 from ..functions.names import quote_ident, table_name
-from ..operators.shape import empty_raw
+from ..operators.shape import EMPTY_MARK, empty_raw
 
 BATCH_COL = "_batch_id"
 
@@ -114,6 +114,12 @@ class InventorySink:
         """Write one raw table (K1-K5). Returns False when an empty dataset was skipped."""
         mode = mode or self.raw_mode
         ident = self.table(key)
+        if EMPTY_MARK in df.columns:
+            # records that all flattened to nothing: the zero-row placeholder is written
+            # (an existing table in append mode keeps its schema)
+            if mode == "overwrite" or not self.exists(ident):
+                self._overwrite(ident, df.drop(EMPTY_MARK))
+            return True
         if df.isEmpty():
             if self.skip_empty:
                 return False
