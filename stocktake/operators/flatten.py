@@ -21,7 +21,7 @@ from ..functions import variant as V
 from ..functions.names import clean_name, with_suffix
 
 DEFAULT_DEPTH = 8
-FIRST_DEPTH = 3          # first guess; deeper records trigger one more, deeper pass
+FIRST_DEPTH = 2          # first guess; deeper records trigger one more, deeper pass
 MAX_DEPTH = 256
 DEFAULT_MAX_COLUMNS = 20000
 INJECT_MARK = "@"
@@ -70,37 +70,38 @@ def _step(df: DataFrame, ids: list[str], with_keep: bool) -> DataFrame:
     ai, obj, key, val = F.col("_ai"), F.col("_obj"), F.col("_key"), F.col("_val")
     # an empty object's entry slot produces one row without a key: drop it
     df = df.where(~(obj & (ai == 1) & key.isNull()))
-    # schema strings computed once per row in their own columns (kind tests reuse them)
+    # Schema strings computed once per row, in their own columns: a scalar child gets its
+    # kind right away (so n nesting levels need n steps); a container child is expanded
+    # by the next step.
     scalar_row = k.isNull() & ai.isNull()
-    sv_cols = [F.schema_of_variant(F.when(scalar_row, v)).alias("_sv")]
-    if with_keep:
-        sv_cols.append(F.schema_of_variant(F.when(obj & (ai == 1) & F.col("_keep").isNotNull() & (p == ""), val))
-                       .alias("_sval"))
-    df = df.select("*", *sv_cols)
+    child_val = F.when(~obj & (ai > 0), F.col("_av")).when(obj & (ai == 1), val)
+    df = df.select("*", F.schema_of_variant(F.when(scalar_row, v)).alias("_sv"),
+                   F.schema_of_variant(child_val).alias("_sc"))
+    sc = F.col("_sc")
+    child_cont = sc.startswith("OBJECT") | sc.startswith("ARRAY")
+    child_kind = F.when(~child_cont, V.kind_from_schema(sc))
 
     marker = (ai == 0)
     arr_child = ~obj & (ai > 0)
     obj_child = obj & (ai == 1)
     idx = V.index_step(ai - 1)
-    o_p, o_j, o_k = _child_path(p, key), F.concat(j, V.key_step(key)), F.lit(None).cast("string")
+    o_p, o_j, o_k = _child_path(p, key), F.concat(j, V.key_step(key)), child_kind
     if with_keep:
         # Keep-list projection on the record's own keys: containers become <key>_json text,
         # listed scalars keep their kind, the other scalars become text.
         keep = F.col("_keep")
         on = keep.isNotNull() & (p == "")
-        kind = V.kind_from_schema(F.col("_sval"))
-        cont = F.col("_sval").startswith("OBJECT") | F.col("_sval").startswith("ARRAY")
-        kept_kind = (F.when(cont, F.lit(V.K_JSON))
-                     .when((F.size(keep) == 0) | F.array_contains(keep, key), kind)
+        kept_kind = (F.when(child_cont, F.lit(V.K_JSON))
+                     .when((F.size(keep) == 0) | F.array_contains(keep, key), V.kind_from_schema(sc))
                      .otherwise(F.lit(V.K_FORCE_STR)))
-        o_p = F.when(on & cont, F.concat(key, F.lit(JSON_SUFFIX))).otherwise(o_p)
+        o_p = F.when(on & child_cont, F.concat(key, F.lit(JSON_SUFFIX))).otherwise(o_p)
         o_k = F.when(on, kept_kind).otherwise(o_k)
     new_p = F.when(arr_child, F.concat(p, idx)).when(obj_child, o_p).otherwise(p)
     new_j = F.when(arr_child, F.concat(j, idx)).when(obj_child, o_j).otherwise(j)
     new_v = (F.when(k.isNotNull(), v).when(marker, null_v).when(arr_child, F.col("_av"))
              .when(obj_child, val).otherwise(v))
     new_k = (F.when(k.isNotNull(), k).when(marker & obj, F.lit(V.K_OBJ)).when(marker, F.lit(V.K_ARR))
-             .when(arr_child, F.lit(None).cast("string")).when(obj_child, o_k)
+             .when(arr_child, child_kind).when(obj_child, o_k)
              .otherwise(V.kind_from_schema(F.col("_sv"))))
     return df.select(*[F.col(c) for c in ids], new_p.alias("_p"), new_j.alias("_j"), new_v.alias("_v"),
                      new_k.alias("_k"), F.col("_keep"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import (CATALOG_SCAN_LIST_KEYS, COUNTER_KEYS, INJECTED_CHILD_FIELD, INJECTED_TABLE_FIELDS, LEGACY_CATALOG,
                             SCHEMA_KEY, TABLE_KEY, TABLE_TYPE_EXTERNAL, TABLE_TYPE_MANAGED)
-from ..functions.joins import join_checked
+from ..functions.joins import checkpoint_once, join_checked, materialize_small
 from ..functions.ranking import top_n_per_group
 from ..sources.landing import apply_page_rules, cap_pages, page_flags, unnest
 
@@ -41,9 +41,15 @@ def select_catalogs(catalog_records: DataFrame, allowlist: list[str] | None = No
 
 
 def _catalog_scan_pages(pages: DataFrame, endpoint: str, parents: DataFrame, parent_col: str) -> DataFrame:
-    """Pages of one catalog-scan endpoint whose parent was selected (one row per selection)."""
+    """Pages of one catalog-scan endpoint whose parent was selected (one row per selection).
+
+    The selection (one narrow row per catalog or schema) is written to the shared
+    checkpoint folder and counted; under the row limit it is broadcast, so the page
+    bodies are never shuffled for this join.
+    """
     p = pages.where(F.col("endpoint") == endpoint)
-    return join_checked(p, parents.select(F.col(parent_col).alias("_sel")), F.col("parent") == F.col("_sel"))
+    sel, n = materialize_small(parents.select(F.col(parent_col).alias("_sel")))
+    return join_checked(p, sel, F.col("parent") == F.col("_sel"), small_rows=n)
 
 
 def select_schemas(pages: DataFrame, catalogs: DataFrame, limit: int = 0,
@@ -61,7 +67,9 @@ def select_schemas(pages: DataFrame, catalogs: DataFrame, limit: int = 0,
                       record_field("name").alias("schema_name"))
     out = out.where(F.col("schema_name").isNotNull())
     out = top_n_per_group(out, ["workspace", "catalog_name"], ["schema_name"], limit)
-    return out.withColumn("full_name", F.concat_ws(".", "catalog_name", "schema_name"))
+    out = out.withColumn("full_name", F.concat_ws(".", "catalog_name", "schema_name"))
+    # one small row per schema, read by the table scan, the counters and the raw table
+    return checkpoint_once(out)
 
 
 def select_tables(pages: DataFrame, schemas: DataFrame, endpoint: str = TABLE_KEY) -> DataFrame:
@@ -76,9 +84,9 @@ def select_tables(pages: DataFrame, schemas: DataFrame, endpoint: str = TABLE_KE
     listing = ["workspace", "endpoint", "parent", "_sel"]
     kept = apply_page_rules(p, "prefix", listing=listing)
     recs = unnest(kept, CATALOG_SCAN_LIST_KEYS[endpoint])
-    sch = schemas.select(F.col("full_name").alias("_fn"), F.col("catalog_name").alias("_catalog"),
-                         F.col("schema_name").alias("_schema")).distinct()
-    recs = join_checked(recs, sch, F.col("parent") == F.col("_fn")).drop("_fn")
+    sch, n = materialize_small(schemas.select(F.col("full_name").alias("_fn"), F.col("catalog_name").alias("_catalog"),
+                                              F.col("schema_name").alias("_schema")).distinct())
+    recs = join_checked(recs, sch, F.col("parent") == F.col("_fn"), small_rows=n).drop("_fn")
     return _drop_broken_listings(recs, p, listing)
 
 

@@ -63,7 +63,8 @@ def shape_records(records: DataFrame, by: list[str] | None = None, keep: Column
     for g, plan in plans.items():
         cond = None
         for c, val in zip(by, g):
-            e = F.col(c).eqNullSafe(F.lit(val))
+            # plain equality reaches the scan as a partition filter
+            e = F.col(c).isNull() if val is None else (F.col(c) == F.lit(val))
             cond = e if cond is None else cond & e
         sub = records.where(cond) if cond is not None else records
         cols = [F.col("collected_at").alias("__ts"), F.col("workspace").alias("__ws")] if provenance else []

@@ -84,7 +84,7 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
             schemas.select("catalog_name", "schema_name", "full_name", "collected_at", "workspace")
         ).drop("collected_at", "workspace")
         tabs = tables.withColumn("endpoint", F.lit(prefix + TABLE_KEY))
-        inv.raw.update(_shape_tables(tabs, prefix))
+        inv.raw.update(shape_tables(tabs, prefix))
 
     mount_counts = None
     if mounts is not None:
@@ -101,7 +101,8 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
     return inv
 
 
-def _shape_tables(tables: DataFrame, prefix: str) -> dict[str, DataFrame]:
+def shape_tables(tables: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
+    """Table records with the keep-list of tables and catalog/schema context injected."""
     shaped = shape_records(tables, keep=keep_fields_col(F.lit(prefix + TABLE_KEY), prefix), prefix=prefix,
                            inject={INJECTED_TABLE_FIELDS[0]: F.col("_catalog"),
                                    INJECTED_TABLE_FIELDS[1]: F.col("_schema")})
@@ -120,4 +121,4 @@ def run_batch(spark: SparkSession, pages: DataFrame, sink: InventorySink, drop_f
     return ordered_summary(spark.table(sink.table("workspace_scan_summary", raw=False)))
 
 
-__all__ = ["Inventory", "build_inventory", "run_batch", "rename_single", "COUNTER_KEYS"]
+__all__ = ["Inventory", "build_inventory", "run_batch", "rename_single", "shape_tables", "COUNTER_KEYS"]

@@ -27,7 +27,7 @@ from ..sources.landing import apply_page_rules, cap_pages, landed_records, page_
 from ..sources.registry import resolved_registry
 from ..streaming.stream import stream_raw
 from . import scenario
-from .batch import build_inventory
+from .batch import build_inventory, shape_tables
 from .landing_builders import pack_pages
 
 NESTED_LINE_FIELDS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
@@ -348,8 +348,11 @@ def q_raw_job(spark, d):
 def q_raw_tables(spark, d):
     """Raw table of the catalog scan: table records with catalog and schema injected."""
     pages = scenario.landing(spark, d)
-    inv = build_inventory(spark, pages)
-    return inv.raw["table"].drop("_collected_at", "_workspace")
+    cat_pages = pages.where(F.col("endpoint") == "catalog")
+    cats = select_catalogs(landed_records(cat_pages, resolved_registry(spark)))
+    scan = pages.where(F.col("endpoint").isin(SCHEMA_KEY, "table"))
+    tables = select_tables(scan, select_schemas(scan, cats)).withColumn("endpoint", F.lit("table"))
+    return shape_tables(tables)["table"].drop("_collected_at", "_workspace")
 
 
 # ---------------------------------------------------------------------------------------
