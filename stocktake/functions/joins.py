@@ -46,6 +46,17 @@ def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how:
     return big.join(small, on=on, how=how)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` tasks when it has fewer.
+
+    Small single-file inputs arrive as one partition; CPU-heavy per-record work after
+    them (parsing, flattening) would then run on one core. Large inputs already have
+    many partitions and pass through unchanged (no extra shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     cond = None
     for c in cols:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import ENDPOINTS, SCHEMA_KEY, SUMMARY_FIXED
+from ..functions.joins import checkpoint_once, spread
 from ..functions.names import clean_name, with_suffix
 from ..functions.ranking import rank_in_group
 from ..operators.flatten import discover, flatten_long, flatten_wide
@@ -39,12 +40,21 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def landed(pages: DataFrame) -> DataFrame:
+    """Derived pages written once to the shared checkpoint folder, like a real landing:
+    the page-rule pass and the unnest pass then read files instead of re-deriving."""
+    return checkpoint_once(pages)
+
+
 def as_record(*cols) -> Column:
     """A table row as a JSON record (VARIANT), as an API would return it."""
     return F.parse_json(F.to_json(F.struct(*cols)))
 
 
 def _wide(df: DataFrame, ids: list[str], keep: Column | None = None) -> DataFrame:
+    # Records derived by joins and JSON encoding are read by two passes (discovery,
+    # projection): computed once into the shared checkpoint folder.
+    df = checkpoint_once(spread(df))
     plans = discover(df, "rec", keep=keep)
     return flatten_wide(df, "rec", plans.get((), []), ids)
 
@@ -81,7 +91,7 @@ def q_flatten_long_leaves(spark, d):
     """P1 long form: one row per leaf of every customer record."""
     c = _t(spark, d, "customer")
     recs = c.select("c_custkey", as_record("c_name", "c_nationkey", "c_acctbal", "c_mktsegment").alias("rec"))
-    long = flatten_long(recs, "rec", ["c_custkey"])
+    long = flatten_long(checkpoint_once(spread(recs)), "rec", ["c_custkey"])
     return long.select("c_custkey", "path", "kind",
                        F.when(F.col("kind") == "S", F.try_variant_get("value", "$", "string")).alias("str_value"),
                        F.when(F.col("kind").isin("I", "D"), F.try_variant_get("value", "$", "double"))
@@ -134,7 +144,7 @@ def _orders_by_status_pages(spark, d) -> DataFrame:
 
 def q_page_cap(spark, d):
     """Per-endpoint and paging-off caps through the resolved registry."""
-    pages = _orders_by_status_pages(spark, d)
+    pages = landed(_orders_by_status_pages(spark, d))
     reg = resolved_registry(spark, max_pages={"cluster": 3})
     recs = landed_records(pages, reg)
     return recs.select(F.try_variant_get("rec", "$.o_orderkey", "bigint").alias("o_orderkey"),
@@ -153,7 +163,7 @@ def _lineitem_pages(spark, d) -> DataFrame:
 
 
 def _rule_output(spark, d, policy):
-    p = page_flags(_lineitem_pages(spark, d))
+    p = page_flags(landed(_lineitem_pages(spark, d)))
     kept = apply_page_rules(p, policy)
     recs = unnest(kept, "jobs")
     return recs.select(*[F.try_variant_get("rec", f"$.{c}", t).alias(c) for c, t in
@@ -177,7 +187,7 @@ def q_page_unnest(spark, d):
     pages = pack_pages(o, "job", "jobs", F.floor(F.col("o_orderkey") / 100) + 1,
                        F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"),
                        F.col("o_orderkey"))
-    recs = unnest(page_flags(pages), "jobs")
+    recs = unnest(page_flags(landed(pages)), "jobs")
     w = _wide(recs.select("page_no", "pos", "rec"), ["page_no", "pos"])
     return w.withColumn("pos", F.col("pos").cast("bigint")).withColumn("page_no", F.col("page_no").cast("bigint"))
 
@@ -189,7 +199,7 @@ def q_page_fallback(spark, d):
     pages = pack_pages(c, "pipeline", "items", F.lit(1), F.struct("c_custkey", "c_name"), F.col("c_custkey"),
                        parent=F.floor(F.col("c_custkey") / 100), extra_fields={"count": "1", "zz_empty": "[]"})
     reg = resolved_registry(spark)
-    recs = landed_records(pages, reg)
+    recs = landed_records(landed(pages), reg)
     return recs.select(F.try_variant_get("rec", "$.c_custkey", "bigint").alias("c_custkey"),
                        F.try_variant_get("rec", "$.c_name", "string").alias("c_name"))
 
@@ -199,7 +209,7 @@ def q_page_object(spark, d):
     s = _t(spark, d, "supplier")
     pages = pack_pages(s, "workspace_conf", None, F.lit(1), F.struct("s_suppkey", "s_name", "s_acctbal"),
                        F.col("s_suppkey"), workspace=F.col("s_name"))
-    recs = landed_records(pages, resolved_registry(spark))
+    recs = landed_records(landed(pages), resolved_registry(spark))
     w = shape_records(recs, keep=True)[("workspace_conf",)]
     return w.select("s_suppkey", "s_name", "s_acctbal", F.col("_workspace").alias("workspace"))
 
@@ -209,7 +219,7 @@ def q_page_scalars(spark, d):
     n = _t(spark, d, "customer")
     pages = pack_pages(n, "group", "group_names", F.floor(F.col("c_custkey") / 100) + 1, F.col("c_name"),
                        F.col("c_custkey"))
-    recs = landed_records(pages, resolved_registry(spark), wrap={"group": "group_name"})
+    recs = landed_records(landed(pages), resolved_registry(spark), wrap={"group": "group_name"})
     return recs.select(F.try_variant_get("rec", "$.group_name", "string").alias("group_name"),
                        F.col("page_no").cast("bigint").alias("page_no"))
 
@@ -225,7 +235,7 @@ def q_child_rows(spark, d):
     o = _t(spark, d, "orders").join(c.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     kids = pack_pages(o, "vector_search_index", "vector_indexes", F.floor(F.col("o_orderkey") / 500) + 1,
                       F.struct("o_orderkey", "o_totalprice"), F.col("o_orderkey"), parent=F.col("c_name"))
-    rows = child_rows(parents, kids, "vector_indexes")
+    rows = child_rows(parents, landed(kids), "vector_indexes")
     return rows.select(F.try_variant_get("rec", "$.o_orderkey", "bigint").alias("o_orderkey"),
                        F.try_variant_get("rec", "$.o_totalprice", "double").alias("o_totalprice"),
                        "_endpoint_name").withColumnRenamed("_endpoint_name", "endpoint_name")
@@ -250,6 +260,7 @@ def _scan_pages(spark, d) -> tuple[DataFrame, DataFrame]:
 def q_hierarchy_counts(spark, d):
     """Region -> nation -> customer as catalogs, schemas, tables; counts per schema."""
     cat_pages, scan_pages = _scan_pages(spark, d)
+    scan_pages = landed(scan_pages)
     cat_recs = landed_records(cat_pages, resolved_registry(spark))
     cats = select_catalogs(cat_recs)
     schemas = select_schemas(scan_pages, cats)
@@ -269,7 +280,8 @@ def q_allowlist_topn(spark, d):
     c = _t(spark, d, "customer")
     pages = pack_pages(c, "catalog", "catalogs", F.floor(F.col("c_custkey") / 100) + 1,
                        F.struct(F.col("c_name").alias("name")), F.col("c_custkey"))
-    recs = landed_records(pages, resolved_registry(spark, max_pages={"catalog": 0}, overrides={"catalog": True}))
+    recs = landed_records(landed(pages),
+                          resolved_registry(spark, max_pages={"catalog": 0}, overrides={"catalog": True}))
     return select_catalogs(recs, ALLOWLIST, CATALOG_LIMIT)
 
 
@@ -283,7 +295,7 @@ def q_topn_per_group(spark, d):
     cn = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
     pages = pack_pages(cn, SCHEMA_KEY, "schemas", F.floor(F.col("c_custkey") / 100) + 1,
                        F.struct(F.col("c_name").alias("name")), F.col("c_custkey"), parent=F.col("n_name"))
-    return select_schemas(pages, cats, SCHEMA_LIMIT).select("catalog_name", "schema_name", "full_name")
+    return select_schemas(landed(pages), cats, SCHEMA_LIMIT).select("catalog_name", "schema_name", "full_name")
 
 
 def q_type_counts(spark, d):
