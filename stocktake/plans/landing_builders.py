@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..fixed_values import TOKEN_FIELD
 from ..functions.joins import join_checked
@@ -32,37 +31,34 @@ def pack_pages(df: DataFrame, endpoint: str, list_key: str | None, page_no: Colu
     """
     ws = F.lit(workspace) if isinstance(workspace, str) else workspace
     par = parent if parent is not None else F.lit(None).cast("string")
-    if not isinstance(df.select(record).schema.fields[0].dataType, (T.StructType, T.ArrayType, T.MapType)):
-        # scalar records: JSON text of a one-element array without its brackets
-        rec_json = F.regexp_extract(F.to_json(F.array(record)), r"^\[(.*)\]$", 1)
-    else:
-        rec_json = F.to_json(record)
+    # Records travel as structs through the page shuffle; the JSON text of a whole page
+    # is made once after it, by all post-shuffle tasks.
     src = df.select(ws.alias("workspace"), par.cast("string").alias("parent"), page_no.cast("int").alias("page_no"),
-                    order.alias("_o"), rec_json.alias("_r"),
+                    order.alias("_o"), record.alias("_r"),
                     (status if status is not None else F.lit(200)).alias("_st"),
                     (html if html is not None else F.lit(False)).alias("_html"),
                     (end_here if end_here is not None else F.lit(False)).alias("_end"))
-    aggs = [F.sort_array(F.collect_list(F.struct(F.col("_o"), F.col("_r")))).alias("_rs")]
-    aggs += [F.max("_st").alias("status"), F.max(F.col("_html").cast("int")).alias("_html"),
-             F.max(F.col("_end").cast("int")).alias("_end")]
+    aggs = [F.sort_array(F.collect_list(F.struct(F.col("_o"), F.col("_r")))).alias("_rs"),
+            F.max("_st").alias("status"), F.max(F.col("_html").cast("int")).alias("_html"),
+            F.max(F.col("_end").cast("int")).alias("_end")]
     pages = src.groupBy("workspace", "parent", "page_no").agg(*aggs)
     if parent is None and isinstance(workspace, str):
         # a single listing: its last page is one number
         last_no = src.agg(F.max("page_no")).first()[0]
         pages = pages.withColumn("_last", F.lit(last_no))
     else:
-        last = pages.groupBy(F.col("workspace").alias("_w"), F.col("parent").alias("_p")) \
-                    .agg(F.max("page_no").alias("_last"))
+        last = src.groupBy(F.col("workspace").alias("_w"), F.col("parent").alias("_p")) \
+                  .agg(F.max("page_no").alias("_last"))
         on = (pages["workspace"].eqNullSafe(last["_w"])) & (pages["parent"].eqNullSafe(last["_p"]))
         pages = join_checked(pages, last, on)
-    items = F.array_join(F.transform("_rs", lambda x: x["_r"]), ",")
+    records = F.transform("_rs", lambda x: x["_r"])
     tok = F.when(F.lit(token) & (F.col("page_no") < F.col("_last")) & (F.col("_end") == 0),
                  F.concat(F.lit(f',"{TOKEN_FIELD}":"p'), (F.col("page_no") + 1).cast("string"), F.lit('"')))
     if list_key is None:
-        body = F.element_at(F.transform("_rs", lambda x: x["_r"]), 1)
+        body = F.to_json(F.element_at(records, 1))
     else:
         extra = "".join(f',"{k}":{v}' for k, v in (extra_fields or {}).items())
-        body = F.concat(F.lit('{"' + list_key + '":['), items, F.lit("]" + extra), F.coalesce(tok, F.lit("")),
+        body = F.concat(F.lit('{"' + list_key + '":'), F.to_json(records), F.lit(extra), F.coalesce(tok, F.lit("")),
                         F.lit("}"))
     body = F.when(F.col("_html") == 1, F.lit("<html><body>Service unavailable</body></html>")).otherwise(body)
     return pages.select("workspace", F.lit(endpoint).alias("endpoint"), "parent", "page_no",
