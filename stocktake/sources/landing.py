@@ -76,7 +76,9 @@ def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[s
     j = join_checked(flagged, small, cond, "inner", small_rows=n)
     bad = F.coalesce(F.col("_bad"), F.lit(_NO_BOUND))
     term = F.coalesce(F.col("_term"), F.lit(_NO_BOUND))
-    keep = F.col("_usable") & (F.col("page_no") < bad) & (F.col("page_no") <= term)
+    # An unusable page is at or after the first bad page, so the bounds alone exclude
+    # it; not testing it again here keeps the body from being parsed twice.
+    keep = (F.col("page_no") < bad) & (F.col("page_no") <= term)
     if policy == "complete":
         keep = keep & (F.col("_bad").isNull() | (F.col("_bad") > term))
     elif policy != "prefix":
