@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import (CATALOG_SCAN_LIST_KEYS, COUNTER_KEYS, INJECTED_CHILD_FIELD, INJECTED_TABLE_FIELDS, LEGACY_CATALOG,
-                            SCHEMA_KEY, TABLE_KEY, TABLE_TYPE_EXTERNAL, TABLE_TYPE_MANAGED)
+from ..fixed_values import (CATALOG_SCAN_LIST_KEYS, COUNTER_KEYS, INJECTED_CHILD_FIELD, LEGACY_CATALOG, SCHEMA_KEY,
+                            TABLE_KEY, TABLE_TYPE_EXTERNAL, TABLE_TYPE_MANAGED)
 from ..functions.joins import checkpoint_once, join_checked, materialize_small
 from ..functions.ranking import top_n_per_group
 from ..sources.landing import apply_page_rules, cap_pages, page_flags, unnest
@@ -80,32 +80,13 @@ def select_tables(pages: DataFrame, schemas: DataFrame, endpoint: str = TABLE_KE
     """
     p = _catalog_scan_pages(pages, endpoint, schemas.select("full_name"), "full_name")
     p = page_flags(p, token_only=True)
-    p = p.withColumn("_broken", (F.col("status") == 200) & ~F.col("_usable"))
     listing = ["workspace", "endpoint", "parent", "_sel"]
-    kept = apply_page_rules(p, "prefix", listing=listing)
+    kept = apply_page_rules(p, "prefix", listing=listing,
+                            broken=(F.col("status") == 200) & ~F.col("_usable"))
     recs = unnest(kept, CATALOG_SCAN_LIST_KEYS[endpoint])
     sch, n = materialize_small(schemas.select(F.col("full_name").alias("_fn"), F.col("catalog_name").alias("_catalog"),
                                               F.col("schema_name").alias("_schema")).distinct())
-    recs = join_checked(recs, sch, F.col("parent") == F.col("_fn"), small_rows=n).drop("_fn")
-    return _drop_broken_listings(recs, p, listing)
-
-
-def _drop_broken_listings(recs: DataFrame, flagged: DataFrame, listing: list[str]) -> DataFrame:
-    """Remove listings whose first failing page (before the end) is a broken body."""
-    bounds = (flagged.groupBy(*listing)
-              .agg(F.min(F.when(~F.col("_usable"), F.col("page_no"))).alias("_bad"),
-                   F.min(F.when(F.col("_broken"), F.col("page_no"))).alias("_brk"),
-                   F.min(F.when(F.col("_terminal"), F.col("page_no"))).alias("_term")))
-    dead = bounds.where(F.col("_brk").isNotNull() & (F.col("_brk") == F.col("_bad"))
-                        & (F.col("_term").isNull() | (F.col("_bad") < F.col("_term"))))
-    dead = dead.select(*[F.col(c).alias(f"_d_{c}") for c in listing])
-    cond = None
-    for c in listing:
-        if c == "_sel":
-            continue
-        e = recs[c].eqNullSafe(dead[f"_d_{c}"])
-        cond = e if cond is None else cond & e
-    return recs.join(dead, cond, "left_anti")
+    return join_checked(recs, sch, F.col("parent") == F.col("_fn"), small_rows=n).drop("_fn")
 
 
 def count_types(tables: DataFrame, by: list[str] | None = None, type_col: Column | None = None) -> DataFrame:
@@ -161,4 +142,4 @@ def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str,
 
 
 __all__ = ["record_field", "select_catalogs", "select_schemas", "select_tables", "count_types",
-           "catalog_scan", "uc_counters", "child_rows", "INJECTED_TABLE_FIELDS"]
+           "catalog_scan", "uc_counters", "child_rows"]

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import (COUNTER_KEYS, INJECTED_CHILD_FIELD, INJECTED_TABLE_FIELDS, MOUNT_FIELD, MOUNTS_KEY,
+from ..fixed_values import (INJECTED_CHILD_FIELD, INJECTED_TABLE_FIELDS, MOUNT_FIELD, MOUNTS_KEY,
                             SCHEMA_KEY, TABLE_KEY)
 from ..operators.hierarchy import catalog_scan, child_rows
 from ..operators.shape import add_provenance, shape_records
@@ -121,4 +121,4 @@ def run_batch(spark: SparkSession, pages: DataFrame, sink: InventorySink, drop_f
     return ordered_summary(spark.table(sink.table("workspace_scan_summary", raw=False)))
 
 
-__all__ = ["Inventory", "build_inventory", "run_batch", "rename_single", "shape_tables", "COUNTER_KEYS"]
+__all__ = ["Inventory", "build_inventory", "run_batch", "rename_single", "shape_tables"]

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import ENDPOINTS, SCHEMA_KEY, SUMMARY_FIXED
+from ..fixed_values import SCHEMA_KEY
 from ..functions.joins import checkpoint_once, spread
 from ..functions.names import clean_name, with_suffix
 from ..functions.ranking import rank_in_group
@@ -21,10 +21,10 @@ from ..operators.flatten import discover, flatten_long, flatten_wide
 from ..operators.hierarchy import child_rows, count_types, select_catalogs, select_schemas, select_tables
 from ..operators.shape import shape_records
 from ..operators.snapshots import snapshot_diff
-from ..operators.summary import build_summary, count_rows, grand_totals, merge_counts
+from ..operators.summary import count_rows, grand_totals, merge_counts
 from ..session import shared_path
 from ..sinks.tables import InventorySink, ensure_schema, match_names
-from ..sources.landing import apply_page_rules, cap_pages, landed_records, page_flags, unnest
+from ..sources.landing import apply_page_rules, landed_records, page_flags, unnest
 from ..sources.registry import resolved_registry
 from ..streaming.stream import stream_raw
 from . import scenario
@@ -455,4 +455,4 @@ QUERIES = {
     "snapshot_diff": q_snapshot_diff,
 }
 
-__all__ = ["QUERIES", "ENDPOINTS", "SUMMARY_FIXED", "build_summary", "cap_pages", "select_tables"]
+__all__ = ["QUERIES"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixed_values import COLLECTED_AT, RAW_TABLE_PREFIX, SUMMARY_TABLE, WORKSPACE
+from ..fixed_values import RAW_TABLE_PREFIX, SUMMARY_TABLE
 from ..functions.names import quote_ident, table_name
 from ..operators.shape import EMPTY_MARK, empty_raw
 
@@ -241,5 +241,4 @@ def _union_widened(old: DataFrame, new: DataFrame) -> DataFrame:
     return proj(old, o).unionByName(proj(new, n))
 
 
-__all__ = ["InventorySink", "list_objects", "ensure_schema", "check_target", "match_names", "drop_matching",
-           "COLLECTED_AT", "WORKSPACE"]
+__all__ = ["InventorySink", "list_objects", "ensure_schema", "check_target", "match_names", "drop_matching"]

@@ -56,18 +56,23 @@ def page_flags(pages: DataFrame, token_only: Column | bool = False,
     return df.withColumn("_usable", F.coalesce(usable, F.lit(False))).withColumn("_terminal", terminal)
 
 
-def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[str] | None = None) -> DataFrame:
+def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[str] | None = None,
+                     broken: Column | None = None) -> DataFrame:
     """Keep the pages a sequential reader would have used.
 
     prefix:   pages before the first bad page, up to the first terminal page (F8).
     complete: as prefix, but a bad page before the end empties the listing (F9).
+    ``broken`` marks failures that lose the whole listing even under ``prefix`` (a
+    body that cannot be read, where an HTTP error keeps the earlier pages).
     """
     listing = list(listing or LISTING)
-    bounds = (flagged.select(*listing, "page_no", "_usable", "_terminal")
+    brk = broken if broken is not None else F.lit(False)
+    bounds = (flagged.select(*listing, "page_no", "_usable", "_terminal", brk.alias("_broken"))
               .groupBy(*listing)
               .agg(F.min(F.when(~F.col("_usable"), F.col("page_no"))).alias("_bad"),
-                   F.min(F.when(F.col("_terminal"), F.col("page_no"))).alias("_term")))
-    renamed = bounds.select(*[F.col(c).alias(f"_g_{c}") for c in listing], "_bad", "_term")
+                   F.min(F.when(F.col("_terminal"), F.col("page_no"))).alias("_term"),
+                   F.min(F.when(F.col("_broken"), F.col("page_no"))).alias("_brk")))
+    renamed = bounds.select(*[F.col(c).alias(f"_g_{c}") for c in listing], "_bad", "_term", "_brk")
     small, n = materialize_small(renamed)
     cond = None
     for c in listing:
@@ -83,7 +88,9 @@ def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[s
         keep = keep & (F.col("_bad").isNull() | (F.col("_bad") > term))
     elif policy != "prefix":
         raise ValueError(f"unknown page policy {policy!r}")
-    return j.where(keep).drop(*[f"_g_{c}" for c in listing], "_bad", "_term")
+    # the first failure (before the end) is a broken body: nothing of the listing counts
+    lost = F.coalesce(F.col("_brk") == F.col("_bad"), F.lit(False)) & (F.col("_bad") < term)
+    return j.where(keep & ~lost).drop(*[f"_g_{c}" for c in listing], "_bad", "_term", "_brk")
 
 
 def unnest(pages: DataFrame, list_key: Column | str | None = None, paginate: Column | bool = True,
