@@ -23,6 +23,7 @@ class Inventory:
     counts: DataFrame | None = None                            # (key, count)
     summary: DataFrame | None = None
     records: DataFrame | None = None                           # all registry records, long
+    found: dict = field(default_factory=dict)                  # key -> records found by discovery
 
 
 def rename_single(df: DataFrame, src: str, dst: str = MOUNT_FIELD) -> DataFrame:
@@ -66,6 +67,7 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
 
     # Counted keys: every enabled endpoint (0 when nothing came back); child endpoints
     # only when their parent listing had rows, as children are fetched per parent.
+    inv.found = {g[0]: n for g, n in found.items()}
     counts = spark.createDataFrame([(g[0], n) for g, n in found.items()], "key string, count long")
     keys = spark.createDataFrame([(r["key"], r["parent_key"]) for r in reg_rows], "key string, parent_key string")
     per_key = keys.join(F.broadcast(counts.withColumnRenamed("key", "_k")), F.col("key") == F.col("_k"), "left")
@@ -116,7 +118,7 @@ def run_batch(spark: SparkSession, pages: DataFrame, sink: InventorySink, drop_f
         drop_matching(spark, sink.schema, sink.catalog, raw_prefix=sink.raw_prefix)
     inv = build_inventory(spark, pages, **options)
     for key, df in inv.raw.items():
-        sink.write_raw(key, df)
+        sink.write_raw(key, df, known_nonempty=inv.found.get(key, 0) > 0)
     sink.write_summary(inv.summary)
     return ordered_summary(spark.table(sink.table("workspace_scan_summary", raw=False)))
 

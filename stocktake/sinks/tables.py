@@ -110,8 +110,12 @@ class InventorySink:
 
     # -- writes -------------------------------------------------------------------------
     def write_raw(self, key: str, df: DataFrame, mode: str | None = None, batch_id: int | None = None,
-                  collected_at=None, workspace: str | None = None) -> bool:
-        """Write one raw table (K1-K5). Returns False when an empty dataset was skipped."""
+                  collected_at=None, workspace: str | None = None, known_nonempty: bool = False) -> bool:
+        """Write one raw table (K1-K5). Returns False when an empty dataset was skipped.
+
+        ``known_nonempty`` skips the emptiness probe (a job) when the caller already
+        counted rows, e.g. a dataset found by discovery.
+        """
         mode = mode or self.raw_mode
         ident = self.table(key)
         if EMPTY_MARK in df.columns:
@@ -120,7 +124,7 @@ class InventorySink:
             if mode == "overwrite" or not self.exists(ident):
                 self._overwrite(ident, df.drop(EMPTY_MARK))
             return True
-        if df.isEmpty():
+        if not known_nonempty and df.isEmpty():
             if self.skip_empty:
                 return False
             df = empty_raw(self.spark, collected_at, workspace)

@@ -37,13 +37,15 @@ def process_batch(pages: DataFrame, batch_id: int, sink: InventorySink | None,
     pages = pages.persist()
     try:
         recs = landed_records(pages, reg.where("parent_key IS NULL"), policy)
+        found: dict = {}
         written = {}
-        for (key,), df in shape_records(recs, keep=True, prefix=prefix).items():
+        for (key,), df in shape_records(recs, keep=True, prefix=prefix, counts_out=found).items():
             if fn is not None:
                 fn(key, df)                        # user callback per dataset (K11)
             if sink is not None:
-                sink.write_raw(key, df, mode="append", batch_id=batch_id)
-            written[key] = 1
+                sink.write_raw(key, df, mode="append", batch_id=batch_id,
+                               known_nonempty=found.get((key,), 0) > 0)
+            written[key] = found.get((key,), 0)
         return written
     finally:
         pages.unpersist()
