@@ -94,27 +94,41 @@ def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[s
 
 
 def unnest(pages: DataFrame, list_key: Column | str | None = None, paginate: Column | bool = True,
-           object_mode: Column | bool = False, wrap_field: str | None = None) -> DataFrame:
+           object_mode: Column | bool = False, wrap_field: str | None = None,
+           list_keys: list[str] | None = None) -> DataFrame:
     """One row per record of every kept page (order key: page_no, pos).
 
     - the list under ``list_key`` when it is an array (S1, S2);
     - unpaged only: the body itself in object mode (S3); else the first array-valued
       key (keys in name order) or a bare top-level array (S5).
     ``wrap_field`` turns scalar records into ``{wrap_field: value}`` (S4).
+    A column ``list_key`` is resolved through a CASE over ``list_keys`` (the registry's
+    list keys), so each page reads its list by a literal path, without copying the
+    envelope into a map.
     """
-    lk = F.lit(list_key) if isinstance(list_key, (str, type(None))) else list_key
     paginate = F.lit(paginate) if isinstance(paginate, bool) else paginate
     object_mode = F.lit(object_mode) if isinstance(object_mode, bool) else object_mode
     v = F.col("_v")
-    m = F.try_variant_get(v, "$", "map<string,variant>")
     as_array = lambda x: F.try_variant_get(x, "$", "array<variant>")
-    df = pages.withColumn("_m", m)
-    listed = as_array(F.element_at(F.col("_m"), lk))
-    first_list = F.filter(F.map_values(F.col("_m")), lambda x: as_array(x).isNotNull())
-    records = (F.when(listed.isNotNull(), listed)
-               .when(~paginate & object_mode & F.col("_m").isNotNull(), F.array(v))
-               .when(~paginate & ~object_mode & F.col("_m").isNotNull(), as_array(F.element_at(first_list, 1)))
-               .when(~paginate & ~object_mode, as_array(v)))
+
+    def by_path(key: str) -> Column:
+        step = f"$['{key}']" if "'" not in key else f'$["{key}"]'
+        return F.try_variant_get(v, step, "array<variant>")
+
+    if isinstance(list_key, str):
+        listed = by_path(list_key)
+    elif list_key is None:
+        listed = F.lit(None).cast("array<variant>")
+    else:
+        listed = F.lit(None).cast("array<variant>")
+        for k in sorted(set(list_keys or [])):
+            listed = F.when(list_key == k, by_path(k)).otherwise(listed)
+    df = pages.withColumn("_listed", listed)
+    m = F.try_variant_get(v, "$", "map<string,variant>")       # only the unpaged branches use it
+    first_list = as_array(F.element_at(F.filter(F.map_values(m), lambda x: as_array(x).isNotNull()), 1))
+    records = (F.when(F.col("_listed").isNotNull(), F.col("_listed"))
+               .when(~paginate & object_mode & m.isNotNull(), F.array(v))
+               .when(~paginate & ~object_mode, F.coalesce(first_list, as_array(v))))
     cols = [c for c in RECORD_COLS if c not in ("pos", "rec")]
     out = df.select(*cols, F.posexplode(records).alias("pos", "rec"))
     if wrap_field:
@@ -138,11 +152,13 @@ def landed_records(pages: DataFrame, registry: DataFrame, policy: str = "prefix"
     """
     reg = registry.select(F.col("key").alias("endpoint"), "list_key", "paginate", "page_cap", "object_mode",
                           F.col("parent_key").isNotNull().alias("token_only"))
+    # the registry's list keys (at most one per endpoint): literal paths for unnest
+    keys = [r["list_key"] for r in reg.select("list_key").distinct().collect() if r["list_key"]]
     p = pages.join(F.broadcast(reg), "endpoint")
     p = cap_pages(p)
     p = page_flags(p, token_only=F.col("token_only"), paginate=F.col("paginate"))
     p = apply_page_rules(p, policy)
-    recs = unnest(p, F.col("list_key"), F.col("paginate"), F.col("object_mode"))
+    recs = unnest(p, F.col("list_key"), F.col("paginate"), F.col("object_mode"), list_keys=keys)
     if wrap:
         for endpoint, field in wrap.items():
             recs = recs.withColumn("rec", F.when(F.col("endpoint") == endpoint, wrap_scalar(F.col("rec"), field))
