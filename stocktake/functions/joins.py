@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def materialize_small(df: DataFrame, eager: bool = True) -> tuple[DataFrame, int]:
-    """Write a derived (small) side to the shared checkpoint folder and count it.
+def materialize_small(df: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, int]:
+    """Count a derived (small) side once and cut its lineage.
 
-    The reliable checkpoint cuts its lineage, so the count and the later join read
-    the same rows without recomputing them, and an executor loss re-reads files.
+    The rows are persisted and counted (one job); a reliable checkpoint into the
+    shared folder is written from those blocks when the side is first used, so the
+    join reads the same rows and an executor loss re-reads files. ``checkpoint=False``
+    for sides read from files already written (count only).
     """
-    cp = checkpoint_once(df, eager)
-    return cp, cp.count()
+    if not checkpoint:
+        return df, df.count()
+    df = df.persist()
+    n = df.count()
+    return df.checkpoint(eager=False), n
 
 
 def checkpoint_once(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -40,7 +40,8 @@ def select_catalogs(catalog_records: DataFrame, allowlist: list[str] | None = No
     return names
 
 
-def _catalog_scan_pages(pages: DataFrame, endpoint: str, parents: DataFrame, parent_col: str) -> DataFrame:
+def _catalog_scan_pages(pages: DataFrame, endpoint: str, parents: DataFrame, parent_col: str,
+                        parents_written: bool = False) -> DataFrame:
     """Pages of one catalog-scan endpoint whose parent was selected (one row per selection).
 
     The selection (one narrow row per catalog or schema) is written to the shared
@@ -48,7 +49,7 @@ def _catalog_scan_pages(pages: DataFrame, endpoint: str, parents: DataFrame, par
     bodies are never shuffled for this join.
     """
     p = pages.where(F.col("endpoint") == endpoint)
-    sel, n = materialize_small(parents.select(F.col(parent_col).alias("_sel")))
+    sel, n = materialize_small(parents.select(F.col(parent_col).alias("_sel")), checkpoint=not parents_written)
     return join_checked(p, sel, F.col("parent") == F.col("_sel"), small_rows=n)
 
 
@@ -78,14 +79,15 @@ def select_tables(pages: DataFrame, schemas: DataFrame, endpoint: str = TABLE_KE
     Token paging; an HTTP failure keeps the earlier pages, a body that does not parse
     as an object drops the whole schema listing.
     """
-    p = _catalog_scan_pages(pages, endpoint, schemas.select("full_name"), "full_name")
+    # schemas come checkpointed from select_schemas: counting them is enough
+    p = _catalog_scan_pages(pages, endpoint, schemas.select("full_name"), "full_name", parents_written=True)
     p = page_flags(p, token_only=True)
     listing = ["workspace", "endpoint", "parent", "_sel"]
     kept = apply_page_rules(p, "prefix", listing=listing,
                             broken=(F.col("status") == 200) & ~F.col("_usable"))
     recs = unnest(kept, CATALOG_SCAN_LIST_KEYS[endpoint])
     sch, n = materialize_small(schemas.select(F.col("full_name").alias("_fn"), F.col("catalog_name").alias("_catalog"),
-                                              F.col("schema_name").alias("_schema")).distinct())
+                                              F.col("schema_name").alias("_schema")).distinct(), checkpoint=False)
     return join_checked(recs, sch, F.col("parent") == F.col("_fn"), small_rows=n).drop("_fn")
 
 
