@@ -54,23 +54,44 @@ def lattice_type(kinds: Column) -> Column:
             .otherwise("string"))
 
 
+# A key holding both quote kinds has no path syntax; its step is marked and read
+# through a map lookup instead (see ``extract``).
+RAW_KEY_OPEN, RAW_KEY_CLOSE = "[\u0000", "\u0000]"
+
+
 def key_step(key: Column) -> Column:
-    """Path step for an object key: ['k'] or ["k"]; NULL when the key holds both quotes."""
+    """Path step for an object key: ['k'] or ["k"], else a marked raw key."""
     return (F.when(F.instr(key, "'") == 0, F.concat(F.lit("['"), key, F.lit("']")))
-            .when(F.instr(key, '"') == 0, F.concat(F.lit('["'), key, F.lit('"]'))))
+            .when(F.instr(key, '"') == 0, F.concat(F.lit('["'), key, F.lit('"]')))
+            .otherwise(F.concat(F.lit(RAW_KEY_OPEN), key, F.lit(RAW_KEY_CLOSE))))
 
 
 def index_step(i: Column) -> Column:
     return F.concat(F.lit("["), i.cast("string"), F.lit("]"))
 
 
+def _value_at(v: Column, jpath: str) -> Column:
+    """The variant at ``jpath``; marked raw keys are looked up in the object's map."""
+    if RAW_KEY_OPEN not in jpath:
+        return F.try_variant_get(v, jpath, "variant")
+    parts = jpath.replace(RAW_KEY_CLOSE, RAW_KEY_OPEN).split(RAW_KEY_OPEN)
+    x = F.try_variant_get(v, parts[0], "variant")              # parts[0] starts with "$"
+    for i in range(1, len(parts), 2):
+        x = F.element_at(F.try_variant_get(x, "$", "map<string,variant>"), F.lit(parts[i]))
+        if parts[i + 1]:
+            x = F.try_variant_get(x, "$" + parts[i + 1], "variant")
+    return x
+
+
 def extract(v: str, jpath: str, typ: str, guard: bool) -> Column:
     """Column for one flattened path of ``v`` (a variant column name)."""
+    raw = RAW_KEY_OPEN in jpath
     if typ == "json":
-        x = F.variant_get(F.col(v), jpath, "variant")
+        x = _value_at(F.col(v), jpath)
         return F.when(is_container(x), F.to_json(x))
-    out = F.try_variant_get(F.col(v), jpath, typ)
+    out = (F.try_variant_get(_value_at(F.col(v), jpath), "$", typ) if raw
+           else F.try_variant_get(F.col(v), jpath, typ))
     if guard and typ == "string":
         # A string read at a container returns its JSON text; those rows have no value here.
-        out = F.when(~is_container(F.variant_get(F.col(v), jpath, "variant")), out)
+        out = F.when(~is_container(_value_at(F.col(v), jpath)), out)
     return out

@@ -198,8 +198,6 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
     for r in rows:
         if not r["is_column"]:
             continue
-        if r["_j"] is None:
-            raise FlattenError(f"key with both quote kinds cannot be addressed by path: {r['_p']!r}")
         g = tuple(r[c] for c in by)
         out.setdefault(g, []).append(ColumnPlan(g, r["_j"], r["display"], r["type"], bool(r["guard"]), r["name"]))
     for g, cols in out.items():

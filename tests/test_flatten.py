@@ -95,3 +95,11 @@ def test_long_form_matches_wide(spark):
 def test_weird_keys_address_correctly(spark):
     df, rows = wide(spark, [(1, '{"a]b":1,"it\'s":2,"x.y[0]":3,"ünï":4}')])
     assert rows[1]["a_b"] == 1 and rows[1]["it_s"] == 2 and rows[1]["x_y_0"] == 3 and rows[1]["ünï"] == 4
+
+
+def test_key_with_both_quote_kinds(spark):
+    df, rows = wide(spark, [(1, '{"a\'b\\"c":1,"o":{"x\'\\"y":{"z":[5]}}}'), (2, '{"a\'b\\"c":"t"}')])
+    assert rows[1]["a_b_c"] == "1" and rows[2]["a_b_c"] == "t"
+    assert rows[1]["o_x_y_z_0"] == 5 and rows[2]["o_x_y_z_0"] is None
+    df2, rows2 = wide(spark, [(1, '{"q\'\\"":{"p":1}}')], keep=F.array())
+    assert rows2[1]["q_json"] == '{"p":1}'
