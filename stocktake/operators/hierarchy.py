@@ -139,7 +139,10 @@ def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str,
     p = page_flags(p, token_only=True)
     p = apply_page_rules(p, "prefix")
     recs = unnest(p, list_key)
-    return (join_checked(recs, parents, F.col("parent") == F.col("_parent_name"))
+    # one narrow row per named parent: counted, broadcast under the row limit, so the
+    # child records are not shuffled for this join
+    parents, n = materialize_small(parents)
+    return (join_checked(recs, parents, F.col("parent") == F.col("_parent_name"), small_rows=n)
             .withColumnRenamed("_parent_name", inject_as))
 
 
