@@ -25,6 +25,9 @@ FIRST_DEPTH = 3          # first guess; deeper records trigger one more, deeper
 MAX_DEPTH = 256
 DEFAULT_MAX_COLUMNS = 20000
 INJECT_MARK = "@"
+# kind codes a leaf can carry (anything else counts as OTHER, typed as text)
+KIND_CODES = [V.K_INT, V.K_NUM, V.K_BOOL, V.K_STR, V.K_NULL, V.K_JSON, V.K_FORCE_STR, V.K_OBJ, V.K_ARR, V.K_DEEP,
+              "DATE", "TIMESTAMP", "TIMESTAMP_NTZ"]
 
 
 class FlattenError(ValueError):
@@ -169,26 +172,33 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
     depth = depth or FIRST_DEPTH
     while True:
         leaves = leaf_rows(df.select(*by, v), v, by, depth, keep)
-        kinds = leaves.groupBy(*by, "_j", "_p").agg(
-            F.collect_set("_k").alias("kinds"),
-            # every record has exactly one row at the root path: its count comes for free
-            F.count(F.lit(1)).alias("_rows"),
-            # shape of whatever is still unexpanded: tells how much deeper to go
-            F.schema_of_variant_agg(F.when(F.col("_k") == V.K_DEEP, F.col("_v"))).alias("_deep_schema"))
+        # One max flag per kind code: fixed-width buffers, so a plain hash aggregate with
+        # map-side combine (collect_set would need object buffers per group).
+        flags = [F.max((F.col("_k") == k).cast("byte")).alias(f"_f{i}") for i, k in enumerate(KIND_CODES)]
+        other = F.max((~F.col("_k").isin(*KIND_CODES)).cast("byte")).alias("_fother")
+        kinds = (leaves.groupBy(*by, "_j", "_p")
+                 .agg(*flags, other,
+                      # every record has exactly one row at the root path: its count comes free
+                      F.count(F.lit(1)).alias("_rows"))
+                 .select(*by, "_j", "_p", "_rows",
+                         F.array_compact(F.array(*[F.when(F.col(f"_f{i}") == 1, F.lit(k))
+                                                   for i, k in enumerate(KIND_CODES)],
+                                                 F.when(F.col("_fother") == 1, F.lit("OTHER")))).alias("kinds")))
         if inject:
             extra = (kinds.select(*by).distinct()
                      .select(*by, F.explode(F.array(*[F.lit(n) for n in inject])).alias("_p"))
                      .select(*by, F.concat(F.lit(INJECT_MARK), F.col("_p")).alias("_j"), "_p",
-                             F.array(F.lit(V.K_STR)).alias("kinds"), F.lit(0).cast("long").alias("_rows"),
-                             F.lit(None).cast("string").alias("_deep_schema")))
+                             F.array(F.lit(V.K_STR)).alias("kinds"), F.lit(0).cast("long").alias("_rows")))
             kinds = kinds.unionByName(extra)
         rows = _plan_frame(kinds, by).collect()
-        deep = [r["_deep_schema"] for r in rows if r["deep"]]
-        if not deep:
+        if not any(r["deep"] for r in rows):
             break
         if depth >= MAX_DEPTH:
             raise FlattenError(f"records nest deeper than {MAX_DEPTH} levels")
-        depth = min(depth + max(max(schema_depth(x) for x in deep), 1), MAX_DEPTH)
+        # rare: shape of what is still unexpanded tells how much deeper to go
+        deep_schema = (leaves.where(F.col("_k") == V.K_DEEP)
+                       .agg(F.schema_of_variant_agg(F.col("_v")).alias("s")).first()["s"])
+        depth = min(depth + max(schema_depth(deep_schema), 1), MAX_DEPTH)
     out: dict[tuple, list[ColumnPlan]] = {}
     if counts_out is not None:
         for r in rows:
