@@ -72,6 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if default is None and not sc.master.startswith("local"):
+            # a machine-local folder is not shared by the executors of a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         current = default or os.path.join(_scratch_root(), "checkpoints")
         os.makedirs(current, exist_ok=True)
     if not sc.getCheckpointDir():
