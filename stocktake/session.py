@@ -38,8 +38,10 @@ def build_session(master: str = "local[8]", app: str = "stocktake",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
-        "spark.sql.warehouse.dir": os.path.join(_scratch_root(), "warehouse"),
     })
+    if master.startswith("local"):
+        # local runs only; a cluster keeps its own shared warehouse
+        conf["spark.sql.warehouse.dir"] = os.path.join(_scratch_root(), "warehouse")
     if checkpoint_dir:
         conf["spark.checkpoint.dir"] = checkpoint_dir
     conf.update(extra or {})
