@@ -57,13 +57,15 @@ def page_flags(pages: DataFrame, token_only: Column | bool = False,
 
 
 def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[str] | None = None,
-                     broken: Column | None = None) -> DataFrame:
+                     broken: Column | None = None, checkpoint: bool = True) -> DataFrame:
     """Keep the pages a sequential reader would have used.
 
     prefix:   pages before the first bad page, up to the first terminal page (F8).
     complete: as prefix, but a bad page before the end empties the listing (F9).
     ``broken`` marks failures that lose the whole listing even under ``prefix`` (a
     body that cannot be read, where an HTTP error keeps the earlier pages).
+    ``checkpoint=False`` when the pages are already persisted (a micro-batch): the
+    bounds are then only counted.
     """
     listing = list(listing or LISTING)
     brk = broken if broken is not None else F.lit(False)
@@ -73,7 +75,7 @@ def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[s
                    F.min(F.when(F.col("_terminal"), F.col("page_no"))).alias("_term"),
                    F.min(F.when(F.col("_broken"), F.col("page_no"))).alias("_brk")))
     renamed = bounds.select(*[F.col(c).alias(f"_g_{c}") for c in listing], "_bad", "_term", "_brk")
-    small, n = materialize_small(renamed)
+    small, n = materialize_small(renamed, checkpoint=checkpoint)
     cond = None
     for c in listing:
         e = flagged[c].eqNullSafe(small[f"_g_{c}"])
@@ -144,7 +146,7 @@ def wrap_scalar(rec: Column, field: str) -> Column:
 
 
 def landed_records(pages: DataFrame, registry: DataFrame, policy: str = "prefix",
-                   wrap: dict | None = None) -> DataFrame:
+                   wrap: dict | None = None, checkpoint: bool = True) -> DataFrame:
     """Pages -> records for every enabled registry endpoint (caps, rules, unnest).
 
     The registry is a fixed 27-row table, so its broadcast is bounded; with the
@@ -157,7 +159,7 @@ def landed_records(pages: DataFrame, registry: DataFrame, policy: str = "prefix"
     p = pages.join(F.broadcast(reg), "endpoint")
     p = cap_pages(p)
     p = page_flags(p, token_only=F.col("token_only"), paginate=F.col("paginate"))
-    p = apply_page_rules(p, policy)
+    p = apply_page_rules(p, policy, checkpoint=checkpoint)
     recs = unnest(p, F.col("list_key"), F.col("paginate"), F.col("object_mode"), list_keys=keys)
     if wrap:
         for endpoint, field in wrap.items():

@@ -36,7 +36,8 @@ def process_batch(pages: DataFrame, batch_id: int, sink: InventorySink | None,
     reg = resolved_registry(spark, prefix, **(registry_options or {}))
     pages = pages.persist()
     try:
-        recs = landed_records(pages, reg.where("parent_key IS NULL"), policy)
+        # the micro-batch is persisted: its page bounds need no checkpoint of their own
+        recs = landed_records(pages, reg.where("parent_key IS NULL"), policy, checkpoint=False)
         found: dict = {}
         written = {}
         for (key,), df in shape_records(recs, keep=True, prefix=prefix, counts_out=found).items():
