@@ -20,7 +20,6 @@ from ..fixed_values import JSON_SUFFIX, SCALAR_ROOT_NAME
 from ..functions import variant as V
 from ..functions.names import clean_name, with_suffix
 
-DEFAULT_DEPTH = 8
 FIRST_DEPTH = 3          # first guess; deeper records trigger one more, deeper pass
 MAX_DEPTH = 256
 DEFAULT_MAX_COLUMNS = 20000
@@ -110,7 +109,7 @@ def _step(df: DataFrame, ids: list[str], with_keep: bool) -> DataFrame:
                      new_k.alias("_k"), F.col("_keep"))
 
 
-def leaf_rows(df: DataFrame, v: str, ids: list[str], depth: int = DEFAULT_DEPTH,
+def leaf_rows(df: DataFrame, v: str, ids: list[str], depth: int = FIRST_DEPTH,
               keep: Column | None = None) -> DataFrame:
     """All leaves and container markers after ``depth`` levels (``_p, _j, _v, _k``)."""
     cur = _start(df, v, ids, keep)
@@ -258,12 +257,6 @@ def schema_depth(schema: str | None) -> int:
     return best + (1 if "VARIANT" in schema else 0)
 
 
-def estimate_depth(df: DataFrame, v: str) -> int:
-    """Nesting depth from the merged variant schema (one cheap aggregate)."""
-    schema = df.select(F.schema_of_variant_agg(F.col(v)).alias("s")).first()["s"]
-    return max(schema_depth(schema), 1)
-
-
 def flatten_wide(df: DataFrame, v: str, plan: list[ColumnPlan], keep_cols: list | None = None,
                  inject: dict[str, Column] | None = None) -> DataFrame:
     """One narrow projection: ``keep_cols`` plus one typed column per planned path."""
