@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,9 +18,15 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from stocktake.llm.common import stored, text_array
 
-#: Words (runs without ASCII white space) a worker remembers; emptied when full.
-REMEMBERED = 600_000
+#: Words (runs without ASCII white space) and pieces a worker remembers; each store is emptied when full.
+REMEMBERED = 800_000
 WORD = re.compile(r"[^\t-\r ]+")
+# Latin letters whose lower case is one letter of the same set and which need no composition.
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+LATIN = re.compile(f"[\t-\r -~{LETTERS}]*")
+LATIN_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\\s0-9a-z{LETTERS}]+")
+#: The splitting pattern that LATIN_PIECE restates for texts of LATIN in lower case.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 TOKENS = StructType([StructField("row", LongType()), StructField("doc_id", LongType()), StructField("source", StringType()),
                      StructField("part", LongType()), StructField("n", LongType()), StructField("upto", LongType()),
@@ -34,31 +42,92 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def drops_white_space(tokenizer) -> bool:
-    """Whether a text's ids are those of its words one after the other (probed on hard cases)."""
-    probes = ["a  b", " It's\tA\nB ", "x<|endoftext|>y z", "é ́a", "ΑΣ ΑΣ", "don 't 12 3", "\x1c a\x85b c", ""]
-    known: dict[str, bytes] = {}
-    return all(encode_words(p, tokenizer, known) == encode_whole(p, tokenizer) for p in probes)
-
-
 def encode_whole(text: str, tokenizer) -> bytes:
-    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    return array("H", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-def encode_words(text: str, tokenizer, known: dict[str, bytes]) -> bytes:
-    """Ids (16 bits each) of a text, encoding only words not yet known."""
-    words = WORD.findall(text)
-    missing = [w for w in set(words) if w not in known]
-    if missing:
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, dtype="<u2").tobytes()
-    return b"".join(map(known.__getitem__, words))
+class WordEncoder:
+    """Ids (16 bits each) of texts, word by word, asking the tokenizer only about unknown pieces.
 
+    Latin texts are lower-cased and split at once. Printable words of other texts go through the
+    tokenizer's normaliser, its splitting pattern and its merge model; words with special strings
+    or unprintable characters are encoded whole. ``exact`` tells
+    whether probes give the ids of whole texts; if not, texts are encoded whole.
+    """
 
-_KNOWN: dict[str, dict[str, bytes]] = {}
+    def __init__(self, path: str):
+        import regex
+        self.tokenizer = t = _tokenizer(path)
+        if t.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
+        steps = json.loads(t.to_str())["pre_tokenizer"]
+        pattern = next((x["pattern"]["Regex"] for x in steps.get("pretokenizers", []) if x["type"] == "Split"), None)
+        self.split = regex.compile(pattern) if pattern else None
+        self.special = regex.compile("|".join(regex.escape(x.content) for x in t.get_added_tokens_decoder().values()) or "(?!)")
+        self.alphabet = self._alphabet()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        probes = ["a  b", " It's\tA\nB ", "x<|endoftext|>y z", "é ́a", "ΑΣ ΑΣς", "don 't 12 3 ½²", "\x1c a\x85b c", "", "the!!&&& İx ßÀ", "日本 語。"]
+        self.plain = pattern == PATTERN
+        self.exact = self.split is not None and all(self.by_word(p) == encode_whole(p, t) for p in probes)
+
+    @staticmethod
+    def _alphabet() -> dict[int, str]:
+        """The character that stands for each byte, read off the library on characters that hold it."""
+        from tokenizers.pre_tokenizers import ByteLevel
+        level, out = ByteLevel(add_prefix_space=False, use_regex=False), {}
+        for c in [*range(1, 0x800), *range(0x800, 0xD800, 64), *range(0xE000, 0x110000, 4096)]:
+            for byte, char in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True):
+                out[byte] = char
+        return out
+
+    def _learn(self, found: list[str]) -> None:
+        """Makes every piece of ``found`` known."""
+        missing = set(found).difference(self.pieces)
+        if missing:
+            if len(self.pieces) + len(missing) > REMEMBERED:
+                self.pieces.clear()
+                missing = set(found)
+            tokenize = self.tokenizer.model.tokenize
+            for piece in missing:
+                seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+                self.pieces[piece] = array("H", [x.id for x in tokenize(seen)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word.isprintable() or self.special.search(word):
+            return encode_whole(word, self.tokenizer)
+        found = self.split.findall(self.tokenizer.normalizer.normalize_str(word))
+        self._learn(found)
+        return b"".join(map(self.pieces.__getitem__, found))
+
+    def latin(self, text: str) -> bytes:
+        """A text of LATIN without special strings: all its pieces at once."""
+        found = LATIN_PIECE.findall(text.lower())
+        self._learn(found)
+        return b"".join(map(self.pieces.__getitem__, found))
+
+    def by_word(self, text: str) -> bytes:
+        words = WORD.findall(text)
+        missing = set(words).difference(self.words)
+        if missing:
+            if len(self.words) + len(missing) > REMEMBERED:
+                self.words.clear()
+                missing = set(words)
+            for w in missing:
+                self.words[w] = self._word(w)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def __call__(self, text: str) -> bytes:
+        if not self.exact:
+            return encode_whole(text, self.tokenizer)
+        if self.plain and LATIN.fullmatch(text) and not self.special.search(text):
+            return self.latin(text)
+        return self.by_word(text)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
@@ -69,17 +138,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
                        F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        tok = _tokenizer(tokenizer_path)
-        if tok.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are kept in 16 bits")
-        by_word = drops_white_space(tok)
-        known, end = _KNOWN.setdefault(tokenizer_path, {}), np.asarray([end_id], dtype="<u2").tobytes()
+        encode, end = _encoder(tokenizer_path), np.asarray([end_id], dtype="<u2").tobytes()
         part, upto = TaskContext.get().partitionId(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = text_array(batch, "text").to_pylist()
-                ids = [(encode_words(t, tok, known) if by_word else encode_whole(t, tok)) + end for t in texts]
+                ids = [encode(t) + end for t in texts]
                 n = [len(x) // 2 for x in ids]
                 ends = []
                 for s, k in zip(batch.column(2).to_pylist(), n, strict=True):
