@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktake.llm import hypergeometric_shuffle, mixture_packing, simhash_pivots, token_cache
+from stocktake.llm import hypergeometric_shuffle, mixture_packing, quality_knn, simhash_pivots, token_cache, toxicity_fm
 from stocktake.llm.common import load
 
 
@@ -15,6 +15,11 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(load(spark, sf_dir, "documents"), words=4, max_bits=4)
 
 
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity_fm.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents through the digest cache."""
     import public_tokenizers
@@ -33,10 +38,17 @@ def op9_uniform_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypergeometric_shuffle.document_shards(load(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    return quality_knn.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op5_toxicity_fm": op5_toxicity_fm,
     "op6_token_counts": op6_token_counts,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_uniform_sharding": op9_uniform_sharding,
+    "op10_quality_knn": op10_quality_knn,
 }
 ORACLE: dict[str, str] = {}
