@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktake.llm import hypergeometric_shuffle, mixture_packing, quality_knn, simhash_pivots, token_cache, toxicity_fm
+from stocktake.llm import cap_filters, hypergeometric_shuffle, license_scan, mixture_packing, quality_knn, simhash_pivots, token_cache, toxicity_fm
 from stocktake.llm.common import load
 
 
@@ -15,6 +15,16 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(load(spark, sf_dir, "documents"), words=4, max_bits=4)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings at cosine 0.95."""
+    return cap_filters.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity_fm.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.3)
@@ -45,6 +55,8 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op3_license_scan": op3_license_scan,
+    "op4_embedding_neardup": op4_embedding_neardup,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op6_token_counts": op6_token_counts,
     "op8_mixture_packing": op8_mixture_packing,

@@ -62,7 +62,7 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 8192, terms: int = 4096, factors: int = 8,
-        least_z: float = 5.0, epochs: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+        least_z: float = 5.0, steps: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fits on at most 2 * ``per_class`` labelled training rows (``labelled.sample``).
 
     Terms are counted by class on the executors; the ``terms`` hashed terms whose document shares
@@ -119,16 +119,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     y = np.array([r[0] for r in got], np.float32)
     x = [np.frombuffer(r[1], "<u2") for r in got]
     cost = np.where(y == 1, share / n1, (1 - share) / n0) * (n0 + n1)
-    return _adagrad(index, x, y, cost.astype(np.float32), len(best), factors, epochs)
+    return _adagrad(index, x, y, cost.astype(np.float32), len(best), factors, steps)
 
 
-def _adagrad(index, x, y, cost, m, factors, epochs, rate=0.2, decay=1e-5, batch=256) -> Machine:
+def _adagrad(index, x, y, cost, m, factors, steps, rate=0.5, decay=1e-6, batch=256) -> Machine:
     rng = np.random.default_rng(5)
     prior = float((cost * y).sum() / cost.sum())
     theta = np.concatenate((np.full((1, 1 + factors), 0), np.concatenate((np.zeros((m, 1)), rng.normal(0, 0.05, (m, factors))), axis=1)))
     theta[0, 0] = np.log(prior / (1 - prior))
     past = np.full_like(theta, 1e-6)
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, len(y) // batch))):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             dense = np.zeros((len(rows), m))
             for i, r in enumerate(rows):
