@@ -12,64 +12,81 @@ from pyspark.sql import functions as F
 from stocktake.llm.common import stored
 from stocktake.llm.components import components
 
-#: Directions of each half of the product code; a filter is one of the first half with one of the second.
-CODE = 640
-#: A vector is on a filter's cap if its product with the filter's direction is so many standard deviations.
-HEIGHT = 4.0
+#: Independent product codes, and the directions of each half of one. A filter is a direction of the first
+#: half with one of the second, so there are CODES * DIRECTIONS**2 filters.
+CODES = 16
+DIRECTIONS = 64
+#: A vector is on a filter's cap if its product with the filter's direction is so many standard
+#: deviations. With 64 components a vector is on 32 caps on average, and two at cosine 0.95 share 18.
+#: Far larger tables than 10**6 vectors want a larger code and greater height.
+HEIGHT = 3.2
 #: Members of a filter compared in one block; larger filters are cut into chunks that meet pairwise.
 CHUNK = 512
 
 
 @lru_cache(maxsize=4)
-def code(dim: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Random unit directions of the first and of the second half of the coordinates."""
-    rng = np.random.default_rng([seed, dim])
-    halves = []
-    for n in (dim // 2, dim - dim // 2):
-        x = rng.standard_normal((CODE, max(n, 1)))
-        halves.append(x / np.linalg.norm(x, axis=1, keepdims=True))
-    return halves[0], halves[1]
+def codes(dim: int, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each code a random rotation and random unit directions of the first and the second half."""
+    out = []
+    for c in range(CODES):
+        rng = np.random.default_rng([seed, dim, c])
+        halves = [rng.standard_normal((DIRECTIONS, max(n, 1))) for n in (dim // 2, dim - dim // 2)]
+        out.append((np.linalg.qr(rng.standard_normal((dim, dim)))[0], *(h / np.linalg.norm(h, axis=1, keepdims=True) for h in halves)))
+    return out
 
 
 def caps(x: np.ndarray) -> list[np.ndarray]:
-    """For each unit row of ``x`` the numbers of all filters on whose cap it lies (list decoding).
+    """For each unit row of ``x`` the sorted numbers of all filters on whose cap it lies (list decoding).
 
-    Each half of the code is scored once and sorted; a filter's product is the sum of its halves', so
-    for every direction of the first half the second half is read down to where the sum falls short.
-    A vector on no cap gets its best filter.
+    A filter's product is the sum of its halves' products. Directions of the first half that fall
+    short even with the best of the second are dropped, the others are read against all of the
+    second. A vector on no cap gets the best filter of the first code.
     """
-    a, b = code(x.shape[1])
-    half = x.shape[1] // 2
-    p, q = x[:, :half] @ a.T if half else np.zeros((len(x), CODE)), x[:, half:] @ b.T
-    least = HEIGHT / np.sqrt(x.shape[1]) * np.sqrt(2)
-    out = []
-    for u, v in zip(p, q, strict=True):
-        order = np.argsort(-v)
-        reach = np.searchsorted(-v[order], u - least, side="right")  # v >= least - u
-        first = np.repeat(np.arange(CODE), reach)
-        if not len(first):
-            out.append(np.array([int(np.argmax(u)) * CODE + int(order[0])]))
-            continue
-        second = order[np.arange(len(first)) - np.repeat(np.cumsum(reach) - reach, reach)]
-        out.append(first * CODE + second)
-    return out
+    half, least = x.shape[1] // 2, HEIGHT / np.sqrt(x.shape[1]) * np.sqrt(2)
+    rows, filters = [], []
+    best = np.zeros(len(x), np.int64)
+    for c, (turn, a, b) in enumerate(codes(x.shape[1])):
+        z = x @ turn
+        u, v = (z[:, :half] @ a.T if half else np.zeros((len(x), DIRECTIONS))), z[:, half:] @ b.T
+        if c == 0:
+            best = u.argmax(axis=1) * DIRECTIONS + v.argmax(axis=1)
+        row, first = np.nonzero(u >= least - v.max(axis=1)[:, None])
+        k, second = np.nonzero(v[row] >= (least - u[row, first])[:, None])
+        rows.append(row[k])
+        filters.append((c * DIRECTIONS + first[k]) * DIRECTIONS + second)
+    row, found = np.concatenate(rows), np.concatenate(filters)
+    order = np.lexsort((found, row))
+    row, found = row[order], found[order]
+    edges = np.searchsorted(row, np.arange(len(x) + 1))
+    return [found[lo:hi] if hi > lo else best[i:i + 1] for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _number(vectors: DataFrame) -> str:
+    """How a component is written: as it is if it is a float, else in double precision."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
 def _cells(vectors: DataFrame) -> DataFrame:
     """Distinct vectors (row, copies, embedding) -> one row for each cell of each filter they are on."""
     schema = "dim int, row long, copies long, vector binary, filters binary, filter array<long>"
+    number = _number(vectors)
 
     def decode(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = [np.asarray(v, dtype=np.float64) for v in part.column(2).to_pylist()]
-                x = [v / np.sqrt((v * v).sum()) for v in x]
+                x = [np.asarray(v, dtype=number) for v in part.column(2).to_pylist()]
                 lists: list = [None] * len(x)
                 for dim in {len(v) for v in x}:
                     here = [i for i, v in enumerate(x) if len(v) == dim]
-                    for i, f in zip(here, caps(np.stack([x[i] for i in here])), strict=True):
-                        lists[i] = np.sort(f)
+                    for i, f in zip(here, caps(_unit(np.stack([x[i] for i in here]))), strict=True):
+                        lists[i] = f
                 yield pa.RecordBatch.from_arrays([
                     pa.array([len(v) for v in x], pa.int32()), part.column(0), part.column(1), pa.array([v.tobytes() for v in x], pa.binary()),
                     pa.array([f.astype("<i4").tobytes() for f in lists], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
@@ -111,7 +128,7 @@ def _pairs(cell: np.ndarray, chunk: np.ndarray, i_of: np.ndarray, j_of: np.ndarr
             yield np.repeat(left, len(right)), np.tile(right, len(left))
 
 
-def _linked(batch: pa.Table, threshold: float):
+def _linked(batch: pa.Table, threshold: float, number: str):
     """(row, other, n) of whole cells: each row's links (weighted by copies) and a spanning star of each local component."""
     col = {n: batch.column(n) for n in batch.column_names}
     dims = np.asarray(col["dim"])
@@ -125,7 +142,7 @@ def _linked(batch: pa.Table, threshold: float):
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
-        x = np.frombuffer(b"".join(vectors[r] for r in at)).reshape(len(at), dim)
+        x = _unit(np.frombuffer(b"".join(vectors[r] for r in at), number).reshape(len(at), dim))
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
         for pair in _pairs(cell[at], key[3][at], key[1][at], key[2][at]):
@@ -172,6 +189,8 @@ def links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     of about CHUNK vectors, so no task holds a large filter. A pair counts in the cell of its
     smallest common filter only. Cells leave counts and spanning stars, never their pairs.
     """
+    number = _number(vectors)
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -186,16 +205,16 @@ def links(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             if cut == 0 and held and all(np.asarray(held[-1].column(k))[-1] == key[k][0] for k in range(4)):
                 held.append(batch)
                 continue
-            yield from _out(held + ([batch.slice(0, cut)] if cut else []), threshold)
+            yield from _out(held + ([batch.slice(0, cut)] if cut else []), threshold, number)
             held = [batch.slice(cut)]
-        yield from _out(held, threshold)
+        yield from _out(held, threshold, number)
 
     cells = _cells(vectors).repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j")
     return cells.mapInArrow(run, "row long, other long, n long")
 
 
-def _out(held: list[pa.RecordBatch], threshold: float):
-    got = _linked(pa.Table.from_batches(held), threshold) if held else None
+def _out(held: list[pa.RecordBatch], threshold: float, number: str):
+    got = _linked(pa.Table.from_batches(held), threshold, number) if held else None
     if got is not None:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], ["row", "other", "n"])
 

@@ -72,13 +72,14 @@ def band_plan(shingles: int, width: int, stride: int, threshold: float, miss: fl
     probability 1 - ``miss`` at least.
 
     The best aligned window loses half a stride at either end at most, so it shares c shingles with
-    the template, and its similarity is at least c / (width + shingles - c).
+    the template, and its similarity is at least c / (width + shingles - c). One row a band is
+    enough: unrelated windows hardly ever share a five-word shingle, let alone the smallest.
     """
     c = math.ceil(threshold * shingles - 1e-9) - (0 if stride == 1 else stride / 2)
     similarity = c / (width + shingles - c)
     if similarity >= 1:
         return 1, 1
-    return 2, math.ceil(math.log(miss) / math.log(1 - similarity ** 2))
+    return 1, math.ceil(math.log(miss) / math.log(1 - similarity))
 
 
 class Library:
@@ -100,11 +101,11 @@ class Library:
             by: dict[int, list[int]] = {}
             for t, s in enumerate(self.sets):
                 if self.sizes[t] == n and len(s):
-                    by.setdefault(len(s) if len(s) < 16 else -(-len(s) // 16) * 16, []).append(t)
+                    by.setdefault(len(s) if len(s) < 16 else -(-len(s) // 8) * 8, []).append(t)
             self.widths[n] = [self._width(w, ts, miss, rng) for w, ts in sorted(by.items())]
 
     def _width(self, width: int, templates: list[int], miss: float, rng) -> Width:
-        stride = 1 if width < 16 else width // 16
+        stride = 1 if width < 16 else width // 8
         plans = [band_plan(len(self.sets[t]), width, stride, self.threshold, miss) for t in templates]
         rows, bands = max(p[0] for p in plans), max(p[1] for p in plans)
         factors = rng.integers(0, 1 << 63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

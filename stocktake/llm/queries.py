@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktake.llm import cap_filters, hypergeometric_shuffle, license_scan, mixture_packing, quality_knn, simhash_pivots, token_cache, toxicity_fm
+from stocktake.llm import (
+    cap_filters,
+    hypergeometric_shuffle,
+    latent_decontamination,
+    license_scan,
+    mixture_packing,
+    quality_knn,
+    simhash_pivots,
+    token_cache,
+    toxicity_fm,
+)
 from stocktake.llm.common import load
 
 
@@ -37,6 +47,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.count(load(spark, sf_dir, "documents"), limit=4096)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return latent_decontamination.decontaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens in their sources' proportions."""
     import public_tokenizers
@@ -59,8 +74,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_neardup": op4_embedding_neardup,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op6_token_counts": op6_token_counts,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_uniform_sharding": op9_uniform_sharding,
     "op10_quality_knn": op10_quality_knn,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_embedding_neardup": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0
+              AND len(list_filter(embedding, v -> v <> 0)) > 0),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+        reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+        low AS (SELECT u, min(v) AS low FROM reach GROUP BY u),
+        deg AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT e.vec_id, coalesce(deg.n, 0) AS n_links, least(e.vec_id, coalesce(low.low, e.vec_id)) AS component_id,
+            e.vec_id = least(e.vec_id, coalesce(low.low, e.vec_id)) AS kept
+        FROM embeddings e LEFT JOIN low ON e.vec_id = low.u LEFT JOIN deg ON e.vec_id = deg.u""",
+}
