@@ -25,7 +25,7 @@ ITEMS = 256
 def word_hashes(texts: pa.Array):
     """(first text, number of texts, word hashes, the words' texts) of each piece: letters and digits, lower case."""
     for first, data, offsets in W.pieces(texts):
-        data = W.LOWER[data]
+        data = W.lower(data)
         start, end, doc = W.spans(data, offsets)
         yield first, len(offsets) - 1, W.span_hash(data, start, end), doc
 
@@ -42,7 +42,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
             for batch in batches:
                 out[-1] += batch.num_rows
                 for _, _, word, doc in word_hashes(text_array(batch, "text")):
-                    pair = np.unique((doc << BITS) | slots(word))
+                    pair = W.distinct((doc << BITS) | slots(word))
                     out[:-1] += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
             return out
         return total
@@ -141,10 +141,15 @@ class Index:
     def _confirmed(self, d, t, places, word, start, begin, last, ends):
         item = self.words[t]
         spare, best = max(1, len(item) // 2), None
+        least = min(self.verbatim, self.paraphrase) * len(item)
         for first, cosine in places:
             lo = max(int(begin[d]), int(start[first]) - spare)
             hi = min(int(begin[d + 1]), int(ends[last[first] - 1]) + spare)
-            length, matched = common_subsequence(item, word[lo:hi].tolist())
+            around = word[lo:hi].tolist()
+            there = set(around)
+            if sum(x in there for x in item) < least:  # no subsequence is longer
+                continue
+            length, matched = common_subsequence(item, around)
             tail = max(1, len(item) // 4)
             answer = (matched >> (len(item) - tail)).bit_count() / tail
             share = length / len(item)

@@ -43,7 +43,7 @@ MATCH = StructType([StructField("doc_id", LongType()), StructField("license", St
 def hashed(texts: pa.Array | Sequence[str]):
     """(first text, number of texts, word hashes, the words' texts) of each piece of texts."""
     for first, data, offsets in W.pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
-        data = W.LOWER[data]
+        data = W.lower(data)
         start, end, doc = W.spans(data, offsets)
         word = W.span_hash(data, start, end)
         yield first, len(offsets) - 1, word, doc

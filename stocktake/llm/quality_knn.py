@@ -41,7 +41,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = np.concatenate(([0], np.cumsum(fresh)))
     shapes = W.span_hash(shape[fresh], at[start], at[end])
     pairs, first = W.shingle_hash(shapes, doc, 2)
-    word = W.span_hash(W.LOWER[data], start, end)
+    word = W.span_hash(W.lower(data), start, end)
     again = np.flatnonzero((word[1:] == word[:-1]) & (doc[1:] == doc[:-1]))
     shingle, s_first = W.shingle_hash(word, doc, 5)
     order = np.lexsort((shingle, doc[s_first]))

@@ -20,7 +20,7 @@ BITS = 20
 
 def term_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slot, text number) of every term: each word, and the first four and five bytes of longer words."""
-    data = W.LOWER[data]
+    data = W.lower(data)
     start, end, doc = W.spans(data, offsets)
     if not len(start):
         return np.zeros(0, np.int64), doc
@@ -50,7 +50,7 @@ class Machine:
             term = self.index[slot]
             known = term >= 0
             n, m = len(offsets) - 1, max(1, len(self.weight))
-            pair = np.unique(doc[known] * m + term[known])
+            pair = W.distinct(doc[known] * m + term[known])
             doc, term = pair // m, pair % m
             linear = np.bincount(doc, self.weight[term] if len(term) else None, minlength=n)
             total = np.zeros((n, self.factor.shape[1]))
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             y = np.asarray(batch.column(1))
             for first, data, offsets in W.pieces(text_array(batch, "text")):
                 slot, doc = term_slots(data, offsets)
-                pair = np.unique((doc << BITS) | slot)
+                pair = W.distinct((doc << BITS) | slot)
                 cut = np.searchsorted(pair, np.arange(len(offsets)) << BITS)
                 values = (pair & ((1 << BITS) - 1)).astype("<u4")
                 yield pa.RecordBatch.from_arrays(

@@ -42,6 +42,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and of the Latin-1 letters made small (no byte moves)."""
+    out = LOWER[data]
+    lead = np.flatnonzero(out[:-1] == 0xC3) + 1
+    second = out[lead]
+    out[lead[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 0x20
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, in 32 bits where they fit)."""
+    if not len(x):
+        return x
+    s = np.sort(x.astype(np.uint32) if x.max() < 1 << 32 else x)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))].astype(x.dtype)
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a null-free string array; text i is bytes[offsets[i]:offsets[i+1]]."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
