@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stocktake.llm import (
     cap_filters,
+    context_tree,
     hypergeometric_shuffle,
     latent_decontamination,
     license_scan,
@@ -25,6 +26,11 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(load(spark, sf_dir, "documents"), words=4, max_bits=4)
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return context_tree.scored(load(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents."""
     return license_scan.scan(load(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op2_context_tree": op2_context_tree,
     "op3_license_scan": op3_license_scan,
     "op4_embedding_neardup": op4_embedding_neardup,
     "op5_toxicity_fm": op5_toxicity_fm,
