@@ -15,6 +15,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of an Arrow batch: long texts make large batches of the default 10,000.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Repeated keys in landed JSON: keep the last value, as JSON parsers commonly do.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
