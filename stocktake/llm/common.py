@@ -25,6 +25,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "llm", name)
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files of finished steps go when the driver collects its garbage; a long chain of steps can't wait for that
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,13 @@ DEPTH = 5
 #: keys at most, and above the roots there are 256**(ROOT - 1) contexts, whatever the corpus.
 ROOT = 3
 #: Bytes of text in a block (at least one text).
-BLOCK = 24 << 20
-GRAM, WORD = 0, 1
+BLOCK = 32 << 20
+#: Bytes of the runs of texts that are worked on at a time.
+RUN = 1 << 20
+#: Set in the keys of words (63 bits of their hash); the keys of bytes are below it.
+WORD = np.uint64(1 << 63)
+#: Entries gathered before they are added up.
+GATHERED = 1 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -136,49 +142,71 @@ class Top:
 
 
 def normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored (row, doc_id, held_out, block, n_tokens, stream): each text's words in lower case, a space
-    between them and a line feed behind them, in blocks of about BLOCK bytes."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                       held_out_rows(id_col, 10, 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    schema = "row long, doc_id long, held_out boolean, block string, n_tokens long, stream binary"
+    """Stored (block, doc_id array, held_out array, streams): runs of texts of about RUN bytes in blocks of about BLOCK.
+
+    A text's stream is its words in lower case, a space between them and a line feed behind them;
+    a run's streams are compressed together.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out_rows(id_col, 10, 0).alias("held_out"),
+                       F.col(text_col).cast("string").alias("text"))
+    schema = "block long, doc_id array<long>, held_out array<boolean>, streams binary"
 
     def run(batches):
-        part, block, size = TaskContext.get().partitionId(), 0, 0
+        pack = zstandard.ZstdCompressor(level=3).compress
+        part, block, in_block = TaskContext.get().partitionId(), 0, 0
+        ids, held, streams, size = [], [], [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + block], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                                               pa.array([held], pa.list_(pa.bool_())), pa.array([pack(b"".join(streams))], pa.binary())],
+                                              ["block", "doc_id", "held_out", "streams"])
+
         for batch in batches:
-            blocks, tokens, streams = [], [], []
-            for text in text_array(batch, "text"):
-                found = text.as_py().encode("utf-8", "replace").lower().split()
-                stream = b" ".join(found) + b"\n"
-                if size and size + len(stream) > BLOCK:
-                    block, size = block + 1, 0
-                size += len(stream)
-                blocks.append(f"{part}-{block}")
-                tokens.append(len(found) + 1)
-                streams.append(stream)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blocks, pa.string()), pa.array(tokens, pa.int64()),
-                                              pa.array(streams, pa.binary())], ["row", "doc_id", "held_out", "block", "n_tokens", "stream"])
+            for i, h, text in zip(batch.column(0), batch.column(1), text_array(batch, "text"), strict=True):
+                ids.append(i.as_py())
+                held.append(h.as_py())
+                streams.append(b" ".join(text.as_py().encode("utf-8", "replace").lower().split()) + b"\n")
+                size += len(streams[-1])
+                if size >= RUN:
+                    yield out()
+                    in_block += size
+                    ids, held, streams, size = [], [], [], 0
+                    if in_block >= BLOCK:
+                        block, in_block = block + 1, 0
+        if ids:
+            yield out()
 
     return stored(rows.mapInArrow(run, schema), "streams")
 
 
-def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(key of every byte, text number): the DEPTH bytes before it, nearest first (zeros before a text), and itself."""
+def streams_of(packed: bytes) -> list[bytes]:
+    """The streams of a run (a line feed ends each, and none holds another)."""
+    return [s + b"\n" for s in zstandard.ZstdDecompressor().decompress(packed).split(b"\n")[:-1]]
+
+
+def grams(streams: list[bytes]):
+    """Pieces of (key of every byte, text number): the DEPTH bytes before it, nearest first (zeros before a text), and itself."""
     pad = b"\0" * DEPTH
-    data = np.frombuffer(pad + pad.join(streams), np.uint8).astype(np.uint64)
-    key = data[DEPTH:].copy()
-    for back in range(1, DEPTH + 1):
-        key |= data[DEPTH - back:len(data) - back] << np.uint64(8 * (DEPTH + 1 - back))
+    data = np.frombuffer(pad + pad.join(streams), np.uint8)
     sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-    at = np.arange(sizes.sum()) + np.repeat(np.arange(len(streams)) * DEPTH, sizes)
-    return key[at], np.repeat(np.arange(len(streams)), sizes)
+    starts = np.cumsum(sizes + DEPTH) - sizes
+    for lo in range(DEPTH, len(data), RUN):
+        piece = data[lo - DEPTH:lo + RUN].astype(np.uint64)
+        key = piece[DEPTH:].copy()
+        for back in range(1, DEPTH + 1):
+            key |= piece[DEPTH - back:len(piece) - back] << np.uint64(8 * (DEPTH + 1 - back))
+        at = np.arange(lo, lo + len(key))
+        text = np.maximum(np.searchsorted(starts, at, side="right") - 1, 0)
+        inside = at - starts[text] < sizes[text]
+        yield key[inside], text[inside]
 
 
 def words_of(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every word."""
+    """(key, text number) of every word."""
     texts = pa.array(streams, pa.large_binary())
     data, offsets = W.bytes_of(texts)
     start, end, doc = W.spans(data, offsets, W.NOT_SPACE)
-    return W.span_hash(data, start, end), doc
+    return W.span_hash(data, start, end) | WORD, doc
 
 
 def tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,53 +217,43 @@ def tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
-def runs(streams: list[bytes], most: int = 2 << 20):
-    """Ranges of texts of about ``most`` bytes."""
-    at, size = 0, 0
-    for i, s in enumerate(streams):
-        if size and size + len(s) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(s)
-    if streams:
-        yield at, len(streams)
-
-
 def postings(texts: DataFrame) -> DataFrame:
-    """Stored (block, kind, key, n): each block's distinct byte keys and words, and how often its training texts have them."""
-    def counts(streams: list[bytes], held: np.ndarray):
-        found: dict[int, list] = {GRAM: [], WORD: []}
-        for lo, hi in runs(streams):
-            key, doc = grams(streams[lo:hi])
+    """Stored (block, key, n): each block's distinct byte keys and words, and how often its training texts have them."""
+    def counts(streams: list[bytes], training: np.ndarray):
+        for key, doc in grams(streams):
             # the lowest bit tells training from held-out text, so that one sort of plain numbers is enough
-            key = np.sort((key << np.uint64(1)) | (~held[lo:hi])[doc].astype(np.uint64))
+            key = np.sort((key << np.uint64(1)) | training[doc].astype(np.uint64))
             first = np.flatnonzero(np.concatenate(([True], key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1))))
-            found[GRAM].append((key[first] >> np.uint64(1), np.add.reduceat((key & np.uint64(1)).astype(np.int64), first)))
-            key, doc = words_of(streams[lo:hi])
-            found[WORD].append(tally(key, (~held[lo:hi])[doc].astype(np.int64)))
-        return {kind: tally(*(np.concatenate(c) for c in zip(*parts, strict=True))) for kind, parts in found.items()}
-
-    def out(block: str, streams: list[bytes], held: list[bool]):
-        for kind, (key, n) in counts(streams, np.array(held, bool)).items():
-            for at in range(0, len(key), 100_000):
-                k = key[at:at + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(k), pa.string()), pa.array(np.full(len(k), kind, np.int8)),
-                                                  pa.array(k), pa.array(n[at:at + 100_000])], ["block", "kind", "key", "n"])
+            yield key[first] >> np.uint64(1), np.add.reduceat((key & np.uint64(1)).astype(np.int64), first)
+        key, doc = words_of(streams)
+        yield tally(key, training[doc].astype(np.int64))
+
+    def out(block: int, found: list):
+        key, n = together(found)
+        for at in range(0, len(key), 100_000):
+            k = key[at:at + 100_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.array(n[at:at + 100_000])],
+                                             ["block", "key", "n"])
 
     def run(batches):
-        block, streams, held = None, [], []
+        block, found = None, []
         for batch in batches:
-            for b, h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if b != block and streams:
-                    yield from out(block, streams, held)
-                    streams, held = [], []
-                block = b
-                streams.append(s)
-                held.append(h)
-        if streams:
-            yield from out(block, streams, held)
+            for b, held, packed in zip(*batch.columns, strict=True):
+                if b.as_py() != block and found:
+                    yield from out(block, found)
+                    found = []
+                block = b.as_py()
+                found += counts(streams_of(packed.as_py()), ~np.array(held.as_py(), bool))
+                if sum(len(k) for k, _ in found[1:]) > GATHERED:
+                    found = [together(found)]
+        if found:
+            yield from out(block, found)
+
+    return stored(texts.select("block", "held_out", "streams").mapInArrow(run, "block long, key long, n long"), "postings")
+
 
-    return stored(texts.select("block", "held_out", "stream").mapInArrow(run, "block string, kind byte, key long, n long"), "postings")
+def together(found: list) -> tuple[np.ndarray, np.ndarray]:
+    return tally(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
 def gram_scores(posted: DataFrame) -> DataFrame:
@@ -267,7 +285,7 @@ def gram_scores(posted: DataFrame) -> DataFrame:
                                               pa.array(nodes.n1), pa.array(nodes.log_weighted), pa.nulls(len(nodes.ids), pa.list_(pa.float32()))],
                                              ["kind", "key", "n0", "n1", "weighted", "bits"])
 
-    counted = posted.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n"))
+    counted = posted.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n"))
     counted = counted.repartition(F.shiftright("key", 8 * (DEPTH + 1 - ROOT)))
     weighed = stored(counted.mapInArrow(weigh, schema), "subtrees")
     up = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
@@ -324,36 +342,40 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     texts = normalised(docs, id_col, text_col)
     posted = postings(texts)
-    ends = texts.where(~F.col("held_out")).count()
-    words = stored(posted.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").cast("double").alias("value")), "word-counts")
+    ends = texts.agg(F.sum(F.size(F.expr("filter(held_out, h -> not h)")))).first()[0] or 0
+    words = stored(posted.where("key < 0").groupBy("key").agg(F.sum("n").cast("double").alias("value")), "word-counts")
     total, known = words.where("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.count(F.lit(1))).first()
     train, distinct = int(total) + ends, int(known) + (ends > 0)
-    values = gram_scores(posted).withColumn("kind", F.lit(GRAM).cast("byte")).unionByName(words.withColumn("kind", F.lit(WORD).cast("byte")))
-    valued = posted.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    none = F.lit(None)
+    values = gram_scores(posted).select("key", F.col("value").cast("float").alias("log10_p"), none.cast("double").alias("known")).unionByName(
+        words.select("key", none.cast("float").alias("log10_p"), F.col("value").alias("known")))
+    valued = posted.select("block", "key").join(values, "key").select("block", "key", "log10_p", "known")
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
               "bits_per_byte double")
     rest = np.log10(train + 0.1 * (distinct + 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, key = np.asarray(right["kind"]), np.asarray(right["key"]).astype(np.int64).view(np.uint64)
-        value = np.asarray(right["value"])
-        gram = Table(key[kind == GRAM], value[kind == GRAM])
-        word = Table(key[kind == WORD], value[kind == WORD]) if (kind == WORD).any() else None
-        streams = left["stream"].to_pylist()
-        score, base, known = np.zeros(len(streams)), np.zeros(len(streams)), np.zeros(len(streams), np.int64)
-        for lo, hi in runs(streams):
-            keys, doc = grams(streams[lo:hi])
-            score[lo:hi] = np.bincount(doc, gram[keys], minlength=hi - lo)
-            keys, doc = words_of(streams[lo:hi])
+        key = np.asarray(right["key"]).astype(np.int64).view(np.uint64)
+        is_word = key >= WORD
+        gram = Table(key[~is_word], np.asarray(right["log10_p"])[~is_word])
+        word = Table(key[is_word], np.asarray(right["known"])[is_word])
+        out = []
+        for ids, held, packed in zip(left["doc_id"], left["held_out"], left["streams"], strict=True):
+            streams = streams_of(packed.as_py())
+            n = len(streams)
+            total, base, known = np.zeros(n), np.full(n, np.log10(ends + 0.1) - rest), np.full(n, int(ends > 0))
+            for keys, doc in grams(streams):
+                total += np.bincount(doc, gram[keys], minlength=n)
+            keys, doc = words_of(streams)
             if len(keys):
                 c = word[keys]
-                base[lo:hi] = np.bincount(doc, np.log10(c + 0.1) - rest, minlength=hi - lo)
-                known[lo:hi] = np.bincount(doc, c > 0, minlength=hi - lo)
-        base += np.log10(ends + 0.1) - rest
-        known += ends > 0
-        sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": left["n_tokens"], "n_known": known,
-                         "train_tokens": np.full(len(streams), train), "base_score": base, "score": score,
-                         "bits_per_byte": -score / sizes * np.log2(10)})
+                base += np.bincount(doc, np.log10(c + 0.1) - rest, minlength=n)
+                known += np.bincount(doc, c > 0, minlength=n).astype(np.int64)
+            sizes = np.fromiter(map(len, streams), np.int64, n)
+            out.append(pa.table({
+                "doc_id": ids.values, "held_out": held.values, "n_tokens": pa.array(np.bincount(doc, minlength=n) + 1, pa.int64()),
+                "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(n, train), pa.int64()), "base_score": base, "score": total,
+                "bits_per_byte": -total / sizes * np.log2(10)}))
+        return pa.concat_tables(out)
 
     return texts.groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(score, schema)

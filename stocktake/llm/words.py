@@ -102,6 +102,17 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM) -> t
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each span: one prefix sum of byte * BASE**position serves all spans."""
+    if len(data) > PIECE and len(start):  # a very long text: runs of its words at a time
+        out, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + PIECE, side="right")))
+            lo, hi = start[at], end[to - 1]
+            if hi - lo == len(data):
+                break
+            out[at:to] = span_hash(data[lo:hi], start[at:to] - lo, end[at:to] - lo)
+            at = to
+        else:
+            return out
     power, inverse = _powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
