@@ -160,4 +160,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     grouped = stored(prints.join(named, "fp").select(place, key, "group__"), "document-groups")
     first = grouped.groupBy("group__").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col(place)))[place].alias("first__"))
     gone = grouped.join(first, "group__").where(F.col(place) != F.col("first__")).select(place)
-    return placed.join(gone, place, "left_anti").select(*docs.columns)
+    # the rows that go grow with the input, so they are never broadcast; the hash join leaves the texts unsorted
+    return placed.join(gone.hint("shuffle_hash"), place, "left_anti").select(*docs.columns)
