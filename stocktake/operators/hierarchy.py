@@ -12,7 +12,7 @@ from ..fixed_values import (CATALOG_SCAN_LIST_KEYS, COUNTER_KEYS, INJECTED_CHILD
                             TABLE_KEY, TABLE_TYPE_EXTERNAL, TABLE_TYPE_MANAGED)
 from ..functions.joins import checkpoint_once, join_checked, materialize_small
 from ..functions.ranking import top_n_per_group
-from ..sources.landing import apply_page_rules, cap_pages, page_flags, unnest
+from ..sources.landing import LISTING, apply_page_rules, cap_pages, page_flags, unnest
 
 
 def record_field(name: str, typ: str = "string", rec: str = "rec") -> Column:
@@ -21,36 +21,57 @@ def record_field(name: str, typ: str = "string", rec: str = "rec") -> Column:
     return F.try_variant_get(F.col(rec), step, typ)
 
 
+#: What tells the collection runs of different workspaces and times apart.
+RUN = ["workspace", "collected_at"]
+
+
+def _same_run(left: DataFrame, right: DataFrame, prefix: str) -> Column:
+    """Equality of the run columns that ``right`` has (there named with ``prefix``)."""
+    cond = F.lit(True)
+    for c in RUN:
+        if prefix + c in right.columns:
+            cond = cond & left[c].eqNullSafe(right[prefix + c])
+    return cond
+
+
 def select_catalogs(catalog_records: DataFrame, allowlist: list[str] | None = None, limit: int = 0) -> DataFrame:
-    """Catalog names to scan.
+    """Catalog names to scan, with their run (workspace, collected_at).
 
-    With an allowlist: the allowlist entries that exist (duplicates kept), the legacy
-    catalog counting as existing when it is asked for. Sorted by name (binary order),
-    first ``limit`` when > 0.
+    With an allowlist: the allowlist entries that exist in the run (duplicates kept), the
+    legacy catalog counting as existing when it is asked for. Sorted by name (binary
+    order), first ``limit`` of each run when > 0.
     """
     spark = catalog_records.sparkSession
-    names = catalog_records.select(record_field("name").alias("catalog")).where(F.col("catalog").isNotNull())
+    run = [c for c in RUN if c in catalog_records.columns]
+    names = catalog_records.select(record_field("name").alias("catalog"), *run).where(F.col("catalog").isNotNull())
     if allowlist:
-        if LEGACY_CATALOG in allowlist:
-            names = names.unionByName(spark.createDataFrame([(LEGACY_CATALOG,)], "catalog string"))
         allow = spark.createDataFrame([(a,) for a in allowlist], "catalog string")
-        names = allow.join(names, "catalog", "left_semi")
-    if limit and limit > 0:
-        return names.orderBy("catalog").limit(limit)
-    return names
+        # the allowlist is a parameter, so it is the side to broadcast; names are filtered before their distinct
+        known = names.join(F.broadcast(allow), "catalog", "left_semi").distinct()
+        if LEGACY_CATALOG in allowlist:
+            legacy = catalog_records.select(F.lit(LEGACY_CATALOG).alias("catalog"), *run).distinct()
+            if not run:
+                legacy = spark.createDataFrame([(LEGACY_CATALOG,)], "catalog string")
+            known = known.unionByName(legacy).distinct()
+        names = known.join(F.broadcast(allow), "catalog").select("catalog", *run)
+    return top_n_per_group(names, run, ["catalog"], limit) if run else (
+        names.orderBy("catalog").limit(limit) if limit and limit > 0 else names)
 
 
 def _catalog_scan_pages(pages: DataFrame, endpoint: str, parents: DataFrame, parent_col: str,
                         parents_written: bool = False) -> DataFrame:
-    """Pages of one catalog-scan endpoint whose parent was selected (one row per selection).
+    """Pages of one catalog-scan endpoint whose parent was selected in the same run (one row per selection).
 
     The selection (one narrow row per catalog or schema) is written to the shared
     checkpoint folder and counted; under the row limit it is broadcast, so the page
     bodies are never shuffled for this join.
     """
     p = pages.where(F.col("endpoint") == endpoint)
-    sel, n = materialize_small(parents.select(F.col(parent_col).alias("_sel")), checkpoint=not parents_written)
-    return join_checked(p, sel, F.col("parent") == F.col("_sel"), small_rows=n)
+    run = [c for c in RUN if c in parents.columns]
+    sel, n = materialize_small(parents.select(F.col(parent_col).alias("_sel"), *[F.col(c).alias(f"_sel_{c}") for c in run]),
+                               checkpoint=not parents_written)
+    on = (p["parent"] == sel["_sel"]) & _same_run(p, sel, "_sel_")
+    return join_checked(p, sel, on, small_rows=n).drop(*[f"_sel_{c}" for c in run])
 
 
 def select_schemas(pages: DataFrame, catalogs: DataFrame, limit: int = 0,
@@ -62,12 +83,12 @@ def select_schemas(pages: DataFrame, catalogs: DataFrame, limit: int = 0,
     """
     p = _catalog_scan_pages(pages, endpoint, catalogs, "catalog")
     p = page_flags(p, token_only=True)
-    p = apply_page_rules(p, "complete", listing=["workspace", "endpoint", "parent", "_sel"])
+    p = apply_page_rules(p, "complete", listing=[*LISTING, "_sel"])
     recs = unnest(p, CATALOG_SCAN_LIST_KEYS[endpoint])
     out = recs.select(F.col("workspace"), F.col("collected_at"), F.col("parent").alias("catalog_name"),
                       record_field("name").alias("schema_name"))
     out = out.where(F.col("schema_name").isNotNull())
-    out = top_n_per_group(out, ["workspace", "catalog_name"], ["schema_name"], limit)
+    out = top_n_per_group(out, [*RUN, "catalog_name"], ["schema_name"], limit)
     out = out.withColumn("full_name", F.concat_ws(".", "catalog_name", "schema_name"))
     # one small row per schema, read by the table scan, the counters and the raw table
     return checkpoint_once(out)
@@ -80,15 +101,19 @@ def select_tables(pages: DataFrame, schemas: DataFrame, endpoint: str = TABLE_KE
     as an object drops the whole schema listing.
     """
     # schemas come checkpointed from select_schemas: counting them is enough
-    p = _catalog_scan_pages(pages, endpoint, schemas.select("full_name"), "full_name", parents_written=True)
+    p = _catalog_scan_pages(pages, endpoint, schemas.select("full_name", *[c for c in RUN if c in schemas.columns]),
+                            "full_name", parents_written=True)
     p = page_flags(p, token_only=True)
-    listing = ["workspace", "endpoint", "parent", "_sel"]
+    listing = [*LISTING, "_sel"]
     kept = apply_page_rules(p, "prefix", listing=listing,
                             broken=(F.col("status") == 200) & ~F.col("_usable"))
     recs = unnest(kept, CATALOG_SCAN_LIST_KEYS[endpoint])
+    run = [c for c in RUN if c in schemas.columns]
     sch, n = materialize_small(schemas.select(F.col("full_name").alias("_fn"), F.col("catalog_name").alias("_catalog"),
-                                              F.col("schema_name").alias("_schema")).distinct(), checkpoint=False)
-    return join_checked(recs, sch, F.col("parent") == F.col("_fn"), small_rows=n).drop("_fn")
+                                              F.col("schema_name").alias("_schema"),
+                                              *[F.col(c).alias(f"_run_{c}") for c in run]).distinct(), checkpoint=False)
+    on = (recs["parent"] == sch["_fn"]) & _same_run(recs, sch, "_run_")
+    return join_checked(recs, sch, on, small_rows=n).drop("_fn", *[f"_run_{c}" for c in run])
 
 
 def count_types(tables: DataFrame, by: list[str] | None = None, type_col: Column | None = None) -> DataFrame:
@@ -132,7 +157,8 @@ def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str,
     page only. A parent listed twice gets its children twice, as a per-parent reader
     would fetch them twice.
     """
-    parents = (parent_records.select(record_field(parent_field).alias("_parent_name"))
+    run = [c for c in RUN if c in parent_records.columns]
+    parents = (parent_records.select(record_field(parent_field).alias("_parent_name"), *[F.col(c).alias(f"_run_{c}") for c in run])
                .where(F.col("_parent_name").isNotNull() & (F.col("_parent_name") != "")))
     cap = 1 if not paginate else page_cap
     p = cap_pages(child_pages, cap)
@@ -142,7 +168,8 @@ def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str,
     # one narrow row per named parent: counted, broadcast under the row limit, so the
     # child records are not shuffled for this join
     parents, n = materialize_small(parents)
-    return (join_checked(recs, parents, F.col("parent") == F.col("_parent_name"), small_rows=n)
+    on = (recs["parent"] == parents["_parent_name"]) & _same_run(recs, parents, "_run_")
+    return (join_checked(recs, parents, on, small_rows=n).drop(*[f"_run_{c}" for c in run])
             .withColumnRenamed("_parent_name", inject_as))
 
 

@@ -53,7 +53,7 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
     for c in child_cfg:
         parents = top.where(F.col("endpoint") == c["parent_key"])
         kids = child_rows(parents, pages.where(F.col("endpoint") == c["key"]), c["list_key"],
-                          paginate=c["paginate"], page_cap=c["page_cap"])
+                          parent_field=c["parent_field"] or "name", paginate=c["paginate"], page_cap=c["page_cap"])
         shaped = shape_records(kids, keep=True, prefix=prefix, counts_out=found,
                                inject={INJECTED_CHILD_FIELD: F.col(INJECTED_CHILD_FIELD)})
         for g, df in shaped.items():

@@ -282,7 +282,7 @@ def q_allowlist_topn(spark, d):
                        F.struct(F.col("c_name").alias("name")), F.col("c_custkey"))
     recs = landed_records(landed(pages),
                           resolved_registry(spark, max_pages={"catalog": 0}, overrides={"catalog": True}))
-    return select_catalogs(recs, ALLOWLIST, CATALOG_LIMIT)
+    return select_catalogs(recs, ALLOWLIST, CATALOG_LIMIT).select("catalog")
 
 
 SCHEMA_LIMIT = 3

@@ -20,9 +20,6 @@ SESSION_DEFAULTS = {
     # Repeated keys in landed JSON: keep the last value, as JSON parsers commonly do.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # An overwrite may land where files of a table unknown to the catalog remain
-    # (local in-memory catalogs forget tables between sessions).
-    "spark.sql.legacy.allowNonEmptyLocationInCTAS": "true",
 }
 
 

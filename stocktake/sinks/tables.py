@@ -67,10 +67,16 @@ def match_names(names: DataFrame, include: list[str], exclude: list[str] | None
 def drop_matching(spark: SparkSession, schema: str, catalog: str | None = None,
                   include: list[str] | None = None, exclude: list[str] | None = None,
                   raw_prefix: str = RAW_TABLE_PREFIX) -> list[str]:
-    """Drop the tables of a schema that match the patterns; temp views are skipped (K7)."""
-    include = include if include is not None else [raw_prefix, SUMMARY_TABLE]
+    """Drop the tables of a schema that match the patterns; temp views are skipped (K7).
+
+    Without patterns only this engine's own tables go: names that begin with the raw
+    prefix, and the summary.
+    """
     within = ".".join(p for p in (catalog, schema) if p)
     tables = list_objects(spark, "tables", within).where(~F.col("isTemporary"))
+    if include is None:
+        own = F.col("tableName").startswith(raw_prefix) | (F.col("tableName") == SUMMARY_TABLE)
+        tables, include = tables.where(own), [""]
     names = [r["tableName"] for r in match_names(tables, include, exclude).select("tableName").collect()]
     for n in names:
         spark.sql(f"DROP TABLE IF EXISTS {table_name(catalog, schema, n, prefix='')}")
@@ -118,6 +124,7 @@ class InventorySink:
         """
         mode = mode or self.raw_mode
         ident = self.table(key)
+        self.recover(ident)
         if EMPTY_MARK in df.columns:
             # records that all flattened to nothing: the zero-row placeholder is written
             # (an existing table in append mode keeps its schema)
@@ -140,12 +147,45 @@ class InventorySink:
         return True
 
     def _overwrite(self, ident: str, df: DataFrame) -> None:
-        try:
-            df.write.mode("overwrite").format("parquet").saveAsTable(ident)
-        except Exception:
-            # Last resort: drop and recreate (K4).
+        """Replace a table (K1, K4): the new rows are written beside it first, so input
+        that fails leaves the old table as it is."""
+        self._swap_in(ident, df)
+
+    def _swap_in(self, ident: str, df: DataFrame, partition_by: str | None = None) -> None:
+        """Write a stage table, put the old one aside, bring the stage in, drop the old one.
+
+        A stage table is registered only once it is whole, so a run that ends between the
+        steps is repaired by the next write (``recover``).
+        """
+        self.recover(ident)
+        stage, aside = ident[:-1] + "__stage`", ident[:-1] + "__old`"
+        self.spark.sql(f"DROP TABLE IF EXISTS {stage}")
+        df.write.mode("overwrite").format("parquet").saveAsTable(stage)
+        if partition_by:
+            # the partitions of a renamed table keep their folders, so a partitioned table is written anew from the stage
             self.spark.sql(f"DROP TABLE IF EXISTS {ident}")
-            df.write.mode("overwrite").format("parquet").saveAsTable(ident)
+            self.recover(ident)
+            return
+        if self.exists(ident):
+            self.spark.sql(f"ALTER TABLE {ident} RENAME TO {aside}")
+        self.spark.sql(f"ALTER TABLE {stage} RENAME TO {ident}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {aside}")
+
+    def recover(self, ident: str) -> None:
+        """Finish a swap that was cut off: a missing table comes back from its whole stage, else from the one put aside."""
+        stage, aside = ident[:-1] + "__stage`", ident[:-1] + "__old`"
+        if not self.exists(ident) and self.exists(stage):
+            rows = self.spark.table(stage)
+            if BATCH_COL in rows.columns:
+                rows.write.format("parquet").partitionBy(BATCH_COL).saveAsTable(ident)
+                self.spark.sql(f"DROP TABLE {stage}")
+            else:
+                self.spark.sql(f"ALTER TABLE {stage} RENAME TO {ident}")
+        if self.exists(aside):
+            if self.exists(ident):
+                self.spark.sql(f"DROP TABLE {aside}")
+            else:
+                self.spark.sql(f"ALTER TABLE {aside} RENAME TO {ident}")
 
     def aligned(self, ident: str, df: DataFrame) -> tuple[DataFrame, bool]:
         """Add new columns to the table, cast and pad ``df`` to its schema.
@@ -192,11 +232,7 @@ class InventorySink:
             merged = _union_widened(old, df)
         else:
             merged = df
-        stage = ident[:-1] + "__stage`"
-        self.spark.sql(f"DROP TABLE IF EXISTS {stage}")
-        merged.write.mode("overwrite").format("parquet").saveAsTable(stage)
-        self.spark.sql(f"DROP TABLE IF EXISTS {ident}")
-        self.spark.sql(f"ALTER TABLE {stage} RENAME TO {ident}")
+        self._swap_in(ident, merged)
 
     def _write_batch(self, ident: str, df: DataFrame) -> None:
         """Idempotent micro-batch append: the table is partitioned by batch id and a
@@ -206,26 +242,29 @@ class InventorySink:
             return
         out, rewrite = self.aligned(ident, df)
         if rewrite:
-            raise ValueError(f"column retype in a streamed table {ident}; rewrite it in batch mode")
+            # a retyped column widens the table: the other batches' rows and this batch's are swapped in
+            old = self.spark.table(ident)
+            this = df.select(BATCH_COL).limit(1).collect()
+            if this:
+                old = old.where(F.col(BATCH_COL) != F.lit(this[0][0]))
+            self._swap_in(ident, _union_widened(old, df), BATCH_COL)
+            return
         cols = [f.name for f in self.spark.table(ident).schema.fields]
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         out.select(*[quote_ident(c) for c in cols]).write.insertInto(ident, overwrite=True)
 
     def write_summary(self, summary: DataFrame, mode: str | None = None) -> None:
-        """Summary table with its own fallback: replace the schema on conflict (K6)."""
+        """Summary table: appended, or rewritten with wider types where its schema conflicts (K6)."""
         mode = mode or self.summary_mode
         ident = self.table(SUMMARY_TABLE, raw=False)
         if mode == "append" and self.exists(ident):
-            try:
-                out, rewrite = self.aligned(ident, summary)
-                if not rewrite:
-                    out.write.mode("append").format("parquet").saveAsTable(ident)
-                    return
-            except Exception:
-                pass
+            out, rewrite = self.aligned(ident, summary)
+            if not rewrite:
+                out.write.mode("append").format("parquet").saveAsTable(ident)
+                return
             self._rewrite_with(ident, summary, keep_old=True)
             return
-        summary.write.mode("overwrite").format("parquet").saveAsTable(ident)
+        self._overwrite(ident, summary)
 
 
 def _union_widened(old: DataFrame, new: DataFrame) -> DataFrame:

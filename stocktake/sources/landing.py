@@ -3,7 +3,7 @@
 A landed page is one row ``(workspace, endpoint, parent, page_no, status,
 collected_at, body)``; ``body`` is the JSON envelope as text. Everything here is
 row-local except the page-rule bounds, an aggregate of one row per listing
-(workspace, endpoint, parent) that is joined back with a checked broadcast.
+(workspace, collection time, endpoint, parent) that is joined back with a checked broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from ..functions.joins import join_checked, materialize_small
 
 PAGE_SCHEMA = ("workspace string, endpoint string, parent string, page_no int, status int, "
                "collected_at timestamp, body string")
-LISTING = ["workspace", "endpoint", "parent"]
+# One listing of one collection run: a later run of the same workspace is a listing of its own.
+LISTING = ["workspace", "collected_at", "endpoint", "parent"]
 RECORD_COLS = ["workspace", "endpoint", "parent", "page_no", "pos", "collected_at", "rec"]
 _NO_BOUND = 2**31 - 1
 
@@ -102,7 +103,7 @@ def unnest(pages: DataFrame, list_key: Column | str | None = None, paginate: Col
 
     - the list under ``list_key`` when it is an array (S1, S2);
     - unpaged only: the body itself in object mode (S3); else the first array-valued
-      key (keys in name order) or a bare top-level array (S5).
+      key, in the body's own order, or a bare top-level array (S5).
     ``wrap_field`` turns scalar records into ``{wrap_field: value}`` (S4).
     A column ``list_key`` is resolved through a CASE over ``list_keys`` (the registry's
     list keys), so each page reads its list by a literal path, without copying the
@@ -127,7 +128,9 @@ def unnest(pages: DataFrame, list_key: Column | str | None = None, paginate: Col
             listed = F.when(list_key == k, by_path(k)).otherwise(listed)
     df = pages.withColumn("_listed", listed)
     m = F.try_variant_get(v, "$", "map<string,variant>")       # only the unpaged branches use it
-    first_list = as_array(F.element_at(F.filter(F.map_values(m), lambda x: as_array(x).isNotNull()), 1))
+    # a variant sorts its keys, so their order is read off the text
+    ordered = F.filter(F.json_object_keys("body"), lambda k: as_array(F.element_at(m, k)).isNotNull())
+    first_list = as_array(F.element_at(m, F.try_element_at(ordered, F.lit(1))))
     records = (F.when(F.col("_listed").isNotNull(), F.col("_listed"))
                .when(~paginate & object_mode & m.isNotNull(), F.array(v))
                .when(~paginate & ~object_mode, F.coalesce(first_list, as_array(v))))
