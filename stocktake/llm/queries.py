@@ -90,8 +90,8 @@ ORACLE: dict[str, str] = {
     "op4_embedding_neardup": """
         WITH RECURSIVE sound AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0
-              AND len(list_filter(embedding, v -> v <> 0)) > 0),
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+              AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
         links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.vec_id <> b.vec_id
             WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
         reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
