@@ -162,6 +162,16 @@ FROM orders""",
     "child_rows": """
 SELECT o.o_orderkey, o.o_totalprice, c.c_name AS endpoint_name
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
+    "multi_workspace_scan": """
+SELECT n_name AS workspace, COUNT(*) AS uc_tables,
+       COUNT(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE')) AS managed_tables,
+       COUNT(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS external_tables
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+    "multi_workspace_children": """
+SELECT s_suppkey, n_name AS workspace, 'shared' AS endpoint_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "recollected_listing": """
+SELECT '2024-01' AS month, COUNT(*) AS records, CAST(SUM(o_orderkey) AS BIGINT) AS sum_orderkey FROM orders WHERE o_orderkey <= 1000
+UNION ALL SELECT '2024-02', COUNT(*), CAST(SUM(o_orderkey) AS BIGINT) FROM orders""",
     "hierarchy_counts": f"""
 SELECT r.r_name AS catalog, n.n_name AS schema, COUNT(*) AS uc_tables,
        COUNT(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE')) AS managed_tables,

@@ -29,7 +29,7 @@ from ..sources.registry import resolved_registry
 from ..streaming.stream import stream_raw
 from . import scenario
 from .batch import build_inventory, shape_tables
-from .landing_builders import pack_pages
+from .landing_builders import DEFAULT_TS, pack_pages
 
 NESTED_LINE_FIELDS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
 MAX_LINE_POSITIONS = 13       # most lines of one order at sf0.01 (oracle columns)
@@ -270,6 +270,50 @@ def q_hierarchy_counts(spark, d):
         *[F.col(c).cast("bigint").alias(c) for c in ("uc_tables", "managed_tables", "external_tables")])
 
 
+def q_multi_workspace_scan(spark, d):
+    """Every nation a workspace with the same catalog and schema names; tables counted per workspace."""
+    nation, customer = _t(spark, d, "nation"), _t(spark, d, "customer")
+    ws = F.col("n_name")
+    cats = pack_pages(nation, "catalog", "catalogs", F.lit(1), F.struct(F.lit("main").alias("name")), F.col("n_nationkey"), workspace=ws)
+    schemas = pack_pages(nation, SCHEMA_KEY, "schemas", F.lit(1), F.struct(F.lit("s").alias("name")), F.col("n_nationkey"),
+                         parent=F.lit("main"), workspace=ws)
+    cust = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    tables = pack_pages(cust, "table", "tables", F.floor(F.col("c_custkey") / 50) + 1,
+                        F.struct(F.col("c_name").alias("name"), scenario.table_type_of(F.col("c_mktsegment")).alias("table_type")),
+                        F.col("c_custkey"), parent=F.lit("main.s"), workspace=ws)
+    scan = landed(schemas.unionByName(tables))
+    found = select_schemas(scan, select_catalogs(landed_records(cats, resolved_registry(spark))))
+    return count_types(select_tables(scan, found), by=["workspace"]).select(
+        "workspace", *[F.col(c).cast("bigint").alias(c) for c in ("uc_tables", "managed_tables", "external_tables")])
+
+
+def q_multi_workspace_children(spark, d):
+    """Suppliers listed under an endpoint whose name all nations' workspaces share."""
+    nation, supplier = _t(spark, d, "nation"), _t(spark, d, "supplier")
+    parents = nation.select(F.col("n_name").alias("workspace"), F.to_timestamp(F.lit(DEFAULT_TS)).alias("collected_at"),
+                            as_record(F.lit("shared").alias("name")).alias("rec"))
+    kids = pack_pages(supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey), "vector_search_index",
+                      "vector_indexes", F.floor(F.col("s_suppkey") / 20) + 1, F.struct("s_suppkey"), F.col("s_suppkey"),
+                      parent=F.lit("shared"), workspace=F.col("n_name"))
+    return child_rows(parents, landed(kids), "vector_indexes").select(
+        F.try_variant_get("rec", "$.s_suppkey", "bigint").alias("s_suppkey"), "workspace",
+        F.col("_endpoint_name").alias("endpoint_name"))
+
+
+def q_recollected_listing(spark, d):
+    """F8: the same listing collected twice, with more pages the second time."""
+    o = _t(spark, d, "orders")
+
+    def run(rows, when):
+        return pack_pages(rows, "job", "jobs", F.floor(F.col("o_orderkey") / 500) + 1, F.struct("o_orderkey"), F.col("o_orderkey"),
+                          collected_at=when)
+
+    pages = landed(run(o.where("o_orderkey <= 1000"), "2024-01-01 00:00:00").unionByName(run(o, "2024-02-01 00:00:00")))
+    recs = landed_records(pages, resolved_registry(spark, max_pages={"job": 0}, overrides={"job": True}))
+    return recs.groupBy(F.date_format("collected_at", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.try_variant_get("rec", "$.o_orderkey", "bigint")).alias("sum_orderkey"))
+
+
 ALLOWLIST = ["Customer#000000003", "Customer#000000001", "Customer#000000022", "Customer#000000001",
              "hive_metastore", "Customer#999999999", "Customer#000000100"]
 CATALOG_LIMIT = 4
@@ -440,6 +484,9 @@ QUERIES = {
     "page_object": q_page_object,
     "page_scalars": q_page_scalars,
     "child_rows": q_child_rows,
+    "multi_workspace_scan": q_multi_workspace_scan,
+    "multi_workspace_children": q_multi_workspace_children,
+    "recollected_listing": q_recollected_listing,
     "hierarchy_counts": q_hierarchy_counts,
     "allowlist_topn": q_allowlist_topn,
     "topn_per_group": q_topn_per_group,
