@@ -1,62 +1,69 @@
-"""Joins whose broadcast side has a checked size."""
+"""Joins whose broadcast side has a checked size, and derived inputs kept in files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a small side may have to be broadcast. Above it the join shuffles and AQE's
+from ..session import shared_path
+
+# Bytes a small side may have to be broadcast. Above it the join shuffles and AQE's
 # skew-join handling splits hot keys.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+# What a row of a broadcast hash table takes besides its texts, per column.
+_CELL_BYTES = 24
 
 
-def materialize_small(df: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, int]:
-    """Count a derived (small) side once and cut its lineage.
+def checkpoint_once(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder and read back.
 
-    The rows are persisted and counted (one job); a reliable checkpoint into the
-    shared folder is written from those blocks when the side is first used, so the
-    join reads the same rows and an executor loss re-reads files. ``checkpoint=False``
-    for sides read from files already written (count only).
+    The plan starts anew at columnar files that every executor sees: later passes read only
+    their columns, and a lost executor costs a re-read.
     """
-    if not checkpoint:
-        return df, df.count()
-    df = df.persist()
-    n = df.count()
-    return df.checkpoint(eager=False), n
+    path = shared_path(df.sparkSession, "derived")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def side_bytes(df: DataFrame) -> int:
+    """Size of a narrow side as a broadcast would hold it (one aggregate; its texts are measured)."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields
+             if isinstance(f.dataType, T.StringType)]
+    row = F.lit(_CELL_BYTES * len(df.schema.fields)).cast("long")
+    for t in texts:
+        row = row + t
+    return df.agg(F.sum(row)).first()[0] or 0
 
-def checkpoint_once(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint that computes ``df`` once.
 
-    An eager checkpoint runs one job to count and another to write; persisting first
-    lets the write read the computed blocks instead of recomputing the plan.
+def materialize_small(df: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, int]:
+    """Cut the lineage of a derived (small) side and measure it: (side, bytes).
+
+    ``checkpoint=False`` for sides read from files already written (measured only).
     """
-    df = df.persist()
-    try:
-        return df.checkpoint(eager=eager)
-    finally:
-        if eager:
-            df.unpersist()
+    df = checkpoint_once(df) if checkpoint else df
+    return df, side_bytes(df)
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner",
-                 small_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only if its row count is known to be under ``max_rows``.
+                 small_bytes: int | None = None, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``small`` only if its measured size is under ``max_bytes``.
 
-    Without a known count the join is left to AQE, which converts it to a broadcast
-    only when the measured size of the materialized side is under its threshold.
+    Without a measured size the join is left to AQE, which converts it to a broadcast
+    only when the materialized side is under its threshold.
     """
-    if small_rows is not None and small_rows <= max_rows:
+    if small_bytes is not None and small_bytes <= max_bytes:
         return big.join(F.broadcast(small), on=on, how=how)
     return big.join(small, on=on, how=how)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks when it has fewer.
+def spread(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan over at least ``min_partitions`` tasks when it has fewer.
 
-    Small single-file inputs arrive as one partition; CPU-heavy per-record work after
-    them (parsing, flattening) would then run on one core. Large inputs already have
-    many partitions and pass through unchanged (no extra shuffle).
+    Only for plans without a shuffle, whose partitions are known without running anything:
+    small single-file inputs arrive as one partition, and CPU-heavy per-record work after
+    them (parsing, flattening) would then run on one core. Large inputs already have many
+    partitions and pass through unchanged (no extra shuffle).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    target = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(target) if scan.rdd.getNumPartitions() < target else scan

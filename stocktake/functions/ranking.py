@@ -58,6 +58,6 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str], o
     for c in group_cols:
         e = s[c].eqNullSafe(starts[f"_s_{c}"])
         cond = e if cond is None else cond & e
-    j = join_checked(s, starts, cond, small_rows=cnt)
+    j = join_checked(s, starts, cond, small_bytes=cnt)
     return (j.withColumn(out, F.col("_gidx") - F.col("_start"))
              .drop("_pid", "_mid", "_local", "_off", "_gidx", "_start", *[f"_s_{c}" for c in group_cols]))

@@ -71,7 +71,7 @@ def _catalog_scan_pages(pages: DataFrame, endpoint: str, parents: DataFrame, par
     sel, n = materialize_small(parents.select(F.col(parent_col).alias("_sel"), *[F.col(c).alias(f"_sel_{c}") for c in run]),
                                checkpoint=not parents_written)
     on = (p["parent"] == sel["_sel"]) & _same_run(p, sel, "_sel_")
-    return join_checked(p, sel, on, small_rows=n).drop(*[f"_sel_{c}" for c in run])
+    return join_checked(p, sel, on, small_bytes=n).drop(*[f"_sel_{c}" for c in run])
 
 
 def select_schemas(pages: DataFrame, catalogs: DataFrame, limit: int = 0,
@@ -113,10 +113,10 @@ def select_tables(pages: DataFrame, schemas: DataFrame, endpoint: str = TABLE_KE
                                               F.col("schema_name").alias("_schema"),
                                               *[F.col(c).alias(f"_run_{c}") for c in run]).distinct(), checkpoint=False)
     on = (recs["parent"] == sch["_fn"]) & _same_run(recs, sch, "_run_")
-    return join_checked(recs, sch, on, small_rows=n).drop("_fn", *[f"_run_{c}" for c in run])
+    return join_checked(recs, sch, on, small_bytes=n).drop("_fn", *[f"_run_{c}" for c in run])
 
 
-def count_types(tables: DataFrame, by: list[str] | None = None, type_col: Column | None = None) -> DataFrame:
+def count_types(tables: DataFrame, by: list[str | Column] | None = None, type_col: Column | None = None) -> DataFrame:
     """Tables total, MANAGED and EXTERNAL (other types only in the total)."""
     t = type_col if type_col is not None else record_field("table_type")
     aggs = [F.count(F.lit(1)).alias("uc_tables"),
@@ -140,13 +140,19 @@ def catalog_scan(catalog_records: DataFrame, pages: DataFrame, allowlist: list[s
     return cats, schemas, tables, counters
 
 
-def uc_counters(cats: DataFrame, schemas: DataFrame, tables: DataFrame) -> DataFrame:
-    """Long form ``(key, count)``: catalogs, schemas, tables, managed, external."""
-    c = cats.agg(F.count(F.lit(1)).alias("count")).select(F.lit("uc_catalogs").alias("key"), "count")
-    s = schemas.agg(F.count(F.lit(1)).alias("count")).select(F.lit("uc_schemas").alias("key"), "count")
-    t = count_types(tables).select(F.expr("stack(3, 'uc_tables', uc_tables, 'managed_tables', managed_tables, "
-                                          "'external_tables', external_tables) AS (key, count)"))
-    return c.unionByName(s).unionByName(t).select("key", F.col("count").cast("long").alias("count"))
+def uc_counters(cats: DataFrame, schemas: DataFrame, tables: DataFrame, by: Column | None = None) -> DataFrame:
+    """Long form ``(key, count)``: catalogs, schemas, tables, managed, external.
+
+    ``by`` (over workspace and collected_at) counts per group, in a column ``group``.
+    """
+    keys = [] if by is None else [by.alias("group")]
+    names = [] if by is None else ["group"]
+    one = F.count(F.lit(1)).alias("count")
+    c = cats.groupBy(*keys).agg(one).select(*names, F.lit("uc_catalogs").alias("key"), "count")
+    s = schemas.groupBy(*keys).agg(one).select(*names, F.lit("uc_schemas").alias("key"), "count")
+    t = count_types(tables, keys).select(*names, F.expr(
+        "stack(3, 'uc_tables', uc_tables, 'managed_tables', managed_tables, 'external_tables', external_tables) AS (key, count)"))
+    return c.unionByName(s).unionByName(t).select(*names, "key", F.col("count").cast("long").alias("count"))
 
 
 def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str, parent_field: str = "name",
@@ -169,7 +175,7 @@ def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str,
     # child records are not shuffled for this join
     parents, n = materialize_small(parents)
     on = (recs["parent"] == parents["_parent_name"]) & _same_run(recs, parents, "_run_")
-    return (join_checked(recs, parents, on, small_rows=n).drop(*[f"_run_{c}" for c in run])
+    return (join_checked(recs, parents, on, small_bytes=n).drop(*[f"_run_{c}" for c in run])
             .withColumnRenamed("_parent_name", inject_as))
 
 

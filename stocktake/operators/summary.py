@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import (AUTO_CATEGORY, ENDPOINTS, NOT_MIGRATED_CATEGORIES, OTHER_CATEGORY, SUMMARY_FIXED)
+from ..fixed_values import (AUTO_CATEGORY, COUNTER_KEYS, ENDPOINTS, NOT_MIGRATED_CATEGORIES, OTHER_CATEGORY,
+                            SUMMARY_FIXED)
 from ..functions.names import display_name
 
+#: Counters that are the sizes of datasets of their own.
+SCAN_DATASET_KEYS = ("uc_schemas", "uc_tables")
 SUMMARY_SCHEMA = "Category string, Object string, Count bigint, To_be_Migrated string"
 
 
@@ -24,10 +27,17 @@ def merge_counts(left: DataFrame, right: DataFrame) -> DataFrame:
                       F.coalesce(F.col("r.count"), F.col("l.count")).cast("long").alias("count")))
 
 
-def grand_totals(records: DataFrame, by: str = "endpoint") -> DataFrame:
-    """Number of object types and of records (A5)."""
-    return records.agg(F.count_distinct(by).cast("long").alias("object_types"),
-                       F.count(F.lit(1)).cast("long").alias("total_records"))
+def grand_totals(counts: DataFrame) -> DataFrame:
+    """Number of object types and of records over all datasets of a ``(key, count)`` inventory (A5).
+
+    Datasets are the listed endpoints (empty ones included), the mounts, and the schemas and
+    tables of the catalog scan where there are any; counters that only restate part of a
+    dataset (catalogs scanned, managed and external tables) are left out.
+    """
+    scanned = F.col("key").isin(*SCAN_DATASET_KEYS)
+    held = counts.where(~F.col("key").isin(*COUNTER_KEYS) | (scanned & (F.col("count") > 0)))
+    return held.agg(F.count_distinct("key").cast("long").alias("object_types"),
+                    F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total_records"))
 
 
 def label_frames(spark: SparkSession, prefix: str = "", registry_keys: list[str] | None = None):

@@ -11,7 +11,7 @@ from ..fixed_values import (INJECTED_CHILD_FIELD, INJECTED_TABLE_FIELDS, MOUNT_F
                             SCHEMA_KEY, TABLE_KEY)
 from ..operators.hierarchy import catalog_scan, child_rows
 from ..operators.shape import add_provenance, shape_records
-from ..operators.summary import build_summary, ordered_summary
+from ..operators.summary import build_summary, count_rows, ordered_summary
 from ..sinks.tables import InventorySink, drop_matching
 from ..sources.landing import landed_records
 from ..sources.registry import keep_fields_col, resolved_registry
@@ -24,6 +24,7 @@ class Inventory:
     summary: DataFrame | None = None
     records: DataFrame | None = None                           # all registry records, long
     found: dict = field(default_factory=dict)                  # key -> records found by discovery
+    scan: tuple = ()                                           # catalogs, schemas, tables of the catalog scan
 
 
 def rename_single(df: DataFrame, src: str, dst: str = MOUNT_FIELD) -> DataFrame:
@@ -35,8 +36,12 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
                     master_paging: bool = True, global_max_pages: int = 0, overrides: dict | None = None,
                     enabled: dict | None = None, uc_enable: bool = True, allowlist: list[str] | None = None,
                     catalog_limit: int = 0, schema_limit: int = 0, mounts: DataFrame | None = None,
-                    mount_col: str = "path") -> Inventory:
-    """Everything the scan produces, lazily; discovery jobs run while building."""
+                    mount_col: str = "path", shape: bool = True) -> Inventory:
+    """Everything the scan produces, lazily; discovery jobs run while building.
+
+    ``shape=False`` leaves the raw tables out: counts and the summary then need no discovery,
+    only one pass that counts the records of each listing.
+    """
     reg = resolved_registry(spark, prefix, master_paging, global_max_pages, overrides, enabled)
     reg_rows = reg.select("key", "list_key", "paginate", "page_cap", "parent_key", "parent_field").collect()
     child_cfg = [r for r in reg_rows if r["parent_key"]]
@@ -45,36 +50,26 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
     top = landed_records(pages.where(~F.col("endpoint").isin(*child_keys)) if child_keys else pages,
                          reg.where(F.col("parent_key").isNull()), policy)
     inv = Inventory()
-    record_sets = [top.select("endpoint", "collected_at", "workspace", "rec")]
+    inv.records = top.select("endpoint", "collected_at", "workspace", "rec")
     found: dict = {}            # records per endpoint, counted by the discovery pass
-    for r in shape_records(top, keep=True, prefix=prefix, counts_out=found).items():
-        inv.raw[r[0][0]] = r[1]
+    if shape:
+        inv.raw.update({g[0]: df for g, df in shape_records(top, keep=True, prefix=prefix, counts_out=found).items()})
 
     for c in child_cfg:
         parents = top.where(F.col("endpoint") == c["parent_key"])
         kids = child_rows(parents, pages.where(F.col("endpoint") == c["key"]), c["list_key"],
                           paginate=c["paginate"], page_cap=c["page_cap"])
-        shaped = shape_records(kids, keep=True, prefix=prefix, counts_out=found,
-                               inject={INJECTED_CHILD_FIELD: F.col(INJECTED_CHILD_FIELD)})
-        for g, df in shaped.items():
-            inv.raw[g[0]] = df
-        record_sets.append(kids.select("endpoint", "collected_at", "workspace", "rec"))
-
-    records = record_sets[0]
-    for extra in record_sets[1:]:
-        records = records.unionByName(extra)
-    inv.records = records
-
-    # Counted keys: every enabled endpoint (0 when nothing came back); child endpoints
-    # only when their parent listing had rows, as children are fetched per parent.
-    inv.found = {g[0]: n for g, n in found.items()}
-    counts = spark.createDataFrame([(g[0], n) for g, n in found.items()], "key string, count long")
-    keys = spark.createDataFrame([(r["key"], r["parent_key"]) for r in reg_rows], "key string, parent_key string")
-    per_key = keys.join(F.broadcast(counts.withColumnRenamed("key", "_k")), F.col("key") == F.col("_k"), "left")
-    parent_counts = counts.select(F.col("key").alias("_pk"), F.col("count").alias("_pc"))
-    per_key = per_key.join(F.broadcast(parent_counts), F.col("parent_key") == F.col("_pk"), "left")
-    per_key = (per_key.where(F.col("parent_key").isNull() | (F.coalesce(F.col("_pc"), F.lit(0)) > 0))
-               .select("key", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+        if shape:
+            shaped = shape_records(kids, keep=True, prefix=prefix, counts_out=found,
+                                   inject={INJECTED_CHILD_FIELD: F.col(INJECTED_CHILD_FIELD)})
+            inv.raw.update({g[0]: df for g, df in shaped.items()})
+        inv.records = inv.records.unionByName(kids.select("endpoint", "collected_at", "workspace", "rec"))
+
+    if shape:
+        inv.found = {g[0]: n for g, n in found.items()}
+        counts = spark.createDataFrame(list(inv.found.items()), "key string, count long")
+    else:
+        counts = count_rows(inv.records)
 
     # Catalog scan: catalogs from the registry listing, schemas and tables from their pages.
     cat_key = prefix + "catalog"
@@ -82,27 +77,44 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
                                                    pages.where(F.col("endpoint").isin(SCHEMA_KEY, TABLE_KEY)),
                                                    allowlist, catalog_limit, schema_limit, uc_enable)
     if schemas is not None:
-        inv.raw[prefix + SCHEMA_KEY] = add_provenance(
-            schemas.select("catalog_name", "schema_name", "full_name", "collected_at", "workspace")
-        ).drop("collected_at", "workspace")
-        tabs = tables.withColumn("endpoint", F.lit(prefix + TABLE_KEY))
-        inv.raw.update(shape_tables(tabs, prefix))
+        inv.scan = (cats, schemas, tables)
+        if shape:
+            inv.raw[prefix + SCHEMA_KEY] = add_provenance(
+                schemas.select("catalog_name", "schema_name", "full_name", "collected_at", "workspace")
+            ).drop("collected_at", "workspace")
+            inv.raw.update(shape_tables(tables.withColumn("endpoint", F.lit(prefix + TABLE_KEY)), prefix))
 
-    mount_counts = None
     if mounts is not None:
         m = rename_single(mounts, mount_col)
         inv.raw[MOUNTS_KEY] = add_provenance(m).drop("collected_at", "workspace") \
             if "collected_at" in m.columns else m
-        mount_counts = m.agg(F.count(F.lit(1)).cast("long").alias("count")).select(F.lit(MOUNTS_KEY).alias("key"),
-                                                                                   "count")
-    else:
-        mount_counts = spark.createDataFrame([(MOUNTS_KEY, 0)], "key string, count long")
-
-    inv.counts = per_key.unionByName(mount_counts).unionByName(counters.select("key", "count"))
+    inv.counts = (counted_keys(spark, counts, reg_rows).unionByName(mount_count(spark, mounts))
+                  .unionByName(counters.select("key", "count")))
     inv.summary = build_summary(inv.counts, prefix, [r["key"] for r in reg_rows])
     return inv
 
 
+def counted_keys(spark: SparkSession, counts: DataFrame, reg_rows: list) -> DataFrame:
+    """``(key, count)`` of every enabled endpoint, 0 when nothing came back; child endpoints only
+    when their parent listing had rows, as children are fetched per parent.
+
+    Both sides have one row an endpoint at most: bounded broadcasts.
+    """
+    keys = spark.createDataFrame([(r["key"], r["parent_key"]) for r in reg_rows], "key string, parent_key string")
+    per_key = keys.join(F.broadcast(counts.withColumnRenamed("key", "_k")), F.col("key") == F.col("_k"), "left")
+    parent_counts = counts.select(F.col("key").alias("_pk"), F.col("count").alias("_pc"))
+    per_key = per_key.join(F.broadcast(parent_counts), F.col("parent_key") == F.col("_pk"), "left")
+    return (per_key.where(F.col("parent_key").isNull() | (F.coalesce(F.col("_pc"), F.lit(0)) > 0))
+            .select("key", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+
+
+def mount_count(spark: SparkSession, mounts: DataFrame | None) -> DataFrame:
+    """``(key, count)`` of the mounts."""
+    if mounts is None:
+        return spark.createDataFrame([(MOUNTS_KEY, 0)], "key string, count long")
+    return mounts.agg(F.count(F.lit(1)).cast("long").alias("count")).select(F.lit(MOUNTS_KEY).alias("key"), "count")
+
+
 def shape_tables(tables: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
     """Table records with the keep-list of tables and catalog/schema context injected."""
     shaped = shape_records(tables, keep=keep_fields_col(F.lit(prefix + TABLE_KEY), prefix), prefix=prefix,
@@ -123,4 +135,4 @@ def run_batch(spark: SparkSession, pages: DataFrame, sink: InventorySink, drop_f
     return ordered_summary(spark.table(sink.table("workspace_scan_summary", raw=False)))
 
 
-__all__ = ["Inventory", "build_inventory", "run_batch", "rename_single", "shape_tables"]
+__all__ = ["Inventory", "build_inventory", "counted_keys", "mount_count", "run_batch", "rename_single", "shape_tables"]

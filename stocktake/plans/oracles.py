@@ -16,7 +16,8 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _summary_sql() -> str:
+def _counts_sql() -> str:
+    """``cust_scan`` and ``counts(key, cnt)``: every dataset and counter of the inventory."""
     with_rows = {
         "job": "SELECT COUNT(*) FROM orders",
         "cluster": "SELECT COUNT(*) FROM lineitem",
@@ -39,14 +40,18 @@ def _summary_sql() -> str:
     for e in ENDPOINTS:
         if e[0] not in with_rows:
             parts.append(f"SELECT {_sql_str(e[0])} AS key, 0 AS cnt")
+    return f"""cust_scan AS (
+  SELECT c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey),
+counts AS ({' UNION ALL '.join(parts)})"""
+
+
+def _summary_sql() -> str:
     labels = [(k, c, o) for k, (c, o) in SUMMARY_FIXED.items()]
     labels += [(e[0], "Auto", e[0].replace("_", " ").title()) for e in ENDPOINTS]
     values = ", ".join(f"({_sql_str(k)}, {_sql_str(c)}, {_sql_str(o)})" for k, c, o in labels)
     return f"""
-WITH cust_scan AS (
-  SELECT c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey),
-counts AS ({' UNION ALL '.join(parts)}),
+WITH {_counts_sql()},
 labels(key, category, object) AS (VALUES {values})
 SELECT l.category AS "Category", l.object AS "Object", CAST(c.cnt AS BIGINT) AS "Count",
        CASE WHEN l.category IN ('Workspace', 'MLflow') THEN 'N' ELSE 'Y' END AS "To_be_Migrated"
@@ -200,11 +205,10 @@ FROM l FULL OUTER JOIN r ON l.key = r.key""",
     "name_patterns": """
 SELECT p_partkey, p_name FROM part
 WHERE (contains(p_name, 'ring') OR contains(p_name, 'bolt')) AND NOT contains(p_name, 'red')""",
-    "grand_totals": """
-SELECT CAST(9 AS BIGINT) AS object_types,
-       CAST((SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM lineitem) + (SELECT COUNT(*) FROM customer)
-          + (SELECT COUNT(*) FROM part) + (SELECT COUNT(*) FROM events) + (SELECT COUNT(*) FROM supplier)
-          + 2 * (SELECT COUNT(*) FROM nation) + (SELECT COUNT(*) FROM region) AS BIGINT) AS total_records""",
+    "grand_totals": f"""
+WITH {_counts_sql()}
+SELECT COUNT(*) AS object_types, CAST(SUM(cnt) AS BIGINT) AS total_records FROM counts
+WHERE key NOT IN ('uc_catalogs', 'managed_tables', 'external_tables') AND NOT (key IN ('uc_schemas', 'uc_tables') AND cnt = 0)""",
     "raw_cluster": """
 SELECT l_extendedprice AS cluster_cores, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS cluster_id,
        l_linestatus AS cluster_source, l_quantity AS num_workers,

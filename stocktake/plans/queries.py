@@ -51,10 +51,11 @@ def as_record(*cols) -> Column:
     return F.parse_json(F.to_json(F.struct(*cols)))
 
 
-def _wide(df: DataFrame, ids: list[str], keep: Column | None = None) -> DataFrame:
+def _wide(df: DataFrame, ids: list[str], keep: Column | None = None, scan: bool = True) -> DataFrame:
     # Records derived by joins and JSON encoding are read by two passes (discovery,
-    # projection): computed once into the shared checkpoint folder.
-    df = checkpoint_once(spread(df))
+    # projection): computed once into the shared checkpoint folder. ``scan=False`` where a
+    # shuffle has already spread them.
+    df = checkpoint_once(spread(df) if scan else df)
     plans = discover(df, "rec", keep=keep)
     return flatten_wide(df, "rec", plans.get((), []), ids)
 
@@ -84,7 +85,7 @@ def q_flatten_nested_orders(spark, d):
     """Orders with their lines as an array -> positional columns lines_<i>_<field>."""
     o = _orders_with_lines(spark, d)
     recs = o.select(as_record("o_orderkey", "o_orderstatus", "o_totalprice", "lines").alias("rec"))
-    return _wide(recs, [])
+    return _wide(recs, [], scan=False)
 
 
 def q_flatten_long_leaves(spark, d):
@@ -112,7 +113,7 @@ def q_json_keep_list(spark, d):
     recs = o.select(as_record("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
                               "lines").alias("rec"))
     keep = F.array(F.lit("o_orderkey"), F.lit("o_totalprice"))
-    return _wide(recs, [], keep=keep)
+    return _wide(recs, [], keep=keep, scan=False)
 
 
 def q_safe_names(spark, d):
@@ -371,18 +372,16 @@ def q_name_patterns(spark, d):
 # ---------------------------------------------------------------------------------------
 
 def q_inventory_summary(spark, d):
-    """Flagship: landing -> records -> raw tables -> counts -> categorised summary."""
+    """Flagship: landing -> records of every listing -> counts -> categorised summary."""
     pages = scenario.landing(spark, d)
-    inv = build_inventory(spark, pages, mounts=scenario.mounts(spark, d))
+    inv = build_inventory(spark, pages, mounts=scenario.mounts(spark, d), shape=False)
     return inv.summary
 
 
 def q_grand_totals(spark, d):
-    """A5: object types and records over the whole landing."""
-    pages = scenario.landing(spark, d)
-    reg = resolved_registry(spark)
-    recs = landed_records(pages.where(F.col("endpoint") != "vector_search_index"), reg.where("parent_key IS NULL"))
-    return grand_totals(recs)
+    """A5: object types and records over every dataset of the inventory (children, catalog scan, mounts)."""
+    inv = build_inventory(spark, scenario.landing(spark, d), mounts=scenario.mounts(spark, d), shape=False)
+    return grand_totals(inv.counts)
 
 
 def q_raw_cluster(spark, d):

@@ -36,20 +36,23 @@ def cap_pages(pages: DataFrame, cap: Column | int | None = None) -> DataFrame:
 
 
 def page_flags(pages: DataFrame, token_only: Column | bool = False,
-               paginate: Column | bool = True) -> DataFrame:
+               paginate: Column | bool = True, reads_token: Column | bool = True) -> DataFrame:
     """Parse the body once and flag the page.
 
     usable: status 200 and the body parses (as an object, when paging).
     terminal: usable, no continuation token and (unless ``token_only``) no more-flag.
+    ``reads_token`` is false for endpoints that declare no continuation token: a stray one in
+    the body is then not followed.
     """
     token_only = F.lit(token_only) if isinstance(token_only, bool) else token_only
     paginate = F.lit(paginate) if isinstance(paginate, bool) else paginate
+    reads_token = F.lit(reads_token) if isinstance(reads_token, bool) else reads_token
     v = F.try_parse_json("body")
     obj = F.col("body").rlike(r"^\s*\{")
     df = pages.withColumn("_v", F.when(F.col("status") == 200, v))
     usable = F.col("_v").isNotNull() & (obj | ~paginate)
     token = F.try_variant_get("_v", f"$.{TOKEN_FIELD}", "string")
-    has_token = token.isNotNull() & (token != "")
+    has_token = reads_token & token.isNotNull() & (token != "")
     more = F.lit(False)
     for f in MORE_FIELDS:
         more = more | F.coalesce(F.try_variant_get("_v", f"$.{f}", "boolean"), F.lit(False))
@@ -81,7 +84,7 @@ def apply_page_rules(flagged: DataFrame, policy: str = "prefix", listing: list[s
     for c in listing:
         e = flagged[c].eqNullSafe(small[f"_g_{c}"])
         cond = e if cond is None else cond & e
-    j = join_checked(flagged, small, cond, "inner", small_rows=n)
+    j = join_checked(flagged, small, cond, "inner", small_bytes=n)
     bad = F.coalesce(F.col("_bad"), F.lit(_NO_BOUND))
     term = F.coalesce(F.col("_term"), F.lit(_NO_BOUND))
     # An unusable page is at or after the first bad page, so the bounds alone exclude
@@ -155,13 +158,14 @@ def landed_records(pages: DataFrame, registry: DataFrame, policy: str = "prefix"
     The registry is a fixed 27-row table, so its broadcast is bounded; with the
     landing partitioned by endpoint it also prunes folders at run time.
     """
-    reg = registry.select(F.col("key").alias("endpoint"), "list_key", "paginate", "page_cap", "object_mode",
+    reg = registry.select(F.col("key").alias("endpoint"), "list_key", "paginate", "page_cap", "object_mode", "has_token",
                           F.col("parent_key").isNotNull().alias("token_only"))
     # the registry's list keys (at most one per endpoint): literal paths for unnest
     keys = [r["list_key"] for r in reg.select("list_key").distinct().collect() if r["list_key"]]
     p = pages.join(F.broadcast(reg), "endpoint")
     p = cap_pages(p)
-    p = page_flags(p, token_only=F.col("token_only"), paginate=F.col("paginate"))
+    p = page_flags(p, token_only=F.col("token_only"), paginate=F.col("paginate"),
+                   reads_token=F.col("has_token"))
     p = apply_page_rules(p, policy, checkpoint=checkpoint)
     recs = unnest(p, F.col("list_key"), F.col("paginate"), F.col("object_mode"), list_keys=keys)
     if wrap:

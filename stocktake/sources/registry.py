@@ -39,7 +39,8 @@ def resolve_paging(registry: DataFrame, overrides: DataFrame, master: bool = Tru
 
     paginate: master switch off -> false; else a non-null override; else the built-in
     flag; else whether paging parameters are declared. ``page_cap``: the global cap
-    when > 0, else the endpoint's own; 1 when paging is off; 0 means no cap.
+    when > 0, else the endpoint's own; 1 when paging is off; 0 means no cap. ``has_token``:
+    the endpoint declares a continuation token; without one its pages only follow more-flags.
     """
     r = registry.join(F.broadcast(overrides), "key", "left")
     paginate = F.when(~F.lit(master), F.lit(False)).otherwise(
@@ -49,8 +50,9 @@ def resolve_paging(registry: DataFrame, overrides: DataFrame, master: bool = Tru
              .withColumn("paginate", paginate)
              .withColumn("page_cap", F.when(F.col("paginate"), cap).otherwise(F.lit(1)))
              .withColumn("object_mode", F.col("list_key").isNull())
+             .withColumnRenamed("has_paging_params", "has_token")
              .withColumn("keep_fields", keep_fields_col(F.col("key"), prefix))
-             .select("key", "list_key", "paginate", "page_cap", "object_mode", "parent_key", "parent_field",
+             .select("key", "list_key", "paginate", "page_cap", "object_mode", "has_token", "parent_key", "parent_field",
                      "keep_fields"))
 
 

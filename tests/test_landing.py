@@ -80,3 +80,20 @@ def test_unnest_keeps_page_order(spark):
     p = pages(spark, [("job", None, 1, 200, body(["a", "b"]))])
     recs = unnest(page_flags(p), "jobs").orderBy("pos")
     assert [(r["pos"], r["rec"].toJson()) for r in recs.collect()] == [(0, '"a"'), (1, '"b"')]
+
+
+def test_stray_token_is_followed_only_where_declared(spark):
+    # files are paged by override but declare no token; jobs declare one
+    p = pages(spark, [("workspace_file", None, 1, 200, '{"objects":[1],"next_page_token":"x"}'),
+                      ("workspace_file", None, 2, 200, '{"objects":[2]}'),
+                      ("dbfs_file", None, 1, 200, '{"files":[1],"has_more":true}'), ("dbfs_file", None, 2, 200, '{"files":[2]}'),
+                      ("job", None, 1, 200, body([1], "x")), ("job", None, 2, 200, body([2]))])
+    got = {(r["endpoint"], r["page_no"]) for r in landed_records(p, resolved_registry(spark)).collect()}
+    assert got == {("workspace_file", 1), ("dbfs_file", 1), ("dbfs_file", 2), ("job", 1), ("job", 2)}
+
+
+def test_small_sides_are_measured_in_bytes(spark):
+    from stocktake.functions.joins import materialize_small
+    side, size = materialize_small(spark.createDataFrame([("ab",), (None,)], "a string"))
+    assert side.count() == 2 and size == 2 * 24 + 2
+    assert materialize_small(side.limit(0))[1] == 0

@@ -1,7 +1,5 @@
 from stocktake.operators.summary import build_summary, grand_totals, merge_counts
 
-from conftest import records
-
 
 def test_summary_categories(spark):
     counts = spark.createDataFrame([("job", 3), ("uc_tables", 7), ("dbfs_mount_points", 1), ("mystery", 2)],
@@ -18,7 +16,10 @@ def test_merge_counts_right_wins(spark):
     assert {r["key"]: r["count"] for r in merge_counts(a, b).collect()} == {"x": 1, "y": 5, "z": 6}
 
 
-def test_grand_totals(spark):
-    recs = records(spark, [(1, "{}"), (2, "{}")]).withColumn("endpoint", __import__("pyspark").sql.functions.lit("a"))
-    r = grand_totals(recs).first()
-    assert (r["object_types"], r["total_records"]) == (1, 2)
+def test_grand_totals_cover_every_dataset(spark):
+    counts = spark.createDataFrame([("job", 3), ("repo", 0), ("dbfs_mount_points", 2), ("uc_catalogs", 4), ("uc_schemas", 5),
+                                    ("uc_tables", 0), ("managed_tables", 0)], "key string, count long")
+    r = grand_totals(counts).first()
+    assert (r["object_types"], r["total_records"]) == (4, 10)
+    r = grand_totals(counts.limit(0)).first()
+    assert (r["object_types"], r["total_records"]) == (0, 0)
