@@ -25,6 +25,7 @@ HEADLINE = [
     "safe_names", "page_cap", "page_prefix", "page_complete", "page_unnest", "page_fallback", "page_object",
     "page_scalars", "child_rows", "hierarchy_counts", "allowlist_topn", "topn_per_group", "type_counts",
     "merge_counts", "name_patterns", "grand_totals", "snapshot_diff", "evolve_append", "stream_equals_batch",
+    "stream_inventory_summary", "stream_raw_tables", "stream_retype",
 ]
 
 

@@ -234,6 +234,10 @@ UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), o_totalprice, o_orderpr
   WHERE o_orderstatus = 'P'""",
     "stream_equals_batch": """
 SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total_value FROM events GROUP BY event_type""",
+    "stream_inventory_summary": _summary_sql(),
+    "stream_retype": """
+SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS amount, '2024-01' AS month FROM orders
+UNION ALL SELECT o_orderkey, o_custkey + 0.5, '2024-02' FROM orders""",
     "snapshot_diff": """
 WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders),
 n AS (
@@ -256,3 +260,4 @@ SELECT COALESCE(n.o_orderkey, o.o_orderkey) AS o_orderkey,
             ELSE '' END AS changed_columns
 FROM o FULL OUTER JOIN n ON o.o_orderkey = n.o_orderkey""",
 }
+ORACLE["stream_raw_tables"] = ORACLE["raw_tables"]

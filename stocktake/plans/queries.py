@@ -26,6 +26,7 @@ from ..session import shared_path
 from ..sinks.tables import InventorySink, ensure_schema, match_names
 from ..sources.landing import apply_page_rules, landed_records, page_flags, unnest
 from ..sources.registry import resolved_registry
+from ..streaming.inventory import stream_inventory
 from ..streaming.stream import stream_raw
 from . import scenario
 from .batch import build_inventory, shape_tables
@@ -451,6 +452,52 @@ def q_stream_equals_batch(spark, d):
                                          F.round(F.sum("value"), 2).alias("total_value"))
 
 
+def _page_files(spark, pages: DataFrame, land: str | None = None) -> str:
+    """Landed page files whose number grows with the pages; a listing's pages lie in many of them."""
+    land = land or shared_path(spark, "landing")
+    pages.repartition("workspace", "endpoint", "parent", "page_no").write.mode("append").option("maxRecordsPerFile", 200).json(land)
+    return land
+
+
+def _stream_sink(spark) -> InventorySink:
+    schema = f"stocktake_stream_{uuid.uuid4().hex[:12]}"
+    ensure_schema(spark, schema)
+    return InventorySink(spark, schema, raw_mode="append")
+
+
+def q_stream_inventory_summary(spark, d):
+    """The whole landing as a stream, listings and their children spread over micro-batches; the summary."""
+    land = _page_files(spark, scenario.landing(spark, d))
+    summary = stream_inventory(spark, land, shared_path(spark, "stream-checkpoint"), _stream_sink(spark), max_files_per_trigger=16,
+                               mounts=scenario.mounts(spark, d))
+    return summary.select("Category", "Object", "Count", "To_be_Migrated")
+
+
+def q_stream_raw_tables(spark, d):
+    """The catalog scan's raw tables from a stream."""
+    pages = scenario.landing(spark, d).where(F.col("endpoint").isin("catalog", SCHEMA_KEY, "table"))
+    sink = _stream_sink(spark)
+    stream_inventory(spark, _page_files(spark, pages), shared_path(spark, "stream-checkpoint"), sink, max_files_per_trigger=2)
+    return spark.table(sink.table("table")).drop("_collected_at", "_workspace", "_unit")
+
+
+def q_stream_retype(spark, d):
+    """Two drains of one stream; a column is BIGINT in the first run and DOUBLE in the second."""
+    o = _t(spark, d, "orders")
+
+    def run(value, when):
+        return pack_pages(o, "repo", "repos", F.floor(F.col("o_orderkey") / 100) + 1, F.struct("o_orderkey", value.alias("amount")),
+                          F.col("o_orderkey"), collected_at=when)
+
+    sink, checkpoint = _stream_sink(spark), shared_path(spark, "stream-checkpoint")
+    land = _page_files(spark, run(F.col("o_custkey"), "2024-01-01 00:00:00"))
+    stream_inventory(spark, land, checkpoint, sink)
+    _page_files(spark, run(F.col("o_custkey") + F.lit(0.5), "2024-02-01 00:00:00"), land)
+    stream_inventory(spark, land, checkpoint, sink)
+    raw = spark.table(sink.table("repo"))
+    return raw.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "amount", F.date_format("_collected_at", "yyyy-MM").alias("month"))
+
+
 def q_snapshot_diff(spark, d):
     """Two snapshots of orders compared per key."""
     o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -498,6 +545,9 @@ QUERIES = {
     "raw_tables": q_raw_tables,
     "evolve_append": q_evolve_append,
     "stream_equals_batch": q_stream_equals_batch,
+    "stream_inventory_summary": q_stream_inventory_summary,
+    "stream_raw_tables": q_stream_raw_tables,
+    "stream_retype": q_stream_retype,
     "snapshot_diff": q_snapshot_diff,
 }
 

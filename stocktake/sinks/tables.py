@@ -17,6 +17,9 @@ from ..functions.names import quote_ident, table_name
 from ..operators.shape import EMPTY_MARK, empty_raw
 
 BATCH_COL = "_batch_id"
+UNIT_COL = "_unit"
+#: Columns that partition a table whose parts are replaced one by one.
+PART_COLS = (BATCH_COL, UNIT_COL)
 
 
 def list_objects(spark: SparkSession, kind: str, within: str | None = None) -> DataFrame:
@@ -136,7 +139,7 @@ class InventorySink:
                 return False
             df = empty_raw(self.spark, collected_at, workspace)
         if batch_id is not None:
-            self._write_batch(ident, df.withColumn(BATCH_COL, F.lit(int(batch_id))))
+            self._write_parts(ident, df.withColumn(BATCH_COL, F.lit(int(batch_id))), BATCH_COL, [int(batch_id)])
             return True
         if mode == "overwrite" or not self.exists(ident):
             self._overwrite(ident, df)
@@ -176,8 +179,9 @@ class InventorySink:
         stage, aside = ident[:-1] + "__stage`", ident[:-1] + "__old`"
         if not self.exists(ident) and self.exists(stage):
             rows = self.spark.table(stage)
-            if BATCH_COL in rows.columns:
-                rows.write.format("parquet").partitionBy(BATCH_COL).saveAsTable(ident)
+            part = next((c for c in PART_COLS if c in rows.columns), None)
+            if part:
+                rows.write.format("parquet").partitionBy(part).saveAsTable(ident)
                 self.spark.sql(f"DROP TABLE {stage}")
             else:
                 self.spark.sql(f"ALTER TABLE {stage} RENAME TO {ident}")
@@ -234,20 +238,30 @@ class InventorySink:
             merged = df
         self._swap_in(ident, merged)
 
-    def _write_batch(self, ident: str, df: DataFrame) -> None:
-        """Idempotent micro-batch append: the table is partitioned by batch id and a
-        replayed batch overwrites only its own partition (dynamic overwrite)."""
+    def write_units(self, ident: str, df: DataFrame | None, units: list[str], held: set[str]) -> None:
+        """Replace the rows of ``units`` by ``df`` (with UNIT_COL); units not in ``held`` have none left."""
+        self.recover(ident)
+        if self.exists(ident):
+            for u in sorted(set(units) - held):
+                self.spark.sql(f"ALTER TABLE {ident} DROP IF EXISTS PARTITION ({UNIT_COL} = '{u}')")
+        if df is None:
+            return
+        if EMPTY_MARK not in df.columns:
+            self._write_parts(ident, df, UNIT_COL, units)
+        elif not self.exists(ident):
+            df.drop(EMPTY_MARK).write.format("parquet").partitionBy(UNIT_COL).saveAsTable(ident)
+
+    def _write_parts(self, ident: str, df: DataFrame, part: str, values: list) -> None:
+        """Idempotent write of some parts (a micro-batch, or units): the table is partitioned
+        by ``part`` and only the partitions of ``values`` are overwritten (dynamic overwrite)."""
         if not self.exists(ident):
-            df.write.mode("overwrite").format("parquet").partitionBy(BATCH_COL).saveAsTable(ident)
+            df.write.mode("overwrite").format("parquet").partitionBy(part).saveAsTable(ident)
             return
         out, rewrite = self.aligned(ident, df)
         if rewrite:
-            # a retyped column widens the table: the other batches' rows and this batch's are swapped in
-            old = self.spark.table(ident)
-            this = df.select(BATCH_COL).limit(1).collect()
-            if this:
-                old = old.where(F.col(BATCH_COL) != F.lit(this[0][0]))
-            self._swap_in(ident, _union_widened(old, df), BATCH_COL)
+            # a retyped column widens the table: the other parts' rows and these are swapped in
+            old = self.spark.table(ident).where(~F.col(part).isin(*values))
+            self._swap_in(ident, _union_widened(old, df), part)
             return
         cols = [f.name for f in self.spark.table(ident).schema.fields]
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")

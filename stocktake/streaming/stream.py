@@ -1,10 +1,12 @@
-"""Incremental inventory with Structured Streaming.
+"""Micro-batches of self-contained listings with Structured Streaming.
 
 Landed page files are read with a file-source ``readStream``; every micro-batch
 goes through the same page rules, unnesting and shaping as a batch run inside
 ``foreachBatch`` (a stream cannot change its own schema; the batch function can).
 Writes are idempotent per batch id, so a replayed micro-batch replaces its own rows.
-A listing's pages should land in one file so that a micro-batch sees whole listings.
+This is the light path for endpoints without parents whose listings each land in one file.
+``streaming.inventory`` takes everything else: listings that span files, children, the
+catalog scan and the summary.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..fixed_values import SCHEMA_KEY, TABLE_KEY
 from ..operators.shape import shape_records
 from ..sinks.tables import InventorySink
 from ..sources.landing import PAGE_SCHEMA, landed_records
@@ -31,11 +35,19 @@ def read_page_stream(spark: SparkSession, landing_dir: str, fmt: str = "json",
 def process_batch(pages: DataFrame, batch_id: int, sink: InventorySink | None,
                   fn: Callable[[str, DataFrame], None] | None, prefix: str = "", policy: str = "prefix",
                   registry_options: dict | None = None) -> dict[str, int]:
-    """Shape one micro-batch of pages and hand every raw dataset to the sink or ``fn``."""
+    """Shape one micro-batch of pages and hand every raw dataset to the sink or ``fn``.
+
+    Pages of child listings need their parents, which may lie in other micro-batches: they
+    fail the batch instead of being left out.
+    """
     spark = pages.sparkSession
     reg = resolved_registry(spark, prefix, **(registry_options or {}))
+    children = [r["key"] for r in reg.where("parent_key IS NOT NULL").select("key").collect()]
+    children += [SCHEMA_KEY, TABLE_KEY, prefix + SCHEMA_KEY, prefix + TABLE_KEY]
     pages = pages.persist()
     try:
+        if not pages.where(F.col("endpoint").isin(children)).isEmpty():
+            raise ValueError("pages of child listings: use streaming.inventory.stream_inventory")
         # the micro-batch is persisted: its page bounds need no checkpoint of their own
         recs = landed_records(pages, reg.where("parent_key IS NULL"), policy, checkpoint=False)
         found: dict = {}
