@@ -11,6 +11,7 @@ on the executors, tiny result) and then one narrow ``select`` of
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import JSON_SUFFIX, SCALAR_ROOT_NAME
 from ..functions import variant as V
+from ..functions.joins import checkpoint_once
 from ..functions.names import clean_name, with_suffix
 
 FIRST_DEPTH = 3          # first guess; deeper records trigger one more, deeper pass
 MAX_DEPTH = 256
 DEFAULT_MAX_COLUMNS = 20000
+# Rows of the column plan the driver takes before it looks for groups that are too wide.
+PLAN_ROWS = 200_000
 INJECT_MARK = "@"
+# the path of a record's own key or element: the first step of a deeper path
+TOP_STEP = r"""(?s)^(\$(?:\['[^']*'\]|\["[^"]*"\]|\[\x00.*?\x00\]|\[\d+\]))"""
 # kind codes a leaf can carry (anything else counts as OTHER, typed as text)
 KIND_CODES = [V.K_INT, V.K_NUM, V.K_BOOL, V.K_STR, V.K_NULL, V.K_JSON, V.K_FORCE_STR, V.K_OBJ, V.K_ARR, V.K_DEEP,
               "DATE", "TIMESTAMP", "TIMESTAMP_NTZ"]
@@ -165,7 +171,8 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
     nest deeper than ``depth`` the pass is repeated deeper; nothing is cut off.
     ``inject`` names top-level string fields supplied as columns (context such as the
     parent's name); they are named and de-duplicated together with the record's keys.
-    ``counts_out`` receives the number of records per group (same pass).
+    ``counts_out`` receives the number of records per group (same pass). A group with more than
+    ``max_columns`` paths keeps its widest keys as JSON text (``_narrowed``).
     """
     by = list(by or [])
     depth = depth or FIRST_DEPTH
@@ -189,8 +196,14 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
                      .select(*by, F.concat(F.lit(INJECT_MARK), F.col("_p")).alias("_j"), "_p",
                              F.array(F.lit(V.K_STR)).alias("kinds"), F.lit(0).cast("long").alias("_rows")))
             kinds = kinds.unionByName(extra)
-        rows = _plan_frame(kinds, by).collect()
-        if not any(r["deep"] for r in rows):
+        rows = _planned(kinds, by).limit(PLAN_ROWS + 1).collect()
+        if len(rows) > PLAN_ROWS or _too_wide(rows, by, max_columns):
+            kinds = checkpoint_once(kinds)
+            deep = not kinds.where(F.array_contains("kinds", V.K_DEEP)).isEmpty()
+            rows = rows if deep else _planned(_narrowed(kinds, by, max_columns), by).collect()
+        else:
+            deep = any(r["deep"] for r in rows)
+        if not deep:
             break
         if depth >= MAX_DEPTH:
             raise FlattenError(f"records nest deeper than {MAX_DEPTH} levels")
@@ -201,7 +214,7 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
     out: dict[tuple, list[ColumnPlan]] = {}
     if counts_out is not None:
         for r in rows:
-            if r["_j"] == "$":
+            if r["_j"] == "$" and r["_rows"]:
                 g = tuple(r[c] for c in by)
                 counts_out[g] = counts_out.get(g, 0) + int(r["_rows"])
     for r in rows:
@@ -209,10 +222,56 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
             continue
         g = tuple(r[c] for c in by)
         out.setdefault(g, []).append(ColumnPlan(g, r["_j"], r["display"], r["type"], bool(r["guard"]), r["name"]))
-    for g, cols in out.items():
-        if len(cols) > max_columns:
-            raise FlattenError(f"{len(cols)} columns for {g} exceed max_columns={max_columns}; "
-                               "use a keep-list projection or flatten_long")
+    return out
+
+
+def _is_column() -> Column:
+    return F.size(F.array_except("kinds", F.array(*[F.lit(x) for x in (V.K_OBJ, V.K_ARR, V.K_DEEP)]))) > 0
+
+
+def _planned(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """The plan's rows that the driver needs: columns, unexpanded containers, and the roots with the counts."""
+    return _plan_frame(kinds, by).where(F.col("is_column") | F.col("deep") | (F.col("_j") == "$"))
+
+
+def _too_wide(rows: list, by: list[str], max_columns: int) -> bool:
+    return any(n > max_columns for n in Counter(tuple(r[c] for c in by) for r in rows if r["is_column"]).values())
+
+
+def _narrowed(kinds: DataFrame, by: list[str], max_columns: int) -> DataFrame:
+    """Paths (stored) of which no group has more than ``max_columns``; nothing of the records is lost.
+
+    In a group that is too wide (maps keyed by ids), the record's keys with the most paths below
+    them become one JSON text column each, widest first, until the rest fits; a record that is
+    itself such a map becomes the JSON text column ``_value``. Paths are counted on the
+    executors; the driver takes one row a group, and for a wide group ``max_columns`` at most.
+    """
+    top = F.regexp_extract("_j", TOP_STEP, 1)
+    totals = kinds.where(_is_column()).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = kinds
+    for r in totals:
+        if r["n"] <= max_columns:
+            continue
+        here = F.lit(True)
+        for c in by:
+            here = here & F.col(c).eqNullSafe(F.lit(r[c]))
+        left, wide = r["n"], []
+        for t in (kinds.where(here & _is_column() & (top != "")).groupBy(top.alias("top")).agg(F.count(F.lit(1)).alias("n"))
+                  .orderBy(F.desc("n"), "top").limit(max_columns).collect()):
+            if left <= max_columns or t["n"] < 2:
+                break
+            wide.append(t["top"])
+            left -= t["n"] - 1
+        as_json = F.array(F.lit(V.K_JSON))
+        if left > max_columns:
+            # the root row stays for the record count; its JSON form is a row of its own
+            root = kinds.where(here & (F.col("_j") == "$"))
+            out = out.where(~here | (F.col("_j") == "$") | F.col("_j").startswith(INJECT_MARK)).unionByName(
+                root.withColumn("kinds", as_json).withColumn("_rows", F.lit(0).cast("long")))
+        elif wide:
+            head = kinds.where(here & (top == F.col("_j")) & top.isin(wide))
+            out = out.where(~(here & top.isin(wide)) | (top == F.col("_j"))).unionByName(
+                head.withColumn("kinds", as_json).withColumn("_p", F.concat("_p", F.lit(JSON_SUFFIX))))
     return out
 
 
@@ -230,7 +289,8 @@ def _plan_frame(kinds: DataFrame, by: list[str]) -> DataFrame:
           # its JSON text into a string column.
           .withColumn("guard", F.max(has_container.cast("int")).over(Window.partitionBy(*by, "_j")) > 0)
           .withColumn("display", display)
-          .withColumn("clean", F.when(F.col("is_column"), clean_name("display"))))
+          # rows that are no columns need no name; their path keeps them out of one window partition
+          .withColumn("clean", F.when(F.col("is_column"), clean_name("display")).otherwise(F.col("_j"))))
     w = Window.partitionBy(*by, "is_column", "clean").orderBy("display", "_j")
     return df.withColumn("name", F.when(F.col("is_column"),
                                         with_suffix(F.col("clean"), F.row_number().over(w) - 1)))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import records
-from stocktake.operators.flatten import flatten, flatten_long
+from stocktake.operators.flatten import discover, flatten, flatten_long
 
 
 def wide(spark, rows, keep=None):
@@ -103,3 +103,20 @@ def test_key_with_both_quote_kinds(spark):
     assert rows[1]["o_x_y_z_0"] == 5 and rows[2]["o_x_y_z_0"] is None
     df2, rows2 = wide(spark, [(1, '{"q\'\\"":{"p":1}}')], keep=F.array())
     assert rows2[1]["q_json"] == '{"p":1}'
+
+
+def test_wide_maps_become_json_text(spark):
+    import json
+    rows = [(i, json.dumps({"id": i, "tags": {f"k{i}_{j}": j for j in range(50)}, "o": {"a": i}})) for i in range(40)]
+    out = flatten(records(spark, rows), "rec", ["id"], max_columns=100)
+    assert sorted(out.columns) == ["id", "id", "o_a", "tags_json"]
+    got = out.select("o_a", "tags_json").collect()
+    assert {r["o_a"]: json.loads(r["tags_json"]) for r in got} == {i: json.loads(b)["tags"] for i, b in rows}
+
+
+def test_record_that_is_a_wide_map_keeps_its_rows(spark):
+    import json
+    rows = [(i, json.dumps({f"k{i}_{j}": j for j in range(50)})) for i in range(10)]
+    found = {}
+    plans = discover(records(spark, rows), "rec", max_columns=100, counts_out=found)
+    assert [(c.name, c.type) for c in plans[()]] == [("value", "json")] and found[()] == 10
