@@ -213,18 +213,20 @@ WHERE key NOT IN ('uc_catalogs', 'managed_tables', 'external_tables') AND NOT (k
 SELECT l_extendedprice AS cluster_cores, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS cluster_id,
        l_linestatus AS cluster_source, l_quantity AS num_workers,
        '{"l_partkey":' || l_partkey || ',"l_suppkey":' || l_suppkey || '}' AS spark_conf_json,
-       l_returnflag AS state
+       l_returnflag AS state, '2024-01-01 00:00:00' AS _collected_at, 'ws-main' AS _workspace
 FROM lineitem""",
     "raw_job": f"""
 SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_time, o_custkey AS creator_user_name,
        o_orderkey AS job_id,
        '{{"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus
-         || '","o_totalprice":' || {_num("o_totalprice")} || '}}' AS settings_json
+         || '","o_totalprice":' || {_num("o_totalprice")} || '}}' AS settings_json,
+       '2024-01-01 00:00:00' AS _collected_at, 'ws-main' AS _workspace
 FROM orders""",
     "raw_tables": f"""
 SELECT r.r_name AS catalog, r.r_name AS catalog_name, c.c_name AS name,
        '{{"size":' || {_num("c.c_acctbal")} || '}}' AS properties_json,
-       n.n_name AS schema, n.n_name AS schema_name, c.c_custkey AS table_id, {_TABLE_TYPE} AS table_type
+       n.n_name AS schema, n.n_name AS schema_name, c.c_custkey AS table_id, {_TABLE_TYPE} AS table_type,
+       '2024-01-01 00:00:00' AS _collected_at, 'ws-main' AS _workspace
 FROM {_CUST_SCAN}""",
     "evolve_append": """
 SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority

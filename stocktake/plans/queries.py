@@ -385,20 +385,23 @@ def q_grand_totals(spark, d):
     return grand_totals(inv.counts)
 
 
+def _with_run(raw: DataFrame) -> DataFrame:
+    """A raw table with its provenance, the collection time as text."""
+    return raw.withColumn("_collected_at", F.date_format("_collected_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def q_raw_cluster(spark, d):
-    """Raw table of a keep-list type (lineitem as clusters), provenance left out."""
+    """Raw table of a keep-list type (lineitem as clusters)."""
     pages = scenario.landing(spark, d).where(F.col("endpoint") == "cluster")
     recs = landed_records(pages, resolved_registry(spark))
-    w = shape_records(recs, keep=True)[("cluster",)]
-    return w.drop("_collected_at", "_workspace")
+    return _with_run(shape_records(recs, keep=True)[("cluster",)])
 
 
 def q_raw_job(spark, d):
     """Raw table of jobs: kept typed fields and the nested settings as JSON text."""
     pages = scenario.landing(spark, d).where(F.col("endpoint") == "job")
     recs = landed_records(pages, resolved_registry(spark))
-    w = shape_records(recs, keep=True)[("job",)]
-    return w.drop("_collected_at", "_workspace")
+    return _with_run(shape_records(recs, keep=True)[("job",)])
 
 
 def q_raw_tables(spark, d):
@@ -408,7 +411,7 @@ def q_raw_tables(spark, d):
     cats = select_catalogs(landed_records(cat_pages, resolved_registry(spark)))
     scan = pages.where(F.col("endpoint").isin(SCHEMA_KEY, "table"))
     tables = select_tables(scan, select_schemas(scan, cats)).withColumn("endpoint", F.lit("table"))
-    return shape_tables(tables)["table"].drop("_collected_at", "_workspace")
+    return _with_run(shape_tables(tables)["table"])
 
 
 # ---------------------------------------------------------------------------------------
@@ -478,7 +481,7 @@ def q_stream_raw_tables(spark, d):
     pages = scenario.landing(spark, d).where(F.col("endpoint").isin("catalog", SCHEMA_KEY, "table"))
     sink = _stream_sink(spark)
     stream_inventory(spark, _page_files(spark, pages), shared_path(spark, "stream-checkpoint"), sink, max_files_per_trigger=2)
-    return spark.table(sink.table("table")).drop("_collected_at", "_workspace", "_unit")
+    return _with_run(spark.table(sink.table("table"))).drop("_unit")
 
 
 def q_stream_retype(spark, d):
