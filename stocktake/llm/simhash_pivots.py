@@ -149,11 +149,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest id (nulls last), whole rows.
 
-    Rows are told apart by their place in the scan, so ``docs`` must be a stored table; of rows that
-    share the smallest id one stays. Only the places of the rows that go are joined back.
+    Rows are told apart by their place in a scan, which is stored beside them: a second scan may be
+    split otherwise, as executors come and go. Of rows that share the smallest id one stays. Only the
+    places of the rows that go are joined back.
     """
     place, key = "place__", "id__"
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    placed = stored(docs.withColumn(place, F.monotonically_increasing_id()), "placed-documents")
     prints = stored(with_fingerprints(placed.select(place, F.col(id_col).cast("long").alias(key), F.col(text_col).cast("string").alias("text")),
                                       "text", words, [place, key]), "document-prints")
     named = groups(prints, place, max_bits).select("fp", F.col("component_id").alias("group__"))

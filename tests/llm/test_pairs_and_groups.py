@@ -78,6 +78,22 @@ def test_one_of_each_group_stays(docs, texts, none):
     assert simhash_pivots.keep_one(none).count() == 0
 
 
+def test_rows_stay_when_a_later_scan_is_split_otherwise(spark):
+    path = spark.conf.get("spark.checkpoint.dir") + "/split-otherwise"
+    rng = random.Random(12)
+    rows = [(i, f"alone {i} " + " ".join(str(rng.random()) for _ in range(i % 40 + 5))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 200, 4)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(path)
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(name, "2k")
+        kept = simhash_pivots.keep_one(spark.read.parquet(path))
+        spark.conf.set(name, "64m")
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (5, None)]
