@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField
 
 from stocktake.llm import words as W
-from stocktake.llm.common import append_columns, free_name, text_array
+from stocktake.llm.common import append_columns, free_name, stored, text_array
 from stocktake.llm.linear import right_singular, summed
 
 #: log2 of the hashed terms.
 BITS = 18
 #: Passages are PASSAGE steps of STEP words, one beginning at every step.
 STEP, PASSAGE = 16, 4
-#: Benchmark items in one index, whose latent space keeps all their directions up to the same rank.
+#: Benchmark items in one index at most; its latent space keeps a direction for each.
 ITEMS = 256
 
 
@@ -159,11 +159,23 @@ class Index:
             yield d, t, best[2], best[0], best[1]
 
 
-def index(benchmark: DataFrame, df: np.ndarray, n: float, rank: int = ITEMS, cosine: float = 0.3, verbatim: float = 0.8,
+def blocks_of(rows: DataFrame, size: int, name: str) -> list[DataFrame]:
+    """``rows``, stored once, in blocks of ``size`` rows (the last: what is left), with their ``place``."""
+    placed = stored(rows.withColumn("place", F.monotonically_increasing_id()), name)
+    counts = sorted(tuple(r) for r in placed.groupBy(F.shiftright("place", 33).alias("part")).count().collect())
+    starts, before = [], 0
+    for part, count in counts:
+        starts += [(part << 33) + k - before for k in range(-(-before // size) * size, before + count, size)]
+        before += count
+    return [placed.where((F.col("place") >= lo) & (F.col("place") < hi)) for lo, hi in zip(starts, [*starts[1:], (1 << 63) - 1])]
+
+
+def index(benchmark: DataFrame, df: np.ndarray, n: float, cosine: float = 0.3, verbatim: float = 0.8,
           paraphrase: float = 0.5, answer: float = 0.75, item_col: str = "item_id", text_col: str = "text") -> Index:
     """Randomised SVD of the TF-IDF passages of one block of benchmark items, and the items in its space.
 
     Inverse document frequencies are those of the documents. Terms are the hashed words of the items.
+    The rank is the number of items, whose rows have length one, so that no direction is dropped as short.
     """
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
     got = benchmark.select(F.col(item_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).collect()
@@ -178,7 +190,7 @@ def index(benchmark: DataFrame, df: np.ndarray, n: float, rank: int = ITEMS, cos
     vocabulary = np.unique(flat)
     term = np.full(1 << BITS, -1, np.int32)
     term[vocabulary] = np.arange(len(vocabulary))
-    rank = max(1, min(rank, len(vocabulary) - 1, len(ids)))
+    rank = max(1, min(len(vocabulary), len(ids)))
 
     def blocks():
         def rows(batches):
@@ -188,7 +200,7 @@ def index(benchmark: DataFrame, df: np.ndarray, n: float, rank: int = ITEMS, cos
                         x = np.zeros((count, len(vocabulary)), np.float32)
                         slot = slots(word)
                         np.add.at(x, (doc, term[slot]), idf[slot])
-                        yield x
+                        yield x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         return rows
 
     basis = right_singular(benchmark.select(F.col(text_col).cast("string").alias("text")), blocks, len(vocabulary), rank) \
@@ -210,9 +222,7 @@ def _searched(rows: DataFrame, benchmark: DataFrame, keep: list[str], names: lis
     spark = rows.sparkSession
     df, n = document_frequencies(rows.select("text"))
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    parts = max(1, -(-items.count() // ITEMS))
-    indexes = [spark.sparkContext.broadcast(index(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p), df, n, **limits))
-               for p in range(parts)]
+    indexes = [spark.sparkContext.broadcast(index(block, df, n, **limits)) for block in blocks_of(items, ITEMS, "benchmark-items")]
 
     def make():
         def search(texts: pa.Array) -> list[pa.Array]:

@@ -201,3 +201,15 @@ def test_benchmark_passages(spark, docs, texts, none):
     assert kept.schema == docs.schema and kept.count() == len(texts)
     assert latent_decontamination.clean(docs, benchmark.limit(0)).count() == len(texts)
     assert latent_decontamination.decontaminated(none, benchmark).count() == 0
+
+
+def test_each_benchmark_item_keeps_its_direction(spark, none):
+    rng = random.Random(11)
+    items = [(k, " ".join(rng.choice("abcdefgh") + str(rng.randrange(2500)) for _ in range(rng.choice([4, 6, 60])))) for k in range(510)]
+    copies = frame(spark, [(k, prose(rng, 20) + " " + t + " " + prose(rng, 20)) for k, t in items])
+    got = {r.doc_id: r["items"] for r in latent_decontamination.decontaminated(copies, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [k for k, _ in items if k not in got[k]] == []
+    blocks = latent_decontamination.blocks_of(spark.range(1000, numPartitions=7), 256, "blocks")
+    assert [b.count() for b in blocks] == [256, 256, 256, 232]
+    assert sorted(r.id for b in blocks for r in b.collect()) == list(range(1000))
+    assert latent_decontamination.blocks_of(none, 256, "blocks") == []
