@@ -18,8 +18,10 @@ from stocktake.llm.linear import right_singular, summed
 BITS = 18
 #: Passages are PASSAGE steps of STEP words, one beginning at every step.
 STEP, PASSAGE = 16, 4
-#: Benchmark items in one index at most; its latent space keeps a direction for each.
-ITEMS = 256
+#: Longest part of an item; any window of STEP * PASSAGE words that begins up to a step before it holds it whole.
+PART = STEP * (PASSAGE - 1)
+#: Parts of benchmark items in one index at most; its latent space keeps a direction for each.
+PARTS = 256
 
 
 def word_hashes(texts: pa.Array):
@@ -80,15 +82,20 @@ def common_subsequence(a: list[int], b: list[int]) -> tuple[int, int]:
 
 @dataclass
 class Index:
-    """Benchmark items in the latent space of their passages."""
+    """Parts of benchmark items in the latent space they span."""
 
     ids: list
     words: list[list[int]]
+    parts: list[tuple[int, int, int]]  # item number, first word, number of words
     idf: np.ndarray
     term: np.ndarray  # slot -> term number, or -1
     basis: np.ndarray
-    vectors: np.ndarray
+    vectors: np.ndarray  # of the parts, of length one
+    norms: np.ndarray  # the parts' lengths in term space
+    most: np.ndarray  # slot -> what one such word adds to the product with any part's vector at most
+    share: np.ndarray  # slot -> the same as a share of that part's own energy
     cosine: float
+    contained: float
     verbatim: float
     paraphrase: float
     answer: float
@@ -100,18 +107,20 @@ class Index:
         slot = slots(word)
         weight = self.idf[slot]
         energy = weight.astype(np.float64) ** 2
+        term = self.term[slot]
         begin = np.searchsorted(doc, np.arange(doc[-1] + 2))
         within = np.arange(len(word)) - begin[doc]
         start = np.flatnonzero(within % STEP == 0)  # the steps' first words
-        whole = np.add.reduceat(energy, start)
-        term = self.term[slot]
-        inside = np.add.reduceat(np.where(term >= 0, energy, 0), start)
         text = doc[start]
         last = np.minimum(np.arange(len(start)) + PASSAGE, np.searchsorted(text, text, side="right"))
-        sums = [np.concatenate(([0], np.cumsum(x))) for x in (whole, inside)]
-        all_, in_ = (s[last] - s[:-1] for s in sums)
-        # a projection is never longer than what lies inside the benchmark's terms, so these can't reach the cosine
-        candidate = np.flatnonzero(in_ >= (self.cosine ** 2) * np.maximum(all_, 1e-12))
+
+        def windows(values):
+            sums = np.concatenate(([0], np.cumsum(np.add.reduceat(values, start, dtype=np.float64))))
+            return sums[last] - sums[:-1]
+        all_, in_ = windows(energy), windows(np.where(term >= 0, energy, 0))
+        # products are sums over the words, so with the most that each word can add no window is lost (0.999: rounding)
+        candidate = np.flatnonzero((in_ > 0) & ((windows(self.most[slot]) >= 0.999 * self.cosine * np.sqrt(np.maximum(in_, 0)))
+                                                | (windows(self.share[slot]) >= 0.999 * self.contained)))
         ends = np.append(start[1:], len(word))
         hits: dict[tuple[int, int], list] = {}
         for at in range(0, len(candidate), 2048):
@@ -131,20 +140,30 @@ class Index:
             v = np.zeros((len(rows), z.shape[1]), np.float32)
             for k in range(PASSAGE):
                 v += z[np.where(rows + k < last[rows], number[np.minimum(rows + k, len(start))], len(steps))]
-            cosine = (v @ self.vectors.T) / np.sqrt(np.maximum(all_[rows], 1e-12))[:, None]
-            for r, t in zip(*np.nonzero(cosine >= self.cosine), strict=True):
-                first = int(rows[r])
-                hits.setdefault((int(text[first]), int(t)), []).append((first, float(cosine[r, t])))
+            product = v @ self.vectors.T
+            near = (product >= self.cosine * np.sqrt(np.maximum(in_[rows], 1e-12))[:, None]) | (product >= self.contained * self.norms)
+            for r, p in zip(*np.nonzero(near), strict=True):
+                first, (t, offset, length) = int(rows[r]), self.parts[p]
+                spare = max(1, len(self.words[t]) // 2)
+                hits.setdefault((int(text[first]), t), []).append((
+                    int(start[first]) - offset - spare, int(ends[last[first] - 1]) + len(self.words[t]) - offset - length + spare,
+                    min(1.0, float(product[r, p] / np.sqrt(max(all_[first], 1e-12))))))
         for (d, t), places in hits.items():
-            yield from self._confirmed(d, t, places, word, start, begin, last, ends)
+            yield from self._confirmed(d, t, places, word, begin)
 
-    def _confirmed(self, d, t, places, word, start, begin, last, ends):
-        item = self.words[t]
-        spare, best = max(1, len(item) // 2), None
+    def _confirmed(self, d, t, places, word, begin):
+        item, best = self.words[t], None
         least = min(self.verbatim, self.paraphrase) * len(item)
-        for first, cosine in places:
-            lo = max(int(begin[d]), int(start[first]) - spare)
-            hi = min(int(begin[d + 1]), int(ends[last[first] - 1]) + spare)
+        if len(item) > PART:  # parts of one copy point to nearly the same place
+            regions: list[list] = []
+            for lo, hi, cosine in sorted(places):
+                if regions and lo - regions[-1][0] <= len(item) // 4:
+                    regions[-1][1:] = max(hi, regions[-1][1]), max(cosine, regions[-1][2])
+                else:
+                    regions.append([lo, hi, cosine])
+            places = regions
+        for lo, hi, cosine in places:
+            lo, hi = max(int(begin[d]), lo), min(int(begin[d + 1]), hi)
             around = word[lo:hi].tolist()
             there = set(around)
             if sum(x in there for x in item) < least:  # no subsequence is longer
@@ -170,27 +189,49 @@ def blocks_of(rows: DataFrame, size: int, name: str) -> list[DataFrame]:
     return [placed.where((F.col("place") >= lo) & (F.col("place") < hi)) for lo, hi in zip(starts, [*starts[1:], (1 << 63) - 1])]
 
 
-def index(benchmark: DataFrame, df: np.ndarray, n: float, cosine: float = 0.3, verbatim: float = 0.8,
-          paraphrase: float = 0.5, answer: float = 0.75, item_col: str = "item_id", text_col: str = "text") -> Index:
-    """Randomised SVD of the TF-IDF passages of one block of benchmark items, and the items in its space.
-
-    Inverse document frequencies are those of the documents. Terms are the hashed words of the items.
-    The rank is the number of items, whose rows have length one, so that no direction is dropped as short.
+def parts_of(items: DataFrame) -> DataFrame:
+    """Items (place, text) cut into even parts of PART words at most: item (its place), first, length, text."""
+    def cut(batches):
+        for batch in batches:
+            place, out = batch.column(0).to_pylist(), []
+            for at, data, offsets in W.pieces(text_array(batch, "text")):
+                start, end, doc = W.spans(data, offsets)
+                begin = np.searchsorted(doc, np.arange(len(offsets)))
+                for d in range(len(offsets) - 1):
+                    n = int(begin[d + 1] - begin[d])
+                    count = -(-n // PART)
+                    for k in range(count):
+                        lo, hi = n * k // count, n * (k + 1) // count
+                        piece = data[start[begin[d] + lo]:end[begin[d] + hi - 1]].tobytes()
+                        out.append((place[at + d], lo, hi - lo, piece.decode("utf-8", "replace")))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (
+                    pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["item", "first", "length", "text"])
+
+    return items.select("place", "text").mapInArrow(cut, "item long, first long, length long, text string")
+
+
+def index(items: DataFrame, block: DataFrame, df: np.ndarray, n: float, cosine: float = 0.3, contained: float = 0.4, verbatim: float = 0.8,
+          paraphrase: float = 0.5, answer: float = 0.75) -> Index:
+    """Randomised SVD of the TF-IDF rows of one block of parts, and the parts in its space.
+
+    Inverse document frequencies are those of the documents. Terms are the hashed words of the parts.
+    The rank is the number of parts, whose rows have length one, so that no direction is dropped as short.
     """
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
-    got = benchmark.select(F.col(item_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).collect()
-    ids, texts = [r[0] for r in got], [r[1] for r in got]
+    rows = block.select("item", "first", "length").collect()
+    got = items.where(F.col("place").isin(sorted({r[0] for r in rows}))).select("place", "item_id", "text").collect()
+    number, ids, texts = {r[0]: i for i, r in enumerate(got)}, [r[1] for r in got], [r[2] for r in got]
     words: list[list[int]] = [[] for _ in texts]
     for first, _, word, doc in word_hashes(pa.array(texts, pa.string())):
         for d, w in zip(doc.tolist(), word.tolist(), strict=True):
             words[first + d].append(w)
-    keep = [i for i, w in enumerate(words) if w]
-    ids, words = [ids[i] for i in keep], [words[i] for i in keep]
-    flat = slots(np.array([x for w in words for x in w], np.uint64))
-    vocabulary = np.unique(flat)
+    parts = [(number[r[0]], r[1], r[2]) for r in rows]
+    own = [slots(np.array(words[t][first:first + length], np.uint64)) for t, first, length in parts]
+    vocabulary = np.unique(np.concatenate(own))
     term = np.full(1 << BITS, -1, np.int32)
     term[vocabulary] = np.arange(len(vocabulary))
-    rank = max(1, min(len(vocabulary), len(ids)))
+    rank = max(1, min(len(vocabulary), len(parts)))
 
     def blocks():
         def rows(batches):
@@ -203,14 +244,18 @@ def index(benchmark: DataFrame, df: np.ndarray, n: float, cosine: float = 0.3, v
                         yield x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         return rows
 
-    basis = right_singular(benchmark.select(F.col(text_col).cast("string").alias("text")), blocks, len(vocabulary), rank) \
-        if len(vocabulary) else np.zeros((0, 1), np.float32)
-    vectors = np.zeros((len(ids), basis.shape[1]), np.float32)
-    for i, w in enumerate(words):
-        slot = slots(np.array(w, np.uint64))
+    basis = right_singular(block.select("text"), blocks, len(vocabulary), rank)
+    vectors, norms = np.zeros((len(parts), rank), np.float32), np.zeros(len(parts), np.float32)
+    most, share = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    for i, slot in enumerate(own):
         v = (idf[slot][:, None] * basis[term[slot]]).sum(axis=0)
         vectors[i] = v / max(float(np.linalg.norm(v)), 1e-12)
-    return Index(ids, words, idf, term, basis, vectors, cosine, verbatim, paraphrase, answer)
+        here, count = np.unique(slot, return_counts=True)
+        norms[i] = max(float(np.linalg.norm(count * idf[here])), 1e-12)
+        adds = count * idf[here] ** 2 / norms[i]
+        most[here] = np.maximum(most[here], adds)
+        share[here] = np.maximum(share[here], adds / norms[i])
+    return Index(ids, words, parts, idf, term, basis, vectors, norms, most, share, cosine, contained, verbatim, paraphrase, answer)
 
 
 FOUND = [StructField("contaminated", BooleanType()), StructField("items", ArrayType(LongType())), StructField("cosine", DoubleType()),
@@ -222,7 +267,9 @@ def _searched(rows: DataFrame, benchmark: DataFrame, keep: list[str], names: lis
     spark = rows.sparkSession
     df, n = document_frequencies(rows.select("text"))
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    indexes = [spark.sparkContext.broadcast(index(block, df, n, **limits)) for block in blocks_of(items, ITEMS, "benchmark-items")]
+    items = stored(items.withColumn("place", F.monotonically_increasing_id()), "benchmark-items")
+    indexes = [spark.sparkContext.broadcast(index(items, block, df, n, **limits))
+               for block in blocks_of(parts_of(items), PARTS, "benchmark-parts")]
 
     def make():
         def search(texts: pa.Array) -> list[pa.Array]:
@@ -249,9 +296,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     surroundings) and answer (share of the item's last quarter on it).
 
     Every document is cut into overlapping passages of 64 words, each compared with every item of the
-    benchmark in the latent space; passages at ``cosine`` or more are checked word by word. A match is
-    ``verbatim`` of the words, or ``paraphrase`` of them with ``answer`` of the item's end. The
-    benchmark is the query set: it is searched in blocks of ITEMS items, each broadcast; nothing of the
+    benchmark, long items in parts of 48 words at most, in the latent space. Passages at ``cosine`` or
+    more, measured by their benchmark terms, are checked word by word, and so are those that hold
+    ``contained`` of a part's energy: words around a copy can't lower that, so no copy is missed. A match
+    is ``verbatim`` of the words, or ``paraphrase`` of them with ``answer`` of the item's end. The
+    benchmark is the query set: it is searched in blocks of PARTS parts, each broadcast; nothing of the
     documents is shuffled but the sums of term counts. Null and empty texts match nothing, nor do
     empty items; null ids and repeated rows are kept; an empty benchmark contaminates nothing.
     """

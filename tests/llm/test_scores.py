@@ -213,3 +213,19 @@ def test_each_benchmark_item_keeps_its_direction(spark, none):
     assert [b.count() for b in blocks] == [256, 256, 256, 232]
     assert sorted(r.id for b in blocks for r in b.collect()) == list(range(1000))
     assert latent_decontamination.blocks_of(none, 256, "blocks") == []
+
+
+def test_copies_among_rare_words_and_copies_of_long_items(spark):
+    rng = random.Random(13)
+    common = [prose(rng, 1) for _ in range(40)]
+    items = [(k, " ".join(rng.choice(common) if rng.random() < 0.7 else prose(rng, 1) for _ in range(rng.randint(15, 22)))) for k in range(150)]
+    items += [(200 + k, " ".join(rng.choice(common) if rng.random() < 0.7 else prose(rng, 1) for _ in range(2500))) for k in range(4)]
+    rare = iter(f"x{j}q" for j in range(1_000_000))
+    around = lambda n: " ".join(next(rare) for _ in range(n))
+    rows = [(k, around(rng.randint(40, 90)) + " " + t + " " + around(60)) for k, t in items]
+    rows += [(1000 + k, items[k][1] + " " + " ".join(f"again{k}" for _ in range(60))) for k in range(50)]
+    rows += [(5000 + k, " ".join(rng.choice(common) for _ in range(60))) for k in range(400)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in latent_decontamination.decontaminated(frame(spark, rows), benchmark).collect()}
+    assert [k for k, _ in items if k not in got[k]["items"]] == [] == [k for k in range(50) if k not in got[1000 + k]["items"]]
+    assert all(got[k].subsequence == 1.0 and got[k].cosine <= 1.0 for k, _ in items)
