@@ -15,8 +15,9 @@ from stocktake.llm.common import append_columns, free_name, held_out_rows, store
 from stocktake.llm.labelled import sample
 from stocktake.llm.linear import right_singular, summed
 
-#: Hashed terms.
-WIDTH = 2048
+#: Hashed terms: of the texts' form, then of their wording.
+FORM = 2048
+WIDTH = FORM + 6144
 #: Texts whose dense rows are held at a time.
 ROWS = 256
 # Character classes of word shapes: small and capital letters, digits; other ASCII signs stand for
@@ -28,7 +29,8 @@ CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[128:] = 97, 65, 48, 0
 def terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts (texts x WIDTH) of each text's form: shapes of words (runs of a character class as one),
     pairs of neighbouring shapes, words that repeat the one before, and five-word shingles seen
-    before in the text."""
+    before in the text; and of its wording: words of letters and digits in lower case, and pairs of
+    neighbouring characters of non-Latin scripts."""
     n = len(offsets) - 1
     start, end, doc = W.spans(data, offsets, W.NOT_SPACE)
     if not len(start):
@@ -47,12 +49,26 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     order = np.lexsort((shingle, doc[s_first]))
     s_doc, shingle = doc[s_first][order], shingle[order]
     seen = np.flatnonzero((shingle[1:] == shingle[:-1]) & (s_doc[1:] == s_doc[:-1]))
-    slots = np.concatenate(((shapes >> np.uint64(40)) % np.uint64(WIDTH - 2), (pairs >> np.uint64(40)) % np.uint64(WIDTH - 2),
-                            np.full(len(again), WIDTH - 2, np.uint64), np.full(len(seen), WIDTH - 1, np.uint64))).astype(np.int64)
-    docs = np.concatenate((doc, doc[first], doc[again], s_doc[seen]))
+    slots = np.concatenate(((shapes >> np.uint64(40)) % np.uint64(FORM - 2), (pairs >> np.uint64(40)) % np.uint64(FORM - 2),
+                            np.full(len(again), FORM - 2, np.uint64), np.full(len(seen), FORM - 1, np.uint64))).astype(np.int64)
+    wording, w_doc = wordings(data, offsets)
+    slots = np.concatenate((slots, wording))
+    docs = np.concatenate((doc, doc[first], doc[again], s_doc[seen], w_doc))
     return np.bincount(docs * WIDTH + slots, minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float32)
 
 
+def wordings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, text) of every word, and of every pair of neighbouring characters of scripts from Greek on."""
+    data = W.lower(data)
+    start, end, doc = W.spans(data, offsets)
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # characters' first bytes
+    ends = np.append(at[1:], len(data))
+    text = np.searchsorted(offsets, at, side="right") - 1
+    pair = np.flatnonzero((data[at[:-1]] >= 0xCD) & (data[at[1:]] >= 0xCD) & (text[:-1] == text[1:]))
+    hashes = np.concatenate((W.span_hash(data, start, end), W.span_hash(data, at[pair], ends[pair + 1])))
+    return (FORM + (hashes >> np.uint64(40)) % np.uint64(WIDTH - FORM)).astype(np.int64), np.concatenate((doc, text[pair]))
+
+
 def counted(texts: pa.Array):
     """(first text, term counts) of blocks of texts."""
     for at in range(0, len(texts), ROWS):
@@ -61,7 +77,10 @@ def counted(texts: pa.Array):
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of length one, to which form and wording give the same share."""
     x = np.log1p(counts) * idf
+    for half in (x[:, :FORM], x[:, FORM:]):
+        half /= np.maximum(np.linalg.norm(half, axis=1, keepdims=True), 1e-12)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -93,7 +112,7 @@ class Voters:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2048, rank: int = 48, neighbours: int = 15,
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2048, rank: int = 96, neighbours: int = 15,
         id_col: str = "doc_id", text_col: str = "text") -> Voters:
     """Document frequencies and the latent space come from all documents; the voters are at most
     2 * ``per_class`` labelled training rows (``labelled.sample``), weighted to the classes' shares.

@@ -229,3 +229,23 @@ def test_copies_among_rare_words_and_copies_of_long_items(spark):
     got = {r.doc_id: r for r in latent_decontamination.decontaminated(frame(spark, rows), benchmark).collect()}
     assert [k for k, _ in items if k not in got[k]["items"]] == [] == [k for k in range(50) if k not in got[1000 + k]["items"]]
     assert all(got[k].subsequence == 1.0 and got[k].cosine <= 1.0 for k, _ in items)
+
+
+def test_quality_that_lies_in_the_wording_alone(spark):
+    rng = random.Random(17)
+    good = ["anter", "tionly", "resting", "handor", "stingle", "essen", "theron", "ording", "landes", "tiring"]
+    spam = ["cheapo", "winnow", "clickit", "buyers", "freebie", "dealio", "casinos", "lotters", "bonuses", "pillsy"]
+    cyrillic = "абвгдежзиклмн", "опрстуфхцчшщы"
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 2
+        if i % 4 < 2:
+            words = [rng.choice(spam if bad and rng.random() < 0.6 else good) for _ in range(rng.randint(30, 60))]
+        else:
+            words = ["".join(rng.choice(cyrillic[bad]) for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(30, 60))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1 - bad))
+    got = quality_knn.scored(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), threshold=0.5).collect()
+    for kind in (0, 2):
+        right = [r.predicted == 1 - r.doc_id % 2 for r in got if r.held_out and r.doc_id % 4 in (kind, kind + 1)]
+        assert len(right) > 100 and sum(right) / len(right) >= 0.95
