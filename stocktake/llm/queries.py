@@ -12,6 +12,7 @@ from stocktake.llm import (
     hypergeometric_shuffle,
     latent_decontamination,
     license_scan,
+    lyndon_runs,
     mixture_packing,
     quality_knn,
     simhash_pivots,
@@ -74,6 +75,11 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of at least 12 words in all documents."""
+    return lyndon_runs.run_digests(load(spark, sf_dir, "documents"), shortest=12)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_context_tree": op2_context_tree,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixture_packing": op8_mixture_packing,
     "op9_uniform_sharding": op9_uniform_sharding,
     "op10_quality_knn": op10_quality_knn,
+    "op11_lyndon_runs": op11_lyndon_runs,
 }
 ORACLE: dict[str, str] = {
     "op4_embedding_neardup": """
