@@ -16,6 +16,7 @@ from stocktake.llm import (
     mixture_packing,
     quality_knn,
     simhash_pivots,
+    stripes,
     token_cache,
     toxicity_fm,
 )
@@ -80,6 +81,11 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lyndon_runs.run_digests(load(spark, sf_dir, "documents"), shortest=12)
 
 
+def op12_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language: phrases of 2 to 5 words that occur 100 times or more."""
+    return stripes.collocations(load(spark, sf_dir, "documents"), least=100, most_words=5, percent=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_context_tree": op2_context_tree,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_uniform_sharding": op9_uniform_sharding,
     "op10_quality_knn": op10_quality_knn,
     "op11_lyndon_runs": op11_lyndon_runs,
+    "op12_phrase_stripes": op12_phrase_stripes,
 }
 ORACLE: dict[str, str] = {
     "op4_embedding_neardup": """
@@ -107,4 +114,29 @@ ORACLE: dict[str, str] = {
         SELECT e.vec_id, coalesce(deg.n, 0) AS n_links, least(e.vec_id, coalesce(low.low, e.vec_id)) AS component_id,
             e.vec_id = least(e.vec_id, coalesce(low.low, e.vec_id)) AS kept
         FROM embeddings e LEFT JOIN low ON e.vec_id = low.u LEFT JOIN deg ON e.vec_id = deg.u""",
+    "op12_phrase_stripes": """
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+        grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+            SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+            FROM words, (SELECT unnest(generate_series(1, 5)) AS k))),
+        freq AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL),
+        total AS (SELECT lang, sum(f) AS n FROM freq WHERE k = 1 GROUP BY lang),
+        often AS (SELECT * FROM freq WHERE f >= 100),
+        candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k > 1),
+        cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, n, (1000 * c.a * n) // (l.f * r.f) AS score
+            FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidate) c
+            JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:cut], ' ')
+            JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+            JOIN total ON total.lang = c.lang),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_parts AS (SELECT lang, a, array_to_string(w[i:j], ' ') AS phrase FROM (
+            SELECT *, unnest(generate_series(i + 1, CAST(CASE WHEN i = 1 THEN k - 1 ELSE k END AS BIGINT))) AS j FROM (
+                SELECT *, unnest(generate_series(1, k - 1)) AS i FROM candidate WHERE k > 2))),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts p
+            WHERE p.lang = b.lang AND p.phrase = b.phrase AND 100 * p.a >= 100 * b.a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+            CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
 }
