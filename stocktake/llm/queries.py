@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stocktake.llm import (
     cap_filters,
     context_tree,
+    fm_index,
     hypergeometric_shuffle,
     latent_decontamination,
     license_scan,
@@ -86,6 +87,11 @@ def op12_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripes.collocations(load(spark, sf_dir, "documents"), least=100, most_words=5, percent=100, top=2000)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 13 words or more that a document with a smaller id holds."""
+    return fm_index.substring_dedup(load(spark, sf_dir, "documents"), window=13, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_context_tree": op2_context_tree,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_knn": op10_quality_knn,
     "op11_lyndon_runs": op11_lyndon_runs,
     "op12_phrase_stripes": op12_phrase_stripes,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLE: dict[str, str] = {
     "op4_embedding_neardup": """
@@ -139,4 +146,16 @@ ORACLE: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
         SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
             CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
+    "op13_substring_dedup": """
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (
+            SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM texts)),
+        firsts AS (SELECT x, min(doc_id) AS low FROM windows GROUP BY x),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i
+            FROM windows JOIN firsts USING (x) WHERE low < doc_id),
+        cut AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+        kept AS (SELECT t.doc_id, len(w) AS n, coalesce(len(g), 0) AS removed, CASE WHEN g IS NULL THEN w
+            ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS left_over FROM texts t LEFT JOIN cut USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(removed AS BIGINT) AS n_removed,
+            sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256 FROM kept""",
 }

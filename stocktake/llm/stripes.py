@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from stocktake.llm.bits import Mask, mask
 from stocktake.llm.common import stored
 from stocktake.llm.words import BASE, mix
 
@@ -41,17 +42,6 @@ PARTS = StructType([StructField("lang", StringType()), StructField("prefix", Str
 STRIPES = StructType([*PARTS.fields[:3], StructField("total", LongType()), *PARTS.fields[3:], StructField("hash", ArrayType(LongType()))])
 
 
-class Mask:
-    """A bit table of phrase hashes."""
-
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - self.bits)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def word_hash(lang: bytes, word: bytes) -> int:
     return xxhash.xxh64_intdigest(lang + MARK + word)
 
@@ -150,11 +140,11 @@ def _rows(words: Words, prefix: pa.Array, owner: np.ndarray, next_word: np.ndarr
         pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64)))], names=PARTS.names)
 
 
-def _count(texts: DataFrame, known: int, lengths: list[int], frequent, mask, hot: np.ndarray) -> DataFrame:
+def _count(texts: DataFrame, known: int, lengths: list[int], frequent, phrases, hot: np.ndarray) -> DataFrame:
     """Partial stripes, one row a prefix and slice for each run of HELD words of a task."""
     def run(batches):
         single = frequent.value if frequent is not None else None
-        bits = mask.value if mask is not None else None
+        bits = phrases.value if phrases is not None else None
         of: dict[str, Words] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -236,16 +226,6 @@ def _stripes(labels: list[list], owner: np.ndarray, nexts: pa.Array, counts: pa.
         pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], names=STRIPES.names)
 
 
-def _mask(spark: SparkSession, stripes: DataFrame, bits: int):
-    """Bit table of the phrases that ``stripes`` end in; 2**bits bits at any size of the corpus."""
-    at = stripes.select(F.explode("hash").alias("h")).select(F.shiftrightunsigned("h", 64 - bits).alias("b"))
-    rows = at.groupBy(F.shiftright("b", 6).alias("slot")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("word")).toArrow()
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    words[rows["slot"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(Mask(words, bits))
-
-
 def stripes(docs: DataFrame, text_col: str = "text", group_col: str = "lang", least: int = 100, most_words: int = 5,
             mask_bits: int = 26) -> DataFrame:
     """Merged stripes (lang, prefix, slice, total, next, count, hash): prefixes of 0 to ``most_words`` - 1 words.
@@ -255,24 +235,23 @@ def stripes(docs: DataFrame, text_col: str = "text", group_col: str = "lang", le
     often than ``least`` may be absent. Words are lower-cased (A-Z) and cut at spaces and tabs within pieces
     between ``.,;:!?`` and line ends. Null groups are ``und``, null texts empty.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(docs[group_col].cast("string"), F.lit("und")), docs[text_col].cast("string"))
 
     def merge(batches):
         return _merged(batches, least)
 
-    done, frequent, mask, hot = [], None, None, np.zeros(0, np.uint64)
+    done, frequent, bits, hot = [], None, None, np.zeros(0, np.uint64)
     rounds = [(0, [0]), (1, [1]), (2, [2]), (3, list(range(3, most_words)))]
     for known, lengths in [(m, [k for k in ks if k < most_words]) for m, ks in rounds]:
         if not lengths:
             break
-        parts = _count(texts, known, lengths, frequent, mask, hot).repartition("lang", "prefix", "slice")
+        parts = _count(texts, known, lengths, frequent, bits, hot).repartition("lang", "prefix", "slice")
         table = stored(parts.sortWithinPartitions("lang", "prefix", "slice").mapInArrow(merge, STRIPES), f"stripes{known}")
         done.append(table)
         if not known:
             words = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-        mask = _mask(spark, table, mask_bits)
-        frequent = frequent or mask
+        bits = mask(table.select(F.explode("hash").alias("h")), F.col("h"), mask_bits)
+        frequent = frequent or bits
         often = table.select(F.explode(F.arrays_zip("hash", "count")).alias("e")).where(F.col("e.count") * HOT > words)
         hot = often.select("e.hash").toArrow()["hash"].to_numpy().view(np.uint64)
     out = done[0]
