@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Kind codes carried by leaves during flattening.
 K_INT, K_NUM, K_BOOL, K_STR, K_NULL = "I", "D", "B", "S", "N"
+K_DEC = "E"                              # followed by precision and scale: E12,3
 K_JSON, K_FORCE_STR = "J", "F"          # keep-list projection: container as JSON text / scalar as text
 K_OBJ, K_ARR, K_DEEP = "O", "A", "X"    # markers: container seen / container left unexpanded
 
@@ -20,7 +21,8 @@ def kind_from_schema(s: Column) -> Column:
     """Kind code from a ``schema_of_variant`` string (computed once, in its own column)."""
     return (F.when(s == "BIGINT", K_INT)
             .when(s.isin("INT", "SMALLINT", "TINYINT"), K_INT)
-            .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), K_NUM)
+            .when(s.startswith("DECIMAL"), F.concat(F.lit(K_DEC), F.regexp_extract(s, r"\((.*)\)", 1)))
+            .when(s.isin("DOUBLE", "FLOAT"), K_NUM)
             .when(s == "BOOLEAN", K_BOOL)
             .when(s == "STRING", K_STR)
             .when(s == "VOID", K_NULL)
@@ -34,19 +36,44 @@ def is_container(v: Column) -> Column:
     return s.startswith("OBJECT") | s.startswith("ARRAY")
 
 
-def lattice_type(kinds: Column) -> Column:
-    """Spark type name for a set of kind codes.
+#: Whole numbers beyond this, and decimals of more digits than these, may change in a DOUBLE.
+EXACT_WHOLE, EXACT_DIGITS = 2 ** 53, 15
+DECIMAL_DIGITS = 38
 
-    BIGINT < DOUBLE; BOOLEAN only alone; any other mix, or nothing but nulls, is STRING.
-    Keep-list codes win: JSON text, or forced text.
+
+def reach(kind: Column, v: Column) -> Column:
+    """Aggregate: what the numbers of a path need. ``low``/``high`` of the BIGINTs; ``digits``, ``whole``
+    (before the point) and ``scale`` of the DECIMALs, which their kinds carry."""
+    number = F.when(kind == K_INT, F.try_variant_get(v, "$", "bigint"))
+    size = F.when(kind.startswith(K_DEC), F.split(F.substring(kind, 2, 10), ","))
+    digits, scale = F.get(size, F.lit(0)).cast("int"), F.get(size, F.lit(1)).cast("int")
+    return F.struct(F.min(number).alias("low"), F.max(number).alias("high"), F.max(digits).alias("digits"),
+                    F.max(digits - scale).alias("whole"), F.max(scale).alias("scale"))
+
+
+REACH_TYPE = "struct<low:bigint,high:bigint,digits:int,whole:int,scale:int>"
+
+
+def lattice_type(kinds: Column, span: Column) -> Column:
+    """Spark type name for a set of kind codes and the reach of their numbers.
+
+    BIGINT < DOUBLE, but DECIMAL, or text beyond 38 digits, where a DOUBLE would round a value; BOOLEAN only alone;
+    any other mix, or nothing but nulls, is STRING. Keep-list codes win: JSON text, or forced text.
     """
     scalar = F.array_except(kinds, F.array(*[F.lit(k) for k in (K_NULL, K_OBJ, K_ARR, K_DEEP)]))
     only = lambda allowed: F.size(F.array_except(scalar, F.array(*[F.lit(a) for a in allowed]))) == 0
+    rounds = (F.coalesce(span["high"] > EXACT_WHOLE, F.lit(False)) | F.coalesce(span["low"] < -EXACT_WHOLE, F.lit(False))
+              | F.coalesce(span["digits"] > EXACT_DIGITS, F.lit(False)))
+    length = lambda x: F.coalesce(F.length(F.regexp_replace(x.cast("string"), "-", "")), F.lit(0))
+    whole = F.greatest(length(span["low"]), length(span["high"]), F.coalesce(span["whole"], F.lit(0)))
+    scale = F.coalesce(span["scale"], F.lit(0))
+    exact = (F.when(F.array_contains(kinds, K_NUM) | (whole + scale > DECIMAL_DIGITS), "string")
+             .otherwise(F.concat(F.lit("decimal("), (whole + scale).cast("string"), F.lit(","), scale.cast("string"), F.lit(")"))))
     return (F.when(F.array_contains(kinds, K_JSON), "json")
             .when(F.array_contains(kinds, K_FORCE_STR), "string")
             .when(F.size(scalar) == 0, "string")
             .when(only([K_INT]), "bigint")
-            .when(only([K_INT, K_NUM]), "double")
+            .when(only([K_INT, K_DEC, K_NUM]), F.when(rounds, exact).otherwise("double"))
             .when(only([K_BOOL]), "boolean")
             .when(only(["DATE"]), "date")
             .when(only(["TIMESTAMP"]), "timestamp")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import JSON_SUFFIX, SCALAR_ROOT_NAME
+from ..fixed_values import DEDUP_SEPARATOR, JSON_SUFFIX, SCALAR_ROOT_NAME
 from ..functions import variant as V
 from ..functions.joins import checkpoint_once
 from ..functions.names import clean_name, with_suffix
@@ -28,10 +28,13 @@ DEFAULT_MAX_COLUMNS = 20000
 # Rows of the column plan the driver takes before it looks for groups that are too wide.
 PLAN_ROWS = 200_000
 INJECT_MARK = "@"
+AS_JSON = "#json"
+# metadata of a column: the path it was read from (a table keeps one name for each path)
+PATH_KEY = "path"
 # the path of a record's own key or element: the first step of a deeper path
 TOP_STEP = r"""(?s)^(\$(?:\['[^']*'\]|\["[^"]*"\]|\[\x00.*?\x00\]|\[\d+\]))"""
 # kind codes a leaf can carry (anything else counts as OTHER, typed as text)
-KIND_CODES = [V.K_INT, V.K_NUM, V.K_BOOL, V.K_STR, V.K_NULL, V.K_JSON, V.K_FORCE_STR, V.K_OBJ, V.K_ARR, V.K_DEEP,
+KIND_CODES = [V.K_INT, V.K_DEC, V.K_NUM, V.K_BOOL, V.K_STR, V.K_NULL, V.K_JSON, V.K_FORCE_STR, V.K_OBJ, V.K_ARR, V.K_DEEP,
               "DATE", "TIMESTAMP", "TIMESTAMP_NTZ"]
 
 
@@ -136,7 +139,8 @@ def flatten_long(df: DataFrame, v: str, ids: list[str], depth: int | None = None
     leaves = leaves.where(~F.col("_k").isin(V.K_OBJ, V.K_ARR, V.K_DEEP))
     return leaves.select(*ids,
                          F.when(F.col("_p") == "", F.lit(SCALAR_ROOT_NAME)).otherwise(F.col("_p")).alias("path"),
-                         F.col("_j").alias("jpath"), F.col("_v").alias("value"), F.col("_k").alias("kind"))
+                         F.col("_j").alias("jpath"), F.col("_v").alias("value"),
+                         F.when(F.col("_k").startswith(V.K_DEC), V.K_NUM).otherwise(F.col("_k")).alias("kind"))
 
 
 def required_depth(df: DataFrame, v: str, ids: list[str], keep: Column | None = None) -> int:
@@ -161,10 +165,16 @@ class ColumnPlan:
     guard: bool
     name: str
 
+    @property
+    def key(self) -> str:
+        """What the column holds, for the names that a table keeps: the path, and whether as JSON text."""
+        return self.jpath + (AS_JSON if self.type == "json" else "")
+
 
 def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column | None = None,
              depth: int | None = None, max_columns: int = DEFAULT_MAX_COLUMNS,
-             inject: list[str] | None = None, counts_out: dict | None = None) -> dict[tuple, list[ColumnPlan]]:
+             inject: list[str] | None = None, counts_out: dict | None = None,
+             names: dict[tuple, dict[str, str]] | None = None) -> dict[tuple, list[ColumnPlan]]:
     """One aggregate over the records: the wide columns per group of ``by``.
 
     Partial aggregation keeps the shuffle at one row per (task, path). If some records
@@ -172,7 +182,8 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
     ``inject`` names top-level string fields supplied as columns (context such as the
     parent's name); they are named and de-duplicated together with the record's keys.
     ``counts_out`` receives the number of records per group (same pass). A group with more than
-    ``max_columns`` paths keeps its widest keys as JSON text (``_narrowed``).
+    ``max_columns`` paths keeps its widest keys as JSON text (``_narrowed``). ``names`` holds, per group, the
+    columns that paths have had in earlier runs: these keep them, and new paths take names never used.
     """
     by = list(by or [])
     depth = depth or FIRST_DEPTH
@@ -180,13 +191,14 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
         leaves = leaf_rows(df.select(*by, v), v, by, depth, keep)
         # One max flag per kind code: fixed-width buffers, so a plain hash aggregate with
         # map-side combine (collect_set would need object buffers per group).
-        flags = [F.max((F.col("_k") == k).cast("byte")).alias(f"_f{i}") for i, k in enumerate(KIND_CODES)]
-        other = F.max((~F.col("_k").isin(*KIND_CODES)).cast("byte")).alias("_fother")
+        kind = F.when(F.col("_k").startswith(V.K_DEC), V.K_DEC).otherwise(F.col("_k"))
+        flags = [F.max((kind == k).cast("byte")).alias(f"_f{i}") for i, k in enumerate(KIND_CODES)]
+        other = F.max((~kind.isin(*KIND_CODES)).cast("byte")).alias("_fother")
         kinds = (leaves.groupBy(*by, "_j", "_p")
-                 .agg(*flags, other,
+                 .agg(*flags, other, V.reach(F.col("_k"), F.col("_v")).alias("reach"),
                       # every record has exactly one row at the root path: its count comes free
                       F.count(F.lit(1)).alias("_rows"))
-                 .select(*by, "_j", "_p", "_rows",
+                 .select(*by, "_j", "_p", "_rows", "reach",
                          F.array_compact(F.array(*[F.when(F.col(f"_f{i}") == 1, F.lit(k))
                                                    for i, k in enumerate(KIND_CODES)],
                                                  F.when(F.col("_fother") == 1, F.lit("OTHER")))).alias("kinds")))
@@ -194,13 +206,14 @@ def discover(df: DataFrame, v: str, by: list[str] | None = None, keep: Column |
             extra = (kinds.select(*by).distinct()
                      .select(*by, F.explode(F.array(*[F.lit(n) for n in inject])).alias("_p"))
                      .select(*by, F.concat(F.lit(INJECT_MARK), F.col("_p")).alias("_j"), "_p",
-                             F.array(F.lit(V.K_STR)).alias("kinds"), F.lit(0).cast("long").alias("_rows")))
+                             F.array(F.lit(V.K_STR)).alias("kinds"), F.lit(0).cast("long").alias("_rows"),
+                             F.lit(None).cast(V.REACH_TYPE).alias("reach")))
             kinds = kinds.unionByName(extra)
-        rows = _planned(kinds, by).limit(PLAN_ROWS + 1).collect()
+        rows = _planned(kinds, by, names).limit(PLAN_ROWS + 1).collect()
         if len(rows) > PLAN_ROWS or _too_wide(rows, by, max_columns):
             kinds = checkpoint_once(kinds)
             deep = not kinds.where(F.array_contains("kinds", V.K_DEEP)).isEmpty()
-            rows = rows if deep else _planned(_narrowed(kinds, by, max_columns), by).collect()
+            rows = rows if deep else _planned(_narrowed(kinds, by, max_columns), by, names).collect()
         else:
             deep = any(r["deep"] for r in rows)
         if not deep:
@@ -229,9 +242,9 @@ def _is_column() -> Column:
     return F.size(F.array_except("kinds", F.array(*[F.lit(x) for x in (V.K_OBJ, V.K_ARR, V.K_DEEP)]))) > 0
 
 
-def _planned(kinds: DataFrame, by: list[str]) -> DataFrame:
+def _planned(kinds: DataFrame, by: list[str], names: dict[tuple, dict[str, str]] | None = None) -> DataFrame:
     """The plan's rows that the driver needs: columns, unexpanded containers, and the roots with the counts."""
-    return _plan_frame(kinds, by).where(F.col("is_column") | F.col("deep") | (F.col("_j") == "$"))
+    return _plan_frame(kinds, by, names).where(F.col("is_column") | F.col("deep") | (F.col("_j") == "$"))
 
 
 def _too_wide(rows: list, by: list[str], max_columns: int) -> bool:
@@ -275,8 +288,12 @@ def _narrowed(kinds: DataFrame, by: list[str], max_columns: int) -> DataFrame:
     return out
 
 
-def _plan_frame(kinds: DataFrame, by: list[str]) -> DataFrame:
-    """Type, guard flag and safe, de-duplicated name for every discovered path."""
+def _plan_frame(kinds: DataFrame, by: list[str], names: dict[tuple, dict[str, str]] | None = None) -> DataFrame:
+    """Type, guard flag and safe, de-duplicated name for every discovered path.
+
+    A path with a stored name keeps it. The others are numbered behind the highest number that their cleaned
+    name has had, so no column ever changes its path.
+    """
     scalar = F.array_except("kinds", F.array(*[F.lit(x) for x in (V.K_OBJ, V.K_ARR, V.K_DEEP)]))
     has_container = (F.array_contains("kinds", V.K_OBJ) | F.array_contains("kinds", V.K_ARR)
                      | F.array_contains("kinds", V.K_JSON))
@@ -284,16 +301,44 @@ def _plan_frame(kinds: DataFrame, by: list[str]) -> DataFrame:
     df = (kinds
           .withColumn("deep", F.array_contains("kinds", V.K_DEEP))
           .withColumn("is_column", F.size(scalar) > 0)
-          .withColumn("type", V.lattice_type(F.col("kinds")))
+          .withColumn("type", V.lattice_type(F.col("kinds"), F.col("reach")))
           # Any container at the same path (also one turned into <key>_json) must not leak
           # its JSON text into a string column.
           .withColumn("guard", F.max(has_container.cast("int")).over(Window.partitionBy(*by, "_j")) > 0)
           .withColumn("display", display)
           # rows that are no columns need no name; their path keeps them out of one window partition
           .withColumn("clean", F.when(F.col("is_column"), clean_name("display")).otherwise(F.col("_j"))))
-    w = Window.partitionBy(*by, "is_column", "clean").orderBy("display", "_j")
-    return df.withColumn("name", F.when(F.col("is_column"),
-                                        with_suffix(F.col("clean"), F.row_number().over(w) - 1)))
+    df = _with_stored_names(df, by, names or {})
+    w = Window.partitionBy(*by, "is_column", "clean", F.col("stored").isNull()).orderBy("display", "_j")
+    number = F.col("used") + F.row_number().over(w) - 1
+    return df.withColumn("name", F.when(F.col("is_column"), F.coalesce("stored", with_suffix(F.col("clean"), number))))
+
+
+def _with_stored_names(df: DataFrame, by: list[str], names: dict[tuple, dict[str, str]]) -> DataFrame:
+    """``stored``: the path's column of earlier runs; ``used``: names its cleaned name has had.
+
+    The dictionary has one entry a column of the tables (``max_columns`` each at most), and is broadcast.
+    """
+    entries, used = [], {}
+    for group, columns in names.items():
+        for key, name in columns.items():
+            entries.append((*group, key, name))
+            base, _, number = name.rpartition(DEDUP_SEPARATOR)
+            base, n = (base, int(number)) if base and number.isdigit() else (name, 0)
+            used[(*group, base)] = max(used.get((*group, base), 0), n + 1)
+    if not entries:
+        return df.withColumn("stored", F.lit(None).cast("string")).withColumn("used", F.lit(0))
+    spark, heads = df.sparkSession, ", ".join(f"_g{i} string" for i in range(len(by)))
+    known = spark.createDataFrame(entries, f"{heads + ', ' if by else ''}_key string, stored string")
+    highest = spark.createDataFrame([(*k, n) for k, n in used.items()], f"{heads + ', ' if by else ''}_base string, used int")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    key = F.when(F.col("type") == "json", F.concat("_j", F.lit(AS_JSON))).otherwise(F.col("_j"))
+    groups = [f"_g{i}" for i in range(len(by))]
+    df = df.join(F.broadcast(known), same & (key == F.col("_key")) & F.col("is_column"), "left").drop(*groups, "_key")
+    df = df.join(F.broadcast(highest), same & (F.col("clean") == F.col("_base")), "left").drop(*groups, "_base")
+    return df.withColumn("used", F.coalesce("used", F.lit(0)))
 
 
 def schema_depth(schema: str | None) -> int:
@@ -323,7 +368,7 @@ def flatten_wide(df: DataFrame, v: str, plan: list[ColumnPlan], keep_cols: list
     keep_cols = list(keep_cols or [])
     inject = inject or {}
     exprs = [(inject[c.path] if c.jpath.startswith(INJECT_MARK) else V.extract(v, c.jpath, c.type, c.guard))
-             .alias(c.name) for c in plan]
+             .alias(c.name, metadata={PATH_KEY: c.key}) for c in plan]
     return df.select(*[F.col(c) if isinstance(c, str) else c for c in keep_cols], *exprs)
 
 

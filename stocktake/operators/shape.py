@@ -35,13 +35,15 @@ def empty_raw(spark: SparkSession, collected_at=None, workspace: str | None = No
 
 def shape_records(records: DataFrame, by: list[str] | None = None, keep: Column | None | bool = True,
                   inject: dict[str, Column] | None = None, prefix: str = "", provenance: bool = True,
-                  max_columns: int = DEFAULT_MAX_COLUMNS, counts_out: dict | None = None) -> dict[tuple, DataFrame]:
+                  max_columns: int = DEFAULT_MAX_COLUMNS, counts_out: dict | None = None,
+                  names: dict[tuple, dict[str, str]] | None = None) -> dict[tuple, DataFrame]:
     """One wide DataFrame per group of ``by`` (default: per endpoint).
 
     ``keep=True`` applies the per-type keep-lists (types without one are flattened
     fully); ``keep=None`` flattens everything; a Column gives the keep-list per row.
     One discovery job serves all groups; each group is then one narrow projection
-    whose endpoint filter reaches the page scan.
+    whose endpoint filter reaches the page scan. ``names`` holds the columns that a group's paths
+    have had before (``InventorySink.stored_names``); each column carries its path as metadata.
     """
     by = list(by or ["endpoint"])
     if keep is True:
@@ -51,7 +53,7 @@ def shape_records(records: DataFrame, by: list[str] | None = None, keep: Column
     inject = inject or {}
     found: dict = {}
     plans = discover(records, "rec", by=by, keep=keep, max_columns=max_columns, inject=list(inject),
-                     counts_out=found)
+                     counts_out=found, names=names)
     if counts_out is not None:
         for g, n in found.items():
             counts_out[g] = counts_out.get(g, 0) + n

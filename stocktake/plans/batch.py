@@ -36,14 +36,15 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
                     master_paging: bool = True, global_max_pages: int = 0, overrides: dict | None = None,
                     enabled: dict | None = None, uc_enable: bool = True, allowlist: list[str] | None = None,
                     catalog_limit: int = 0, schema_limit: int = 0, mounts: DataFrame | None = None,
-                    mount_col: str = "path", shape: bool = True) -> Inventory:
+                    mount_col: str = "path", shape: bool = True,
+                    names: dict[tuple, dict[str, str]] | None = None) -> Inventory:
     """Everything the scan produces, lazily; discovery jobs run while building.
 
     ``shape=False`` leaves the raw tables out: counts and the summary then need no discovery,
-    only one pass that counts the records of each listing.
+    only one pass that counts the records of each listing. ``names`` keeps the columns that paths have had.
     """
     reg = resolved_registry(spark, prefix, master_paging, global_max_pages, overrides, enabled)
-    reg_rows = reg.select("key", "list_key", "paginate", "page_cap", "parent_key", "parent_field").collect()
+    reg_rows = reg.select("key", "list_key", "paginate", "page_cap", "parent_key").collect()
     child_cfg = [r for r in reg_rows if r["parent_key"]]
     child_keys = [r["key"] for r in child_cfg]
 
@@ -53,14 +54,14 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
     inv.records = top.select("endpoint", "collected_at", "workspace", "rec")
     found: dict = {}            # records per endpoint, counted by the discovery pass
     if shape:
-        inv.raw.update({g[0]: df for g, df in shape_records(top, keep=True, prefix=prefix, counts_out=found).items()})
+        inv.raw.update({g[0]: df for g, df in shape_records(top, keep=True, prefix=prefix, counts_out=found, names=names).items()})
 
     for c in child_cfg:
         parents = top.where(F.col("endpoint") == c["parent_key"])
         kids = child_rows(parents, pages.where(F.col("endpoint") == c["key"]), c["list_key"],
                           paginate=c["paginate"], page_cap=c["page_cap"])
         if shape:
-            shaped = shape_records(kids, keep=True, prefix=prefix, counts_out=found,
+            shaped = shape_records(kids, keep=True, prefix=prefix, counts_out=found, names=names,
                                    inject={INJECTED_CHILD_FIELD: F.col(INJECTED_CHILD_FIELD)})
             inv.raw.update({g[0]: df for g, df in shaped.items()})
         inv.records = inv.records.unionByName(kids.select("endpoint", "collected_at", "workspace", "rec"))
@@ -82,7 +83,7 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
             inv.raw[prefix + SCHEMA_KEY] = add_provenance(
                 schemas.select("catalog_name", "schema_name", "full_name", "collected_at", "workspace")
             ).drop("collected_at", "workspace")
-            inv.raw.update(shape_tables(tables.withColumn("endpoint", F.lit(prefix + TABLE_KEY)), prefix))
+            inv.raw.update(shape_tables(tables.withColumn("endpoint", F.lit(prefix + TABLE_KEY)), prefix, names))
 
     if mounts is not None:
         m = rename_single(mounts, mount_col)
@@ -115,9 +116,9 @@ def mount_count(spark: SparkSession, mounts: DataFrame | None) -> DataFrame:
     return mounts.agg(F.count(F.lit(1)).cast("long").alias("count")).select(F.lit(MOUNTS_KEY).alias("key"), "count")
 
 
-def shape_tables(tables: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
+def shape_tables(tables: DataFrame, prefix: str = "", names: dict | None = None) -> dict[str, DataFrame]:
     """Table records with the keep-list of tables and catalog/schema context injected."""
-    shaped = shape_records(tables, keep=keep_fields_col(F.lit(prefix + TABLE_KEY), prefix), prefix=prefix,
+    shaped = shape_records(tables, keep=keep_fields_col(F.lit(prefix + TABLE_KEY), prefix), prefix=prefix, names=names,
                            inject={INJECTED_TABLE_FIELDS[0]: F.col("_catalog"),
                                    INJECTED_TABLE_FIELDS[1]: F.col("_schema")})
     return {g[0]: df for g, df in shaped.items()}
@@ -128,7 +129,7 @@ def run_batch(spark: SparkSession, pages: DataFrame, sink: InventorySink, drop_f
     """Write every raw table and the summary; return the ordered summary."""
     if drop_first:
         drop_matching(spark, sink.schema, sink.catalog, raw_prefix=sink.raw_prefix)
-    inv = build_inventory(spark, pages, **options)
+    inv = build_inventory(spark, pages, names=sink.stored_names(), **options)
     for key, df in inv.raw.items():
         sink.write_raw(key, df, known_nonempty=inv.found.get(key, 0) > 0)
     sink.write_summary(inv.summary)

@@ -1,25 +1,20 @@
-"""Managed-table sink with schema evolution.
+"""Table sink with schema evolution.
 
-Tables are parquet managed tables. Appends add new columns with
-``ALTER TABLE ... ADD COLUMNS``, pad missing ones with NULL and widen retyped ones
-(BIGINT -> DOUBLE -> STRING); a retype the table cannot absorb rewrites it through
-a stage table.
+Tables are Parquet folders behind a name that moves by one catalog statement (``commits``). Appends add
+new columns, read missing ones as NULL and widen retyped ones to a type that holds every value of both
+(BIGINT, DOUBLE, DECIMAL, STRING); no row is rewritten for it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..fixed_values import RAW_TABLE_PREFIX, SUMMARY_TABLE
 from ..functions.names import quote_ident, table_name
 from ..operators.shape import EMPTY_MARK, empty_raw
+from .commits import BATCH_COL, UNIT_COL, StoredTable
 
-BATCH_COL = "_batch_id"
-UNIT_COL = "_unit"
-#: Columns that partition a table whose parts are replaced one by one.
-PART_COLS = (BATCH_COL, UNIT_COL)
 
 
 def list_objects(spark: SparkSession, kind: str, within: str | None = None) -> DataFrame:
@@ -82,33 +77,23 @@ def drop_matching(spark: SparkSession, schema: str, catalog: str | None = None,
         tables, include = tables.where(own), [""]
     names = [r["tableName"] for r in match_names(tables, include, exclude).select("tableName").collect()]
     for n in names:
-        spark.sql(f"DROP TABLE IF EXISTS {table_name(catalog, schema, n, prefix='')}")
+        ident = table_name(catalog, schema, n, prefix="")
+        if not StoredTable(spark, ident).drop():
+            spark.sql(f"DROP {'VIEW' if spark.catalog.getTable(ident).tableType == 'VIEW' else 'TABLE'} IF EXISTS {ident}")
     return names
 
 
-_RANK = {"bigint": 1, "int": 1, "double": 2, "string": 3}
-
-
-def _widen(a: T.DataType, b: T.DataType) -> T.DataType | None:
-    """Common type of two column types, or None when only text holds both."""
-    if a == b:
-        return a
-    ra, rb = _RANK.get(a.simpleString()), _RANK.get(b.simpleString())
-    if ra and rb:
-        return T.DoubleType() if max(ra, rb) == 2 else (T.StringType() if max(ra, rb) == 3 else T.LongType())
-    return T.StringType()
-
-
 class InventorySink:
     """Writes raw tables and the summary into one target schema."""
 
     def __init__(self, spark: SparkSession, schema: str, catalog: str | None = None,
                  raw_mode: str = "overwrite", summary_mode: str = "overwrite", evolve: bool = True,
-                 replace_schema: bool = False, skip_empty: bool = True, raw_prefix: str = RAW_TABLE_PREFIX):
+                 replace_schema: bool = False, skip_empty: bool = True, raw_prefix: str = RAW_TABLE_PREFIX, **options):
         self.spark, self.schema, self.catalog = spark, schema, catalog
         self.raw_mode, self.summary_mode = raw_mode, summary_mode
         self.evolve, self.replace_schema, self.skip_empty = evolve, replace_schema, skip_empty
         self.raw_prefix = raw_prefix
+        self.options = options    # of StoredTable
 
     # -- naming -------------------------------------------------------------------------
     def table(self, key: str, raw: bool = True) -> str:
@@ -117,6 +102,21 @@ class InventorySink:
     def exists(self, ident: str) -> bool:
         return self.spark.catalog.tableExists(ident.replace("`", ""))
 
+    def stored(self, ident: str) -> StoredTable:
+        return StoredTable(self.spark, ident, **self.options)
+
+    def stored_names(self) -> dict[tuple, dict[str, str]]:
+        """Column of each record path that the raw tables have had, per key (P3); the tables keep them in their commits."""
+        within = ".".join(p for p in (self.catalog, self.schema) if p)
+        tables = list_objects(self.spark, "tables", within).where(~F.col("isTemporary") & F.col("tableName").startswith(self.raw_prefix))
+        out = {}
+        for r in tables.select("tableName").collect():
+            key = r[0][len(self.raw_prefix):]
+            now = self.stored(self.table(key)).current()
+            if now is not None and now.names():
+                out[(key,)] = now.names()
+        return out
+
     # -- writes -------------------------------------------------------------------------
     def write_raw(self, key: str, df: DataFrame, mode: str | None = None, batch_id: int | None = None,
                   collected_at=None, workspace: str | None = None, known_nonempty: bool = False) -> bool:
@@ -127,175 +127,48 @@ class InventorySink:
         """
         mode = mode or self.raw_mode
         ident = self.table(key)
-        self.recover(ident)
         if EMPTY_MARK in df.columns:
             # records that all flattened to nothing: the zero-row placeholder is written
             # (an existing table in append mode keeps its schema)
             if mode == "overwrite" or not self.exists(ident):
-                self._overwrite(ident, df.drop(EMPTY_MARK))
+                self.stored(ident).replace(df.drop(EMPTY_MARK))
             return True
         if not known_nonempty and df.isEmpty():
             if self.skip_empty:
                 return False
             df = empty_raw(self.spark, collected_at, workspace)
         if batch_id is not None:
-            self._write_parts(ident, df.withColumn(BATCH_COL, F.lit(int(batch_id))), BATCH_COL, [int(batch_id)])
-            return True
-        if mode == "overwrite" or not self.exists(ident):
-            self._overwrite(ident, df)
-        elif self.replace_schema:
-            self._rewrite_with(ident, df, keep_old=True)
+            # a replayed micro-batch replaces its own rows
+            self.stored(ident).add(df.withColumn(BATCH_COL, F.lit(int(batch_id))), BATCH_COL, [int(batch_id)])
+        elif mode == "overwrite" or not self.exists(ident):
+            self.stored(ident).replace(df)
         else:
-            self.evolve_append(ident, df)
+            self.stored(ident).add(df, evolve=self.evolve or self.replace_schema)
         return True
 
-    def _overwrite(self, ident: str, df: DataFrame) -> None:
-        """Replace a table (K1, K4): the new rows are written beside it first, so input
-        that fails leaves the old table as it is."""
-        self._swap_in(ident, df)
-
-    def _swap_in(self, ident: str, df: DataFrame, partition_by: str | None = None) -> None:
-        """Write a stage table, put the old one aside, bring the stage in, drop the old one.
-
-        A stage table is registered only once it is whole, so a run that ends between the
-        steps is repaired by the next write (``recover``).
-        """
-        self.recover(ident)
-        stage, aside = ident[:-1] + "__stage`", ident[:-1] + "__old`"
-        self.spark.sql(f"DROP TABLE IF EXISTS {stage}")
-        df.write.mode("overwrite").format("parquet").saveAsTable(stage)
-        if partition_by:
-            # the partitions of a renamed table keep their folders, so a partitioned table is written anew from the stage
-            self.spark.sql(f"DROP TABLE IF EXISTS {ident}")
-            self.recover(ident)
-            return
-        if self.exists(ident):
-            self.spark.sql(f"ALTER TABLE {ident} RENAME TO {aside}")
-        self.spark.sql(f"ALTER TABLE {stage} RENAME TO {ident}")
-        self.spark.sql(f"DROP TABLE IF EXISTS {aside}")
-
-    def recover(self, ident: str) -> None:
-        """Finish a swap that was cut off: a missing table comes back from its whole stage, else from the one put aside."""
-        stage, aside = ident[:-1] + "__stage`", ident[:-1] + "__old`"
-        if not self.exists(ident) and self.exists(stage):
-            rows = self.spark.table(stage)
-            part = next((c for c in PART_COLS if c in rows.columns), None)
-            if part:
-                rows.write.format("parquet").partitionBy(part).saveAsTable(ident)
-                self.spark.sql(f"DROP TABLE {stage}")
-            else:
-                self.spark.sql(f"ALTER TABLE {stage} RENAME TO {ident}")
-        if self.exists(aside):
-            if self.exists(ident):
-                self.spark.sql(f"DROP TABLE {aside}")
-            else:
-                self.spark.sql(f"ALTER TABLE {aside} RENAME TO {ident}")
-
-    def aligned(self, ident: str, df: DataFrame) -> tuple[DataFrame, bool]:
-        """Add new columns to the table, cast and pad ``df`` to its schema.
-
-        Returns (aligned df, needs_rewrite) where a rewrite is needed when a table
-        column must change type.
-        """
-        target = self.spark.table(ident).schema
-        tcols = {f.name.lower(): f for f in target.fields}
-        incoming = {f.name.lower(): f for f in df.schema.fields}
-        new_cols = [f for n, f in incoming.items() if n not in tcols]
-        if new_cols and self.evolve:
-            spec = ", ".join(f"{quote_ident(f.name)} {f.dataType.simpleString()}" for f in new_cols)
-            self.spark.sql(f"ALTER TABLE {ident} ADD COLUMNS ({spec})")
-            target = self.spark.table(ident).schema
-            tcols = {f.name.lower(): f for f in target.fields}
-        elif new_cols:
-            raise ValueError(f"new columns {[f.name for f in new_cols]} and schema evolution is off")
-        rewrite = False
-        exprs = []
-        for f in target.fields:
-            src = incoming.get(f.name.lower())
-            if src is None:
-                exprs.append(F.lit(None).cast(f.dataType).alias(f.name))
-                continue
-            common = _widen(f.dataType, src.dataType)
-            if common != f.dataType:
-                rewrite = True
-            exprs.append(F.col(quote_ident(src.name)).cast(common if common is not None else f.dataType).alias(f.name))
-        return df.select(*exprs), rewrite
-
     def evolve_append(self, ident: str, df: DataFrame) -> None:
         """Append with new columns added, missing ones NULL, retyped ones widened (K2)."""
-        out, rewrite = self.aligned(ident, df)
-        if rewrite:
-            self._rewrite_with(ident, df, keep_old=True)
-        else:
-            out.write.mode("append").format("parquet").saveAsTable(ident)
-
-    def _rewrite_with(self, ident: str, df: DataFrame, keep_old: bool) -> None:
-        """Old rows (widened) plus ``df`` through a stage table, then swap (K3)."""
-        old = self.spark.table(ident)
-        if keep_old:
-            merged = _union_widened(old, df)
-        else:
-            merged = df
-        self._swap_in(ident, merged)
+        self.stored(ident).add(df, evolve=self.evolve)
 
     def write_units(self, ident: str, df: DataFrame | None, units: list[str], held: set[str]) -> None:
         """Replace the rows of ``units`` by ``df`` (with UNIT_COL); units not in ``held`` have none left."""
-        self.recover(ident)
-        if self.exists(ident):
-            for u in sorted(set(units) - held):
-                self.spark.sql(f"ALTER TABLE {ident} DROP IF EXISTS PARTITION ({UNIT_COL} = '{u}')")
+        table = self.stored(ident)
+        if df is not None and EMPTY_MARK in df.columns:
+            if not table.exists():
+                table.replace(df.drop(EMPTY_MARK))
+            df = None
         if df is None:
-            return
-        if EMPTY_MARK not in df.columns:
-            self._write_parts(ident, df, UNIT_COL, units)
-        elif not self.exists(ident):
-            df.drop(EMPTY_MARK).write.format("parquet").partitionBy(UNIT_COL).saveAsTable(ident)
-
-    def _write_parts(self, ident: str, df: DataFrame, part: str, values: list) -> None:
-        """Idempotent write of some parts (a micro-batch, or units): the table is partitioned
-        by ``part`` and only the partitions of ``values`` are overwritten (dynamic overwrite)."""
-        if not self.exists(ident):
-            df.write.mode("overwrite").format("parquet").partitionBy(part).saveAsTable(ident)
-            return
-        out, rewrite = self.aligned(ident, df)
-        if rewrite:
-            # a retyped column widens the table: the other parts' rows and these are swapped in
-            old = self.spark.table(ident).where(~F.col(part).isin(*values))
-            self._swap_in(ident, _union_widened(old, df), part)
-            return
-        cols = [f.name for f in self.spark.table(ident).schema.fields]
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        out.select(*[quote_ident(c) for c in cols]).write.insertInto(ident, overwrite=True)
+            table.drop_values(UNIT_COL, units)
+        else:
+            table.add(df, UNIT_COL, units)
 
     def write_summary(self, summary: DataFrame, mode: str | None = None) -> None:
-        """Summary table: appended, or rewritten with wider types where its schema conflicts (K6)."""
-        mode = mode or self.summary_mode
+        """Summary table: appended, with wider types where its schema conflicts, or replaced (K6)."""
         ident = self.table(SUMMARY_TABLE, raw=False)
-        if mode == "append" and self.exists(ident):
-            out, rewrite = self.aligned(ident, summary)
-            if not rewrite:
-                out.write.mode("append").format("parquet").saveAsTable(ident)
-                return
-            self._rewrite_with(ident, summary, keep_old=True)
-            return
-        self._overwrite(ident, summary)
-
-
-def _union_widened(old: DataFrame, new: DataFrame) -> DataFrame:
-    """unionByName with types joined first (ANSI would fail on int vs string)."""
-    o = {f.name.lower(): f for f in old.schema.fields}
-    n = {f.name.lower(): f for f in new.schema.fields}
-    names = list(o) + [k for k in n if k not in o]
-    types = {}
-    for k in names:
-        if k in o and k in n:
-            types[k] = _widen(o[k].dataType, n[k].dataType) or T.StringType()
+        if (mode or self.summary_mode) == "append" and self.exists(ident):
+            self.stored(ident).add(summary)
         else:
-            types[k] = (o.get(k) or n.get(k)).dataType
-    def proj(df, have):
-        return df.select(*[(F.col(quote_ident(have[k].name)) if k in have else F.lit(None)).cast(types[k])
-                           .alias((o.get(k) or n.get(k)).name) for k in names])
-    return proj(old, o).unionByName(proj(new, n))
+            self.stored(ident).replace(summary)
 
 
 __all__ = ["InventorySink", "list_objects", "ensure_schema", "check_target", "match_names", "drop_matching"]

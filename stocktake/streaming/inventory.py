@@ -70,7 +70,7 @@ def evaluate(spark: SparkSession, store: str, sink: InventorySink, fn: Callable[
         return []
     units = sorted(r[0] for r in fresh.select(UNIT_COL).distinct().collect())
     prefix = options.get("prefix", "")
-    inv = build_inventory(spark, pages.where(F.col(UNIT_COL).isin(units)).drop("batch", UNIT_COL), **options)
+    inv = build_inventory(spark, pages.where(F.col(UNIT_COL).isin(units)).drop("batch", UNIT_COL), names=sink.stored_names(), **options)
     unit = unit_of(F.col("collected_at"), F.col("workspace"))
     counts = inv.records.groupBy(F.col("endpoint").alias("key"), unit.alias(UNIT_COL)).agg(F.count(F.lit(1)).alias("count"))
     if inv.scan:
@@ -97,7 +97,6 @@ def evaluate(spark: SparkSession, store: str, sink: InventorySink, fn: Callable[
 def summarise(spark: SparkSession, sink: InventorySink, mounts: DataFrame | None = None, prefix: str = "", **registry) -> DataFrame:
     """Write the summary of everything evaluated so far and return it ordered."""
     ident = sink.table(COUNTS_TABLE, raw=False)
-    sink.recover(ident)
     rows = (spark.table(ident) if sink.exists(ident)
             else spark.createDataFrame([], f"key string, count long, {UNIT_COL} string"))
     totals = rows.groupBy("key").agg(F.sum("count").alias("count"))

@@ -52,7 +52,8 @@ def process_batch(pages: DataFrame, batch_id: int, sink: InventorySink | None,
         recs = landed_records(pages, reg.where("parent_key IS NULL"), policy, checkpoint=False)
         found: dict = {}
         written = {}
-        for (key,), df in shape_records(recs, keep=True, prefix=prefix, counts_out=found).items():
+        names = sink.stored_names() if sink is not None else None
+        for (key,), df in shape_records(recs, keep=True, prefix=prefix, counts_out=found, names=names).items():
             if fn is not None:
                 fn(key, df)                        # user callback per dataset (K11)
             if sink is not None:

@@ -2,11 +2,9 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from stocktake.operators.hierarchy import child_rows, select_catalogs, select_schemas, select_tables, uc_counters
-from stocktake.sinks.tables import InventorySink, drop_matching, ensure_schema
 from stocktake.sources.landing import apply_page_rules, landed_records, page_flags, unnest
 from stocktake.sources.registry import resolved_registry
 
@@ -46,28 +44,3 @@ def test_first_list_is_the_first_of_the_body(spark):
     pages = spark.createDataFrame([("w", "x", None, 1, 200, JAN, '{"n": 1, "zfirst": [{"a": 1}], "aerrors": [{"a": 2}]}')], PAGE)
     got = unnest(page_flags(pages, paginate=False), None, False).collect()
     assert [r.rec.toJson() for r in got] == ['{"a":1}']
-
-
-def test_failing_overwrite_keeps_the_table_and_a_cut_swap_is_repaired(spark):
-    sink = InventorySink(spark, "swaps")
-    ensure_schema(spark, "swaps")
-    sink.write_raw("job", spark.createDataFrame([(1,)], "id long"))
-    bad = spark.createDataFrame([(1,)], "id long").select(F.raise_error(F.lit("boom")).cast("long").alias("id"))
-    with pytest.raises(Exception, match="boom"):
-        sink.write_raw("job", bad, known_nonempty=True)
-    ident = sink.table("job")
-    assert spark.table(ident).count() == 1
-    spark.sql(f"ALTER TABLE {ident} RENAME TO {ident[:-1]}__old`")
-    sink.write_raw("job", spark.createDataFrame([(2,)], "id long"), mode="append")
-    assert sorted(r.id for r in spark.table(ident).collect()) == [1, 2]
-    spark.createDataFrame([(1,)], "id long").write.saveAsTable("swaps.draw_results")
-    assert "draw_results" not in drop_matching(spark, "swaps")
-
-
-def test_a_stream_survives_a_retype(spark):
-    sink = InventorySink(spark, "retypes")
-    ensure_schema(spark, "retypes")
-    sink.write_raw("job", spark.createDataFrame([(1,)], "n long"), batch_id=0)
-    for _ in range(2):
-        sink.write_raw("job", spark.createDataFrame([(1.5,)], "n double"), batch_id=1)
-    assert sorted(r.n for r in spark.table(sink.table("job")).collect()) == [1.0, 1.5]
