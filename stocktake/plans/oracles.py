@@ -240,6 +240,23 @@ SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total_value FROM event
     "stream_retype": """
 SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS amount, '2024-01' AS month FROM orders
 UNION ALL SELECT o_orderkey, o_custkey + 0.5, '2024-02' FROM orders""",
+    "names_over_runs": """
+SELECT o_orderkey, o_custkey AS cust_key, CAST(NULL AS VARCHAR) AS cust_key__1, '2024-01' AS month FROM orders
+UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority, '2024-02' FROM orders""",
+    "retype_large_ints": """
+SELECT o_orderkey, CAST(CAST(9007199254740993 + o_orderkey AS DECIMAL(20, 1)) AS VARCHAR) AS amount, '2024-01' AS month FROM orders
+UNION ALL SELECT o_orderkey, CAST(CAST(o_custkey AS DECIMAL(20, 1)) + 0.5 AS VARCHAR), '2024-02' FROM orders""",
+    "object_history": """
+WITH runs AS (
+  SELECT o_orderkey, o_orderstatus, o_totalprice, 1 AS run FROM orders WHERE o_orderkey % 7 <> 3
+  UNION ALL SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 2 THEN o_totalprice + 1.0 ELSE o_totalprice END, 2
+    FROM orders WHERE o_orderkey % 7 <> 1
+  UNION ALL SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 IN (2, 4) THEN o_totalprice + 1.0 ELSE o_totalprice END, 3
+    FROM orders),
+steps AS (SELECT *, run - row_number() OVER (PARTITION BY o_orderkey, o_orderstatus, o_totalprice ORDER BY run) AS island FROM runs)
+SELECT o_orderkey, o_orderstatus, o_totalprice, '2024-0' || min(run) || '-01' AS valid_from,
+  CASE WHEN max(run) < 3 THEN '2024-0' || (max(run) + 1) || '-01' END AS valid_to, COUNT(*) AS n_runs
+FROM steps GROUP BY o_orderkey, o_orderstatus, o_totalprice, island""",
     "snapshot_diff": """
 WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders),
 n AS (

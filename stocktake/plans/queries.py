@@ -19,6 +19,7 @@ from ..functions.names import clean_name, with_suffix
 from ..functions.ranking import rank_in_group
 from ..operators.flatten import discover, flatten_long, flatten_wide
 from ..operators.hierarchy import child_rows, count_types, select_catalogs, select_schemas, select_tables
+from ..operators.history import object_history
 from ..operators.shape import shape_records
 from ..operators.snapshots import snapshot_diff
 from ..operators.summary import count_rows, grand_totals, merge_counts
@@ -29,7 +30,7 @@ from ..sources.registry import resolved_registry
 from ..streaming.inventory import stream_inventory
 from ..streaming.stream import stream_raw
 from . import scenario
-from .batch import build_inventory, shape_tables
+from .batch import build_inventory, run_batch, shape_tables
 from .landing_builders import DEFAULT_TS, pack_pages
 
 NESTED_LINE_FIELDS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
@@ -485,7 +486,7 @@ def q_stream_raw_tables(spark, d):
 
 
 def q_stream_retype(spark, d):
-    """Two drains of one stream; a column is BIGINT in the first run and DOUBLE in the second."""
+    """Two drains of one stream; a column is BIGINT in the first run and DOUBLE in the second, no old row is rewritten."""
     o = _t(spark, d, "orders")
 
     def run(value, when):
@@ -501,6 +502,54 @@ def q_stream_retype(spark, d):
     return raw.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "amount", F.date_format("_collected_at", "yyyy-MM").alias("month"))
 
 
+def q_names_over_runs(spark, d):
+    """Two runs whose keys clean to one name; each keeps its column through the whole batch write."""
+    o = _t(spark, d, "orders")
+    schema = f"stocktake_runs_{uuid.uuid4().hex[:12]}"
+    ensure_schema(spark, schema)
+    sink = InventorySink(spark, schema, raw_mode="append")
+    dotted = F.col("o_custkey").alias("cust.key")
+    for when, fields in (("2024-01-01 00:00:00", [dotted]),
+                         ("2024-02-01 00:00:00", [dotted, F.col("o_orderpriority").alias("Cust key")])):
+        pages = pack_pages(o, "repo", "repos", F.floor(F.col("o_orderkey") / 100) + 1, F.struct("o_orderkey", *fields),
+                           F.col("o_orderkey"), collected_at=when)
+        run_batch(spark, landed(pages), sink, drop_first=False)
+    raw = spark.table(sink.table("repo"))
+    return raw.select("o_orderkey", "cust_key", "cust_key__1", F.date_format("_collected_at", "yyyy-MM").alias("month"))
+
+
+def q_retype_large_ints(spark, d):
+    """Whole numbers beyond 2**53 in one run, fractions in the next; no digit is lost."""
+    o = _t(spark, d, "orders")
+
+    def run(value, when):
+        return pack_pages(o, "repo", "repos", F.floor(F.col("o_orderkey") / 100) + 1, F.struct("o_orderkey", value.alias("amount")),
+                          F.col("o_orderkey"), collected_at=when)
+
+    sink, checkpoint = _stream_sink(spark), shared_path(spark, "stream-checkpoint")
+    land = _page_files(spark, run(F.lit(2 ** 53 + 1) + F.col("o_orderkey"), "2024-01-01 00:00:00"))
+    stream_inventory(spark, land, checkpoint, sink)
+    _page_files(spark, run(F.col("o_custkey") + F.lit(0.5), "2024-02-01 00:00:00"), land)
+    stream_inventory(spark, land, checkpoint, sink)
+    raw = spark.table(sink.table("repo"))
+    return raw.select("o_orderkey", F.col("amount").cast("string").alias("amount"), F.date_format("_collected_at", "yyyy-MM").alias("month"))
+
+
+def q_object_history(spark, d):
+    """Orders over three appended runs as validity intervals: changed, gone for a run, back again, new."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit("ws").alias("_workspace"))
+    schema = f"stocktake_runs_{uuid.uuid4().hex[:12]}"
+    ensure_schema(spark, schema)
+    sink = InventorySink(spark, schema, raw_mode="append")
+    turn, raised = F.col("o_orderkey") % 7, F.col("o_totalprice") + 1.0
+    for i, rows in enumerate([o.where(turn != 3), o.where(turn != 1).withColumn("o_totalprice", F.when(turn == 2, raised).otherwise(F.col("o_totalprice"))),
+                              o.withColumn("o_totalprice", F.when(turn.isin(2, 4), raised).otherwise(F.col("o_totalprice")))]):
+        sink.write_raw("order", rows.withColumn("_collected_at", F.lit(f"2024-0{i + 1}-01 00:00:00").cast("timestamp")), known_nonempty=True)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return object_history(spark.table(sink.table("order")), ["o_orderkey"]).select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", day("valid_from"), day("valid_to"), "n_runs")
+
+
 def q_snapshot_diff(spark, d):
     """Two snapshots of orders compared per key."""
     o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -551,6 +600,9 @@ QUERIES = {
     "stream_inventory_summary": q_stream_inventory_summary,
     "stream_raw_tables": q_stream_raw_tables,
     "stream_retype": q_stream_retype,
+    "names_over_runs": q_names_over_runs,
+    "retype_large_ints": q_retype_large_ints,
+    "object_history": q_object_history,
     "snapshot_diff": q_snapshot_diff,
 }
 
