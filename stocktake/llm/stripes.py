@@ -37,9 +37,11 @@ END, OTHER, FIRST = 0, 1, 2
 HELD, PIECE = 3_000_000, 1 << 20
 #: A prefix with more than this part of all words is hot; there are fewer than so many. Its stripe is sent in slices.
 HOT, SLICES = 10_000, 64
+#: A stripe on its way: next words and counts joined by spaces; what is not counted by word has the empty word.
 PARTS = StructType([StructField("lang", StringType()), StructField("prefix", StringType()), StructField("slice", IntegerType()),
-                    StructField("next", ArrayType(StringType())), StructField("count", ArrayType(LongType()))])
-STRIPES = StructType([*PARTS.fields[:3], StructField("total", LongType()), *PARTS.fields[3:], StructField("hash", ArrayType(LongType()))])
+                    StructField("next", StringType()), StructField("count", StringType())])
+STRIPES = StructType([*PARTS.fields[:3], StructField("total", LongType()), StructField("next", ArrayType(StringType())),
+                      StructField("count", ArrayType(LongType())), StructField("hash", ArrayType(LongType()))])
 
 
 def word_hash(lang: bytes, word: bytes) -> int:
@@ -52,23 +54,27 @@ def extend(prefix: np.ndarray | np.uint64, word: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers of the words of one language; words that the mask lacks share one number."""
+    """Numbers of the words of one language, and its texts as numbers."""
 
-    def __init__(self, lang: str, mask: Mask | None):
+    def __init__(self, lang: str):
         super().__init__({MARK: END})
-        self.lang, self.mask = lang.encode(), mask
-        self.list, self.hashes, self.parts, self.size = [b"", b""], [0, 0], [], 0
+        self.lang = lang.encode()
+        self.list, self.parts, self.size = [b"", b""], [], 0
 
     def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
-        number = OTHER
-        if self.mask is None or self.mask.has(np.array([h], np.uint64))[0]:
-            number = len(self.list)
-            self.list.append(word)
-            self.hashes.append(h)
-        self[word] = number
+        self[word] = number = len(self.list)
+        self.list.append(word)
         return number
 
+    def numbered(self, frequent: Mask | None, pad: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(numbers of all words, text of each number, hash of each number); words that the mask lacks share OTHER."""
+        hashes = np.array([0, 0] + [word_hash(self.lang, w) for w in self.list[FIRST:]], np.uint64)
+        keep = np.ones(len(hashes), bool) if frequent is None else frequent.has(hashes)
+        keep[:FIRST] = True
+        number = np.where(keep, np.cumsum(keep) - 1, OTHER).astype(np.int32)
+        text = pa.array(self.list, pa.binary()).filter(pa.array(keep)).cast(pa.string())
+        return number[np.concatenate([*self.parts, np.zeros(pad, np.int32)])], text, hashes[keep]
+
     def add(self, data: bytes) -> None:
         """The words of a text, after which a piece ends."""
         data, at = data.translate(TABLE), 0
@@ -81,14 +87,14 @@ class Words(dict):
         self.parts.append(np.zeros(1, np.int32))
 
 
-def _counted(words: Words, known: int, lengths: list[int], mask: Mask | None, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Stripes of the prefixes of ``lengths`` words whose every ``known`` words the mask has."""
-    ids = np.concatenate([*words.parts, np.zeros(max(lengths) + 1, np.int32)])
-    text = pa.array(words.list, pa.binary()).cast(pa.string())
-    hashes = np.array(words.hashes, np.uint64)
+def _counted(words: Words, known: int, lengths: list[int], frequent: Mask | None, mask: Mask | None, hot: np.ndarray
+             ) -> Iterator[pa.RecordBatch]:
+    """Stripes of the prefixes of ``lengths`` frequent words whose every ``known`` words the mask has."""
+    ids, text, hashes = words.numbered(frequent, max(lengths) + 1)
+    size = len(text)
     if lengths == [0]:
-        count = np.bincount(ids, minlength=len(words.list))[FIRST:]
-        next_word = np.arange(FIRST, len(words.list))
+        count = np.bincount(ids, minlength=size)[FIRST:]
+        next_word = np.arange(FIRST, size)
         yield _rows(words, pa.array([""] * 1), np.zeros(len(count), np.int64), next_word, count, text, hashes, np.ones(1, bool))
         return
     ok = ids >= FIRST
@@ -99,7 +105,6 @@ def _counted(words: Words, known: int, lengths: list[int], mask: Mask | None, ho
     if known > 1:
         at = np.flatnonzero(ok)
         ok[at[~mask.has(phrase[at])]] = False
-    size = len(words.list)
     for k in lengths:
         last = len(ok) - (k - known) - 1
         whole = ok[:last].copy()
@@ -133,11 +138,11 @@ def _rows(words: Words, prefix: pa.Array, owner: np.ndarray, next_word: np.ndarr
         key, next_word, count = key[order], next_word[order], count[order]
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(cut, len(key)).astype(np.int32))
-    follows = text.take(pa.array(next_word, mask=next_word == OTHER))
+    follows = pa.ListArray.from_arrays(offsets, text.take(pa.array(next_word)))
+    counts = pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64)).cast(pa.string()))
     return pa.RecordBatch.from_arrays([
         pa.array([words.lang.decode()] * len(cut), pa.string()), prefix.take(pa.array(key[cut] // SLICES)),
-        pa.array((key[cut] % SLICES).astype(np.int32)), pa.ListArray.from_arrays(offsets, follows),
-        pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64)))], names=PARTS.names)
+        pa.array((key[cut] % SLICES).astype(np.int32)), pc.binary_join(follows, " "), pc.binary_join(counts, " ")], names=PARTS.names)
 
 
 def _count(texts: DataFrame, known: int, lengths: list[int], frequent, phrases, hot: np.ndarray) -> DataFrame:
@@ -149,13 +154,13 @@ def _count(texts: DataFrame, known: int, lengths: list[int], frequent, phrases,
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if text.is_valid:
-                    of.setdefault(lang, Words(lang, single)).add(text.as_py().encode())
+                    of.setdefault(lang, Words(lang)).add(text.as_py().encode())
                 if sum(w.size for w in of.values()) >= HELD:
                     for words in of.values():
-                        yield from _counted(words, known, lengths, bits, hot)
+                        yield from _counted(words, known, lengths, single, bits, hot)
                     of = {}
         for words in of.values():
-            yield from _counted(words, known, lengths, bits, hot)
+            yield from _counted(words, known, lengths, single, bits, hot)
     return texts.mapInArrow(run, PARTS)
 
 
@@ -173,11 +178,11 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         for column in keys:
             new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
         run = np.cumsum(new)
-        nexts, counts = batch.column(3), batch.column(4)
+        nexts, counts = pc.split_pattern(batch.column(3), " "), pc.split_pattern(batch.column(4), " ")
         owner = np.repeat(run, pc.list_value_length(nexts).to_numpy(zero_copy_only=False))
         first = np.flatnonzero(np.append(True, new[1:]))
         labels = [c.take(pa.array(first)).to_pylist() for c in keys]
-        nexts, counts = nexts.flatten(), counts.flatten()
+        nexts, counts = nexts.flatten(), counts.flatten().cast(pa.int64())
         if held is not None:
             key, old_next, old_count = held
             if key == tuple(x[0] for x in labels):
@@ -185,7 +190,7 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
                 nexts, counts = pa.concat_arrays([old_next, nexts]), pa.concat_arrays([old_count, counts])
             else:
                 yield from _stripes([[x] for x in key], np.zeros(len(old_next), np.int64), old_next, old_count, least)
-        sums = pa.table({"owner": owner, "next": nexts, "count": counts}).group_by(["owner", "next"]).aggregate([("count", "sum")])
+        sums = pa.table({"owner": owner, "next": nexts, "count": counts}).group_by(["owner", "next"], use_threads=False).aggregate([("count", "sum")])
         sums = sums.sort_by("owner").combine_chunks()
         owner = sums["owner"].to_numpy()
         nexts, counts = (pa.concat_arrays(sums[c].chunks) if sums[c].num_chunks else pa.array([], sums[c].type) for c in ("next", "count_sum"))
@@ -203,7 +208,7 @@ def _stripes(labels: list[list], owner: np.ndarray, nexts: pa.Array, counts: pa.
     number = counts.to_numpy()
     total = np.zeros(size, np.int64)
     np.add.at(total, owner, number)
-    keep = (number >= least) & nexts.is_valid().to_numpy(zero_copy_only=False)
+    keep = (number >= least) & pc.not_equal(nexts, "").to_numpy(zero_copy_only=False)
     owner, nexts, counts = owner[keep], nexts.filter(pa.array(keep)), counts.filter(pa.array(keep))
     hashes = np.zeros(len(owner), np.uint64)
     of: dict[int, np.uint64 | None] = {}
