@@ -20,7 +20,7 @@ BITS = 18
 STEP, PASSAGE = 16, 4
 #: Longest part of an item; any window of STEP * PASSAGE words that begins up to a step before it holds it whole.
 PART = STEP * (PASSAGE - 1)
-#: Parts of benchmark items in one index at most; its latent space keeps a direction for each.
+#: Parts of benchmark items in one index at most.
 PARTS = 256
 
 
@@ -80,6 +80,155 @@ def common_subsequence(a: list[int], b: list[int]) -> tuple[int, int]:
     return length, matched
 
 
+def spare_words(length: int) -> int:
+    """Words on both sides of a passage that are read with it for an item of ``length`` words."""
+    return max(1, length // 2)
+
+
+class Steps:
+    """The texts of one piece in steps of STEP words; a window is a step and the PASSAGE - 1 after it in its text."""
+
+    def __init__(self, word: np.ndarray, doc: np.ndarray):
+        self.word = word
+        self.begin = np.searchsorted(doc, np.arange(doc[-1] + 2))
+        within = np.arange(len(word)) - self.begin[doc]
+        first = within % STEP == 0
+        self.starts = np.flatnonzero(first)
+        self.of_word = np.cumsum(first) - 1
+        self.ends = np.append(self.starts[1:], len(word))
+        self.doc = doc[self.starts]
+        self.last = np.minimum(np.arange(len(self.starts)) + PASSAGE, np.searchsorted(self.doc, self.doc, side="right"))
+
+
+class Level:
+    """The items' words as a bit mask of the ``common`` commonest ones and posting lists of the others.
+
+    Word occurrences are counted by stretches of steps: common words once each, the others as often as
+    they occur, so a count is never below the number of an item's words that a stretch holds.
+    """
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], words: int, common: int):
+        self.common = common
+        planes = max([1] + [int(c[w < common].max(initial=0)) for w, c in counts])
+        self.masks = np.zeros((planes, len(counts), common // 64), np.uint64)  # plane k: words the item holds more than k times
+        posting: list[tuple[int, int, int]] = []
+        for i, (w, c) in enumerate(counts):
+            for x, n in zip(w.tolist(), c.tolist(), strict=True):
+                if x < common:
+                    self.masks[:n, i, x // 64] |= np.uint64(1 << x % 64)
+                else:
+                    posting.append((x, i, n))
+        posting.sort()
+        self.item, self.times = (np.array([p[k] for p in posting], np.int64) for k in (1, 2))
+        self.offsets = np.searchsorted(np.array([p[0] for p in posting], np.int64), np.arange(words + 1))
+
+    def read(self, text: Steps, number: np.ndarray, span: int) -> None:
+        """Take up a piece: bits of each step, and the other words' places by (item, step)."""
+        n = len(text.starts)
+        known = np.flatnonzero((number >= 0) & (number < self.common))
+        flags = np.zeros((n, self.common), bool)
+        flags[text.of_word[known], number[known]] = True
+        self.bits = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+        rare = np.flatnonzero(number >= self.common)
+        lists = self.offsets[number[rare] + 1] - self.offsets[number[rare]]
+        at = np.repeat(self.offsets[number[rare]] - (np.cumsum(lists) - lists), lists) + np.arange(lists.sum())
+        code, times = self.item[at] * span + np.repeat(text.of_word[rare], lists), self.times[at]
+        order = np.argsort(code, kind="stable")
+        self.span, self.code, self.sums = span, code[order], np.concatenate(([0], np.cumsum(times[order])))
+
+    def common_words(self, mask: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(mask & plane[item]).sum(axis=-1, dtype=np.int64) for plane in self.masks)
+
+    def other_words(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self.sums[np.searchsorted(self.code, high, side="right")] - self.sums[np.searchsorted(self.code, low, side="left")]
+
+    def around(self, window: np.ndarray, item: np.ndarray, side: int) -> np.ndarray:
+        """Words of the item in the window and ``side`` steps on both sides of it."""
+        width = PASSAGE + 2 * side
+        low = item * self.span + np.maximum(window - side, 0)
+        high = np.minimum(item * self.span + window - side + width, (item + 1) * self.span) - 1
+        return self.other_words(low, high) + self.common_words(_spread(self.bits, width)[window - side + width - 1], item)
+
+
+class Overlap:
+    """Which windows can hold an item at all: those whose surroundings hold enough of the item's words.
+
+    A confirmed match has a subsequence of ``least`` of the item's words within the window and the words read around it, so
+    as many of them stand there. Counts that are never too low (``Level``) keep every such pair: with 64 common words to
+    find the pairs, with 512 to look at them again.
+    """
+
+    def __init__(self, items: list[list[int]], df: np.ndarray, least: float):
+        words = np.unique(np.array([w for item in items for w in item], np.uint64))
+        words = words[np.lexsort((words, -df[slots(words)]))]  # commonest first
+        number = {w: i for i, w in enumerate(words.tolist())}
+        self.words, self.by_hash = words, np.argsort(words)
+        self.sorted = words[self.by_hash]
+        slot = slots(words)
+        self.first = np.full(1 << BITS, -1, np.int32)  # slot -> word; -2: several
+        self.first[slot] = np.arange(len(words))
+        self.first[np.flatnonzero(np.bincount(slot, minlength=1 << BITS) > 1)] = -2
+        counts = [np.unique([number[w] for w in item], return_counts=True) for item in items]
+        self.rough, self.fine = (Level(counts, len(words), common) for common in (64, 512))
+        self.need = np.array([int(np.ceil(least * len(item) - 1e-9)) for item in items])
+        # steps that a window's surroundings reach to each side
+        size = np.array([len(item) for item in items])
+        self.side = -(-(np.array([spare_words(n) for n in size]) + np.where(size > PART, size, 0)) // STEP)
+
+    def _numbers(self, word: np.ndarray) -> np.ndarray:
+        out = self.first[slots(word)]
+        several = np.flatnonzero(out == -2)
+        if len(several):
+            at = np.minimum(np.searchsorted(self.sorted, word[several]), len(self.sorted) - 1)
+            out[several] = self.by_hash[at]
+        known = np.flatnonzero(out >= 0)
+        out[known[self.words[out[known]] != word[known]]] = -1
+        return out
+
+    def windows(self, text: Steps) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs that may match."""
+        n, number, rough = len(text.starts), self._numbers(text.word), self.rough
+        span = n + 2 * int(self.side.max()) + 2 * PASSAGE  # items' codes are further apart than any stretch is long
+        for level in (rough, self.fine):
+            level.read(text, number, span)
+        code, sums, pairs = rough.code, rough.sums, [np.zeros(0, np.int64)]
+        for side in np.unique(self.side).tolist():
+            width = PASSAGE + 2 * side
+            own = np.flatnonzero(self.side == side)
+            here = _spread(rough.bits, width)  # of the stretch that ends at a step, which may lie behind the last
+            wide = _spread(here, width)  # of all stretches that hold the step one stretch length before
+            lo = np.concatenate([np.arange(*np.searchsorted(code, [i * span, (i + 1) * span])) for i in own])
+            heads = lo[np.concatenate(([True], code[lo[1:]] != code[lo[:-1]]))] if len(lo) else lo
+            item, step = code[heads] // span, code[heads] % span
+            # every stretch that holds other words of the item begins some steps before the first of them
+            others = sums[np.searchsorted(code, code[heads] + width - 1, side="right")] - sums[heads]
+            some = others + rough.common_words(wide[step + width - 1], item) >= self.need[item]
+            item, step = item[some], step[some]
+            window = (step[:, None] + np.arange(-(width - 1), 1) + side).ravel()
+            pair = np.unique(np.repeat(item, width) * span + np.clip(window, 0, n - 1))
+            # and items that common words may make up by themselves
+            for i in own[rough.common_words(np.uint64(2 ** 64 - 1), own) >= self.need[own]].tolist():
+                alone = rough.common_words(here[np.arange(n) - side + width - 1], np.full(1, i)) >= self.need[i]
+                pair = np.append(pair, i * span + np.flatnonzero(alone))
+            for level in (rough, self.fine):
+                item, window = pair // span, pair % span
+                pair = pair[level.around(window, item, side) >= self.need[item]]
+            pairs.append(pair)
+        pair = np.unique(np.concatenate(pairs))
+        return pair % span, pair // span
+
+
+def _spread(bits: np.ndarray, width: int) -> np.ndarray:
+    """For k from 0: the union of places k - width + 1 to k (those there are); width - 1 longer than ``bits``."""
+    out = np.concatenate((bits, np.zeros((width - 1, *bits.shape[1:]), bits.dtype)))
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        out[step:] |= out[:-step].copy()
+        done += step
+    return out
+
+
 @dataclass
 class Index:
     """Parts of benchmark items in the latent space they span."""
@@ -89,67 +238,60 @@ class Index:
     parts: list[tuple[int, int, int]]  # item number, first word, number of words
     idf: np.ndarray
     term: np.ndarray  # slot -> term number, or -1
-    basis: np.ndarray
-    vectors: np.ndarray  # of the parts, of length one
+    basis: np.ndarray  # of the latent space; a row of zeros behind the last term
+    vectors: np.ndarray  # of the parts in it, of length one
+    adds: np.ndarray  # (part, term): what one such word adds to the product with the part's unit vector of terms
     norms: np.ndarray  # the parts' lengths in term space
-    most: np.ndarray  # slot -> what one such word adds to the product with any part's vector at most
-    share: np.ndarray  # slot -> the same as a share of that part's own energy
+    overlap: Overlap
+    latent: float
     cosine: float
     contained: float
     verbatim: float
     paraphrase: float
     answer: float
 
-    def found(self, word: np.ndarray, doc: np.ndarray):
-        """(text, item number, cosine, subsequence share, answer share) of every confirmed passage."""
-        if not len(word) or not len(self.ids):
-            return
-        slot = slots(word)
-        weight = self.idf[slot]
-        energy = weight.astype(np.float64) ** 2
-        term = self.term[slot]
-        begin = np.searchsorted(doc, np.arange(doc[-1] + 2))
-        within = np.arange(len(word)) - begin[doc]
-        start = np.flatnonzero(within % STEP == 0)  # the steps' first words
-        text = doc[start]
-        last = np.minimum(np.arange(len(start)) + PASSAGE, np.searchsorted(text, text, side="right"))
-
-        def windows(values):
-            sums = np.concatenate(([0], np.cumsum(np.add.reduceat(values, start, dtype=np.float64))))
-            return sums[last] - sums[:-1]
-        all_, in_ = windows(energy), windows(np.where(term >= 0, energy, 0))
-        # products are sums over the words, so with the most that each word can add no window is lost (0.999: rounding)
-        candidate = np.flatnonzero((in_ > 0) & ((windows(self.most[slot]) >= 0.999 * self.cosine * np.sqrt(np.maximum(in_, 0)))
-                                                | (windows(self.share[slot]) >= 0.999 * self.contained)))
-        ends = np.append(start[1:], len(word))
+    def found(self, text: Steps, window: np.ndarray, item: np.ndarray):
+        """(text, item number, cosine, subsequence share, answer share) of every confirmed passage.
+
+        ``window`` and ``item`` are the pairs to compare: windows by their first step, items by number. A pair is checked
+        word by word if it is near in the latent space, or if the window's words alone say so: the latent space has
+        fewer directions than the benchmark has parts, so it may miss a copy, the product of terms cannot.
+        """
+        starts, ends, last = text.starts, text.ends, text.last
+        parts = [[] for _ in self.ids]
+        for p, (t, _, _) in enumerate(self.parts):
+            parts[t].append(p)
+        lists = np.array([len(p) for p in parts])
+        flat, offsets = np.array([p for own in parts for p in own]), np.cumsum(lists) - lists
+        count = lists[item]
+        part = flat[np.repeat(offsets[item] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        window = np.repeat(window, count)
         hits: dict[tuple[int, int], list] = {}
-        for at in range(0, len(candidate), 2048):
-            rows = candidate[at:at + 2048]
-            steps = np.unique((rows[:, None] + np.arange(PASSAGE))[(rows[:, None] + np.arange(PASSAGE)) < last[rows][:, None]])
-            number = np.full(len(start) + 1, len(steps))
-            number[steps] = np.arange(len(steps))
-            lengths = ends[steps] - start[steps]
-            place = np.repeat(np.arange(len(steps)), lengths)
-            index = np.repeat(start[steps] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            known = term[index] >= 0
-            place, index = place[known], index[known]
-            z = np.zeros((len(steps) + 1, self.basis.shape[1]), np.float32)
-            if len(index):
-                edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-                z[place[edges]] = np.add.reduceat(weight[index][:, None] * self.basis[term[index]], edges, axis=0)
-            v = np.zeros((len(rows), z.shape[1]), np.float32)
-            for k in range(PASSAGE):
-                v += z[np.where(rows + k < last[rows], number[np.minimum(rows + k, len(start))], len(steps))]
-            product = v @ self.vectors.T
-            near = (product >= self.cosine * np.sqrt(np.maximum(in_[rows], 1e-12))[:, None]) | (product >= self.contained * self.norms)
-            for r, p in zip(*np.nonzero(near), strict=True):
-                first, (t, offset, length) = int(rows[r]), self.parts[p]
-                spare = max(1, len(self.words[t]) // 2)
-                hits.setdefault((int(text[first]), t), []).append((
-                    int(start[first]) - offset - spare, int(ends[last[first] - 1]) + len(self.words[t]) - offset - length + spare,
-                    min(1.0, float(product[r, p] / np.sqrt(max(all_[first], 1e-12))))))
+        for at in range(0, len(window), 2048):
+            rows, own = np.unique(window[at:at + 2048], return_inverse=True)
+            p = part[at:at + 2048]
+            place = starts[rows][:, None] + np.arange(STEP * PASSAGE)
+            there = place < ends[last[rows] - 1][:, None]
+            slot = slots(text.word[np.where(there, place, 0)])
+            term = np.where(there, self.term[slot], -1)
+            weight = np.where(there, self.idf[slot], 0).astype(np.float32)
+            total = (weight.astype(np.float64) ** 2).sum(axis=1)
+            inside = np.where(term >= 0, weight.astype(np.float64) ** 2, 0).sum(axis=1)
+            product = self.adds[p[:, None], term[own]].sum(axis=1)
+            z = np.einsum("rw,rwk->rk", weight, self.basis[term])
+            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+            latent = np.einsum("rk,rk->r", z[own], self.vectors[p])
+            near = (latent >= self.latent) | (product >= self.cosine * np.sqrt(np.maximum(inside, 1e-12))[own]) | (
+                product >= self.contained * self.norms[p])
+            cosine = np.minimum(1.0, product / np.sqrt(np.maximum(total, 1e-12))[own])
+            for k in np.flatnonzero(near).tolist():
+                first, (t, offset, length) = int(rows[own[k]]), self.parts[p[k]]
+                spare = spare_words(len(self.words[t]))
+                hits.setdefault((int(text.doc[first]), t), []).append((
+                    int(starts[first]) - offset - spare, int(ends[last[first] - 1]) + len(self.words[t]) - offset - length + spare,
+                    float(cosine[k])))
         for (d, t), places in hits.items():
-            yield from self._confirmed(d, t, places, word, begin)
+            yield from self._confirmed(d, t, places, text.word, text.begin)
 
     def _confirmed(self, d, t, places, word, begin):
         item, best = self.words[t], None
@@ -211,12 +353,12 @@ def parts_of(items: DataFrame) -> DataFrame:
     return items.select("place", "text").mapInArrow(cut, "item long, first long, length long, text string")
 
 
-def index(items: DataFrame, block: DataFrame, df: np.ndarray, n: float, cosine: float = 0.3, contained: float = 0.4, verbatim: float = 0.8,
+def index(items: DataFrame, block: DataFrame, df: np.ndarray, n: float, rank: int = 64, latent: float = 0.6, cosine: float = 0.3, contained: float = 0.4, verbatim: float = 0.8,
           paraphrase: float = 0.5, answer: float = 0.75) -> Index:
     """Randomised SVD of the TF-IDF rows of one block of parts, and the parts in its space.
 
     Inverse document frequencies are those of the documents. Terms are the hashed words of the parts.
-    The rank is the number of parts, whose rows have length one, so that no direction is dropped as short.
+    The parts' rows have length one, so that no direction is dropped as short; ``rank`` directions are kept at most.
     """
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
     rows = block.select("item", "first", "length").collect()
@@ -231,7 +373,7 @@ def index(items: DataFrame, block: DataFrame, df: np.ndarray, n: float, cosine:
     vocabulary = np.unique(np.concatenate(own))
     term = np.full(1 << BITS, -1, np.int32)
     term[vocabulary] = np.arange(len(vocabulary))
-    rank = max(1, min(len(vocabulary), len(parts)))
+    rank = max(1, min(rank, len(vocabulary), len(parts)))
 
     def blocks():
         def rows(batches):
@@ -246,26 +388,26 @@ def index(items: DataFrame, block: DataFrame, df: np.ndarray, n: float, cosine:
 
     basis = right_singular(block.select("text"), blocks, len(vocabulary), rank)
     vectors, norms = np.zeros((len(parts), rank), np.float32), np.zeros(len(parts), np.float32)
-    most, share = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    adds = np.zeros((len(parts), len(vocabulary) + 1), np.float32)
     for i, slot in enumerate(own):
         v = (idf[slot][:, None] * basis[term[slot]]).sum(axis=0)
         vectors[i] = v / max(float(np.linalg.norm(v)), 1e-12)
         here, count = np.unique(slot, return_counts=True)
         norms[i] = max(float(np.linalg.norm(count * idf[here])), 1e-12)
-        adds = count * idf[here] ** 2 / norms[i]
-        most[here] = np.maximum(most[here], adds)
-        share[here] = np.maximum(share[here], adds / norms[i])
-    return Index(ids, words, parts, idf, term, basis, vectors, norms, most, share, cosine, contained, verbatim, paraphrase, answer)
+        adds[i, term[here]] = count * idf[here] ** 2 / norms[i]
+    basis = np.concatenate([basis, np.zeros((1, rank), basis.dtype)]).astype(np.float32)
+    return Index(ids, words, parts, idf, term, basis, vectors, adds, norms, Overlap(words, df, min(verbatim, paraphrase)), latent, cosine, contained, verbatim, paraphrase, answer)
 
 
 FOUND = [StructField("contaminated", BooleanType()), StructField("items", ArrayType(LongType())), StructField("cosine", DoubleType()),
          StructField("subsequence", DoubleType()), StructField("answer", DoubleType())]
 
 
-def _searched(rows: DataFrame, benchmark: DataFrame, keep: list[str], names: list[str], item_col: str, item_text: str, **limits) -> DataFrame:
+def _searched(rows: DataFrame, text: str, benchmark: DataFrame, keep: list[str], names: list[str], item_col: str, item_text: str,
+              **limits) -> DataFrame:
     """``keep`` of ``rows`` (with text in ``text``) and the five result columns under ``names``."""
     spark = rows.sparkSession
-    df, n = document_frequencies(rows.select("text"))
+    df, n = document_frequencies(rows.select(F.col(text).alias("text")))
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     items = stored(items.withColumn("place", F.monotonically_increasing_id()), "benchmark-items")
     indexes = [spark.sparkContext.broadcast(index(items, block, df, n, **limits))
@@ -275,8 +417,9 @@ def _searched(rows: DataFrame, benchmark: DataFrame, keep: list[str], names: lis
         def search(texts: pa.Array) -> list[pa.Array]:
             hit: dict[int, list] = {}
             for first, _, word, doc in word_hashes(texts):
-                for shared in indexes:
-                    for d, t, cosine, share, answer in shared.value.found(word, doc):
+                steps = Steps(word, doc) if len(word) else None
+                for shared in indexes if len(word) else ():
+                    for d, t, cosine, share, answer in shared.value.found(steps, *shared.value.overlap.windows(steps)):
                         hit.setdefault(first + d, []).append((share, answer, cosine, shared.value.ids[t]))
             best = [max(hit[i], key=lambda h: h[:3]) if i in hit else (0.0, 0.0, 0.0) for i in range(len(texts))]
             return [pa.array([i in hit for i in range(len(texts))]),
@@ -286,7 +429,7 @@ def _searched(rows: DataFrame, benchmark: DataFrame, keep: list[str], names: lis
         return search
 
     fields = [StructField(name, f.dataType) for name, f in zip(names, FOUND, strict=True)]
-    return append_columns(rows, "text", fields, make, keep)
+    return append_columns(rows, text, fields, make, keep)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -295,8 +438,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     subsequence (share of the item's words on the longest common subsequence with the passage and its
     surroundings) and answer (share of the item's last quarter on it).
 
-    Every document is cut into overlapping passages of 64 words, each compared with every item of the
-    benchmark, long items in parts of 48 words at most, in the latent space. Passages at ``cosine`` or
+    Every document is cut into overlapping passages of 64 words, each compared in the latent space with every item
+    of the benchmark, long items in parts of 48 words at most, whose words it and its surroundings hold often
+    enough for a match (``Overlap``: exact bounds, so none is lost). Passages at ``cosine`` or
     more, measured by their benchmark terms, are checked word by word, and so are those that hold
     ``contained`` of a part's energy: words around a copy can't lower that, so no copy is missed. A match
     is ``verbatim`` of the words, or ``paraphrase`` of them with ``answer`` of the item's end. The
@@ -305,15 +449,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     empty items; null ids and repeated rows are kept; an empty benchmark contaminates nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _searched(rows, benchmark, ["doc_id"], [f.name for f in FOUND], item_col, item_text, **limits)
+    return _searched(rows, "text", benchmark, ["doc_id"], [f.name for f in FOUND], item_col, item_text, **limits)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
           **limits) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, unchanged."""
-    text = F.col(text_col).cast("string")
-    rows = docs if text_col == "text" else docs.withColumn("text", text)
-    names = []
-    for f in FOUND:
-        names.append(free_name(rows, f"{f.name}__"))
-    return _searched(rows, benchmark, rows.columns, names, item_col, item_text, **limits).where(~F.col(names[0])).select(*docs.columns)
+    text = free_name(docs, "text__")
+    rows = docs.withColumn(text, docs[text_col].cast("string"))
+    names = [free_name(rows, f"{f.name}__") for f in FOUND]
+    found = _searched(rows, text, benchmark, docs.columns, names, item_col, item_text, **limits)
+    return found.where(~F.col(names[0])).select(*docs.columns)
