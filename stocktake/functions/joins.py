@@ -15,14 +15,15 @@ BROADCAST_MAX_BYTES = 64 << 20
 _CELL_BYTES = 24
 
 
-def checkpoint_once(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder and read back.
+def checkpoint_once(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder and read back; ``by`` gives folders of its own to
+    each value of these columns, so that filters on them skip the others.
 
     The plan starts anew at columnar files that every executor sees: later passes read only
     their columns, and a lost executor costs a re-read.
     """
     path = shared_path(df.sparkSession, "derived")
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ from ..fixed_values import (CATALOG_SCAN_LIST_KEYS, COUNTER_KEYS, INJECTED_CHILD
                             TABLE_KEY, TABLE_TYPE_EXTERNAL, TABLE_TYPE_MANAGED)
 from ..functions.joins import checkpoint_once, join_checked, materialize_small
 from ..functions.ranking import top_n_per_group
-from ..sources.landing import LISTING, apply_page_rules, cap_pages, page_flags, unnest
+from ..sources.landing import RECORD_COLS, apply_page_rules, cap_pages, parse_pages, unnest
 
 
 def record_field(name: str, typ: str = "string", rec: str = "rec") -> Column:
@@ -82,9 +82,8 @@ def select_schemas(pages: DataFrame, catalogs: DataFrame, limit: int = 0,
     names sorted, first ``limit`` per catalog when > 0 (skew-safe top-N).
     """
     p = _catalog_scan_pages(pages, endpoint, catalogs, "catalog")
-    p = page_flags(p, token_only=True)
-    p = apply_page_rules(p, "complete", listing=[*LISTING, "_sel"])
-    recs = unnest(p, CATALOG_SCAN_LIST_KEYS[endpoint])
+    p = apply_page_rules(parse_pages(p, CATALOG_SCAN_LIST_KEYS[endpoint], token_only=True), "complete")
+    recs = unnest(p)
     out = recs.select(F.col("workspace"), F.col("collected_at"), F.col("parent").alias("catalog_name"),
                       record_field("name").alias("schema_name"))
     out = out.where(F.col("schema_name").isNotNull())
@@ -103,11 +102,9 @@ def select_tables(pages: DataFrame, schemas: DataFrame, endpoint: str = TABLE_KE
     # schemas come checkpointed from select_schemas: counting them is enough
     p = _catalog_scan_pages(pages, endpoint, schemas.select("full_name", *[c for c in RUN if c in schemas.columns]),
                             "full_name", parents_written=True)
-    p = page_flags(p, token_only=True)
-    listing = [*LISTING, "_sel"]
-    kept = apply_page_rules(p, "prefix", listing=listing,
+    kept = apply_page_rules(parse_pages(p, CATALOG_SCAN_LIST_KEYS[endpoint], token_only=True), "prefix",
                             broken=(F.col("status") == 200) & ~F.col("_usable"))
-    recs = unnest(kept, CATALOG_SCAN_LIST_KEYS[endpoint])
+    recs = unnest(kept)
     run = [c for c in RUN if c in schemas.columns]
     sch, n = materialize_small(schemas.select(F.col("full_name").alias("_fn"), F.col("catalog_name").alias("_catalog"),
                                               F.col("schema_name").alias("_schema"),
@@ -155,29 +152,41 @@ def uc_counters(cats: DataFrame, schemas: DataFrame, tables: DataFrame, by: Colu
     return c.unionByName(s).unionByName(t).select(*names, "key", F.col("count").cast("long").alias("count"))
 
 
-def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str, parent_field: str = "name",
-               paginate: bool = True, page_cap: int = 0, inject_as: str = INJECTED_CHILD_FIELD) -> DataFrame:
-    """Child records of every named parent, tagged with the parent's name.
+def child_listings(parent_records: DataFrame, child_pages: DataFrame, list_key: str, parent_field: str = "name",
+                   paginate: bool = True, page_cap: int = 0, inject_as: str = INJECTED_CHILD_FIELD,
+                   keep_records: bool = True) -> DataFrame:
+    """Parsed pages that count of every named parent's children, with the parent's name.
 
     Token paging, failure ends a parent's listing (prefix rule); paging off -> first
     page only. A parent listed twice gets its children twice, as a per-parent reader
-    would fetch them twice.
+    would fetch them twice. ``keep_records=False`` keeps the number of records only.
     """
     run = [c for c in RUN if c in parent_records.columns]
     parents = (parent_records.select(record_field(parent_field).alias("_parent_name"), *[F.col(c).alias(f"_run_{c}") for c in run])
                .where(F.col("_parent_name").isNotNull() & (F.col("_parent_name") != "")))
-    cap = 1 if not paginate else page_cap
-    p = cap_pages(child_pages, cap)
-    p = page_flags(p, token_only=True)
+    p = parse_pages(cap_pages(child_pages, int(page_cap if paginate else 1)), list_key, token_only=True,
+                    keep_records=None if keep_records else F.lit(False))
     p = apply_page_rules(p, "prefix")
-    recs = unnest(p, list_key)
     # one narrow row per named parent: counted, broadcast under the row limit, so the
-    # child records are not shuffled for this join
+    # pages are not shuffled for this join
     parents, n = materialize_small(parents)
-    on = (recs["parent"] == parents["_parent_name"]) & _same_run(recs, parents, "_run_")
-    return (join_checked(recs, parents, on, small_bytes=n).drop(*[f"_run_{c}" for c in run])
+    on = (p["parent"] == parents["_parent_name"]) & _same_run(p, parents, "_run_")
+    return (join_checked(p, parents, on, small_bytes=n).drop(*[f"_run_{c}" for c in run])
             .withColumnRenamed("_parent_name", inject_as))
 
 
+def child_rows(parent_records: DataFrame, child_pages: DataFrame, list_key: str, parent_field: str = "name",
+               paginate: bool = True, page_cap: int = 0, inject_as: str = INJECTED_CHILD_FIELD) -> DataFrame:
+    """Child records of every named parent, tagged with the parent's name (``child_listings``)."""
+    p = child_listings(parent_records, child_pages, list_key, parent_field, paginate, page_cap, inject_as)
+    return child_records(p, inject_as)
+
+
+def child_records(listings: DataFrame, inject_as: str = INJECTED_CHILD_FIELD) -> DataFrame:
+    """The records of ``child_listings``."""
+    cols = [c for c in RECORD_COLS if c not in ("pos", "rec")]
+    return listings.select(*cols, inject_as, F.posexplode("_records").alias("pos", "rec")).select(*RECORD_COLS, inject_as)
+
+
 __all__ = ["record_field", "select_catalogs", "select_schemas", "select_tables", "count_types",
-           "catalog_scan", "uc_counters", "child_rows"]
+           "catalog_scan", "uc_counters", "child_listings", "child_records", "child_rows"]

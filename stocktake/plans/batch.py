@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import (INJECTED_CHILD_FIELD, INJECTED_TABLE_FIELDS, MOUNT_FIELD, MOUNTS_KEY,
                             SCHEMA_KEY, TABLE_KEY)
-from ..operators.hierarchy import catalog_scan, child_rows
+from ..operators.hierarchy import catalog_scan, child_listings, child_records
 from ..operators.shape import add_provenance, shape_records
-from ..operators.summary import build_summary, count_rows, ordered_summary
+from ..operators.summary import build_summary, ordered_summary
 from ..sinks.tables import InventorySink, drop_matching
-from ..sources.landing import landed_records
+from ..sources.landing import landed_pages, unnest
 from ..sources.registry import keep_fields_col, resolved_registry
 
 
@@ -22,7 +22,7 @@ class Inventory:
     raw: dict[str, DataFrame] = field(default_factory=dict)   # key -> raw table rows
     counts: DataFrame | None = None                            # (key, count)
     summary: DataFrame | None = None
-    records: DataFrame | None = None                           # all registry records, long
+    listed: DataFrame | None = None                            # pages that count, with their number of records (_n)
     found: dict = field(default_factory=dict)                  # key -> records found by discovery
     scan: tuple = ()                                           # catalogs, schemas, tables of the catalog scan
 
@@ -48,32 +48,35 @@ def build_inventory(spark: SparkSession, pages: DataFrame, prefix: str = "", pol
     child_cfg = [r for r in reg_rows if r["parent_key"]]
     child_keys = [r["key"] for r in child_cfg]
 
-    top = landed_records(pages.where(~F.col("endpoint").isin(*child_keys)) if child_keys else pages,
-                         reg.where(F.col("parent_key").isNull()), policy)
+    cat_key = prefix + "catalog"
+    # counts read no records; where nothing is shaped, only the records of parents and catalogs are written
+    needed = None if shape else [cat_key, *(c["parent_key"] for c in child_cfg)]
+    listings = landed_pages(pages, reg.where(F.col("parent_key").isNull()), policy, needed)
+    top = unnest(listings)
     inv = Inventory()
-    inv.records = top.select("endpoint", "collected_at", "workspace", "rec")
+    narrow = ["endpoint", "collected_at", "workspace", "_n"]
+    inv.listed = listings.select(*narrow)
     found: dict = {}            # records per endpoint, counted by the discovery pass
     if shape:
         inv.raw.update({g[0]: df for g, df in shape_records(top, keep=True, prefix=prefix, counts_out=found, names=names).items()})
 
     for c in child_cfg:
         parents = top.where(F.col("endpoint") == c["parent_key"])
-        kids = child_rows(parents, pages.where(F.col("endpoint") == c["key"]), c["list_key"],
-                          paginate=c["paginate"], page_cap=c["page_cap"])
+        kids = child_listings(parents, pages.where(F.col("endpoint") == c["key"]), c["list_key"],
+                              paginate=c["paginate"], page_cap=c["page_cap"], keep_records=shape)
         if shape:
-            shaped = shape_records(kids, keep=True, prefix=prefix, counts_out=found, names=names,
+            shaped = shape_records(child_records(kids), keep=True, prefix=prefix, counts_out=found, names=names,
                                    inject={INJECTED_CHILD_FIELD: F.col(INJECTED_CHILD_FIELD)})
             inv.raw.update({g[0]: df for g, df in shaped.items()})
-        inv.records = inv.records.unionByName(kids.select("endpoint", "collected_at", "workspace", "rec"))
+        inv.listed = inv.listed.unionByName(kids.select(*narrow))
 
     if shape:
         inv.found = {g[0]: n for g, n in found.items()}
         counts = spark.createDataFrame(list(inv.found.items()), "key string, count long")
     else:
-        counts = count_rows(inv.records)
+        counts = inv.listed.groupBy(F.col("endpoint").alias("key")).agg(F.sum("_n").alias("count")).where("count > 0")
 
     # Catalog scan: catalogs from the registry listing, schemas and tables from their pages.
-    cat_key = prefix + "catalog"
     cats, schemas, tables, counters = catalog_scan(top.where(F.col("endpoint") == cat_key),
                                                    pages.where(F.col("endpoint").isin(SCHEMA_KEY, TABLE_KEY)),
                                                    allowlist, catalog_limit, schema_limit, uc_enable)

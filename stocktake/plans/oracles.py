@@ -6,7 +6,7 @@ test tables. Wide column lists are generated by rule (positions, dimensions).
 
 from __future__ import annotations
 
-from ..fixed_values import ENDPOINTS, SUMMARY_FIXED
+from ..fixed_values import ENDPOINTS, KEEP_FIELDS, SUMMARY_FIXED
 from .queries import ALLOWLIST, CATALOG_LIMIT, EMBEDDING_DIM, MAX_LINE_POSITIONS, NESTED_LINE_FIELDS, SCHEMA_LIMIT
 
 _INT_FIELDS = {"l_linenumber"}
@@ -58,6 +58,18 @@ SELECT l.category AS "Category", l.object AS "Object", CAST(c.cnt AS BIGINT) AS
 FROM counts c JOIN labels l ON c.key = l.key"""
 
 
+def _keep_lists_sql() -> str:
+    parts = []
+    for key, fields in KEEP_FIELDS.items():
+        own = [f for f in fields if not f.startswith("_")]
+        cells = [(f.strip("_"), "bigint", f"SUM(o_orderkey + {i})", "NULL") for i, f in enumerate(own)]
+        cells += [("left_over", "string", "SUM(o_custkey)", "NULL"),
+                  ("inside_json", "string", "NULL", """MIN('{"o_orderstatus":"' || o_orderstatus || '"}')""")]
+        parts += [f"SELECT '{key}' AS endpoint, '{f}' AS field, '{t}' AS type, COUNT(*) AS n, CAST({total} AS BIGINT) AS total, "
+                  f"CAST({text} AS VARCHAR) AS json FROM orders" for f, t, total, text in cells]
+    return " UNION ALL ".join(parts)
+
+
 def _nested_orders_sql() -> str:
     order = ", ".join(NESTED_LINE_FIELDS)
     cols = []
@@ -240,6 +252,20 @@ SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total_value FROM event
     "stream_retype": """
 SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS amount, '2024-01' AS month FROM orders
 UNION ALL SELECT o_orderkey, o_custkey + 0.5, '2024-02' FROM orders""",
+    "nameless_parents": """
+SELECT s_suppkey, n_name AS endpoint_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 5 > 1""",
+    "keep_lists": _keep_lists_sql(),
+    "disabled_endpoints": f"""SELECT * FROM ({_summary_sql()}) WHERE NOT ("Category" = 'Auto' AND "Object" IN ('Job', 'Repo'))""",
+    "summary_order": f"""
+SELECT row_number() OVER (ORDER BY "Category", "Object") AS place, "Category", "Object" FROM ({_summary_sql()})""",
+    "empty_records": "SELECT CAST(NULL AS VARCHAR) AS _empty, 'ws' AS _workspace, o_orderkey FROM orders",
+    "stream_callback": """
+SELECT 'registered_model' AS key, COUNT(*) AS n, 1 AS workspaces FROM part
+UNION ALL SELECT 'vector_search_endpoint', COUNT(*), 1 FROM nation
+UNION ALL SELECT 'vector_search_index', COUNT(*), 1 FROM supplier
+UNION ALL SELECT 'catalog', COUNT(*), 1 FROM region
+UNION ALL SELECT 'schema', COUNT(*), 1 FROM nation
+UNION ALL SELECT 'table', COUNT(*), 1 FROM customer""",
     "names_over_runs": """
 SELECT o_orderkey, o_custkey AS cust_key, CAST(NULL AS VARCHAR) AS cust_key__1, '2024-01' AS month FROM orders
 UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority, '2024-02' FROM orders""",

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import SCHEMA_KEY
+from ..fixed_values import INJECTED_CHILD_FIELD, KEEP_FIELDS, SCHEMA_KEY
 from ..functions.joins import checkpoint_once, spread
 from ..functions.names import clean_name, with_suffix
 from ..functions.ranking import rank_in_group
@@ -22,7 +22,7 @@ from ..operators.hierarchy import child_rows, count_types, select_catalogs, sele
 from ..operators.history import object_history
 from ..operators.shape import shape_records
 from ..operators.snapshots import snapshot_diff
-from ..operators.summary import count_rows, grand_totals, merge_counts
+from ..operators.summary import count_rows, grand_totals, merge_counts, ordered_summary
 from ..session import shared_path
 from ..sinks.tables import InventorySink, ensure_schema, match_names
 from ..sources.landing import apply_page_rules, landed_records, page_flags, unnest
@@ -198,9 +198,11 @@ def q_page_unnest(spark, d):
 def q_page_fallback(spark, d):
     """Unpaged body without the expected key -> first array-valued key's records."""
     c = _t(spark, d, "customer")
-    # one unpaged listing per block of 100 customers; the list sits under "items"
+    # one unpaged listing per block of 100 customers; the list sits under "items", and later lists, of which one
+    # comes first by name, are not read
     pages = pack_pages(c, "pipeline", "items", F.lit(1), F.struct("c_custkey", "c_name"), F.col("c_custkey"),
-                       parent=F.floor(F.col("c_custkey") / 100), extra_fields={"count": "1", "zz_empty": "[]"})
+                       parent=F.floor(F.col("c_custkey") / 100),
+                       extra_fields={"count": "1", "errors": '[{"c_custkey":-1,"c_name":"wrong list"}]', "zz_empty": "[]"})
     reg = resolved_registry(spark)
     recs = landed_records(landed(pages), reg)
     return recs.select(F.try_variant_get("rec", "$.c_custkey", "bigint").alias("c_custkey"),
@@ -363,6 +365,40 @@ def q_merge_counts(spark, d):
     return merge_counts(left, right)
 
 
+def q_nameless_parents(spark, d):
+    """children are listed for parents with a name only; some nations have none, or an empty one."""
+    n, sup = _t(spark, d, "nation"), _t(spark, d, "supplier")
+    name = F.when(F.col("n_nationkey") % 5 == 0, F.lit(None)).when(F.col("n_nationkey") % 5 == 1, F.lit("")).otherwise(F.col("n_name"))
+    parents = pack_pages(n.select("n_nationkey", name.alias("name")), "vector_search_endpoint", "endpoints", F.lit(1),
+                         F.struct("name", "n_nationkey"), F.col("n_nationkey"))
+    children = pack_pages(sup.join(n.select("n_nationkey", name.alias("name")), sup.s_nationkey == n.n_nationkey), "vector_search_index",
+                          "vector_indexes", F.floor(F.col("s_suppkey") / 20) + 1, F.struct("s_suppkey"), F.col("s_suppkey"), parent=F.col("name"))
+    recs = landed_records(landed(parents), resolved_registry(spark))
+    kids = child_rows(recs, landed(children), "vector_indexes")
+    return kids.select(F.try_variant_get("rec", "$.s_suppkey", "bigint").alias("s_suppkey"), F.col(INJECTED_CHILD_FIELD).alias("endpoint_name"))
+
+
+def q_keep_lists(spark, d):
+    """A record for every order in each of the types with a keep-list; kept scalars keep their type, others turn to text."""
+    o = _t(spark, d, "orders")
+    out, parts = None, []
+    for key, fields in KEEP_FIELDS.items():
+        own = [f for f in fields if not f.startswith("_")]
+        parts.append(o.select(F.lit(key).alias("endpoint"), as_record(
+            *[(F.col("o_orderkey") + i).alias(f) for i, f in enumerate(own)], F.col("o_custkey").alias("left_over"),
+            F.struct("o_orderstatus").alias("inside")).alias("rec")))
+    recs = parts[0]
+    for p in parts[1:]:
+        recs = recs.unionByName(p)
+    for (key,), df in sorted(shape_records(checkpoint_once(recs, by=["endpoint"]), keep=True, provenance=False).items()):
+        cells = [F.struct(F.lit(name).alias("field"), F.lit(t).alias("type"), F.col(f"`{name}`").cast("string").alias("value")) for name, t in df.dtypes]
+        rows = df.select(F.explode(F.array(*cells)).alias("c")).select(F.lit(key).alias("endpoint"), "c.*")
+        out = rows if out is None else out.unionByName(rows)
+    number = F.when(F.col("field") != "inside_json", F.col("value").cast("bigint"))
+    return out.groupBy("endpoint", "field", "type").agg(F.count("value").alias("n"), F.sum(number).alias("total"),
+                                                        F.min(F.when(F.col("field") == "inside_json", F.col("value"))).alias("json"))
+
+
 def q_name_patterns(spark, d):
     """names containing any include pattern and no exclude pattern."""
     p = _t(spark, d, "part")
@@ -380,6 +416,20 @@ def q_inventory_summary(spark, d):
     return inv.summary
 
 
+def q_disabled_endpoints(spark, d):
+    """F1/R2: two endpoints switched off are neither read nor counted."""
+    inv = build_inventory(spark, scenario.landing(spark, d), mounts=scenario.mounts(spark, d), shape=False,
+                          enabled={"job": False, "repo": False, "group": True})
+    return inv.summary
+
+
+def q_summary_order(spark, d):
+    """The summary in its order, by category and object."""
+    inv = build_inventory(spark, scenario.landing(spark, d), mounts=scenario.mounts(spark, d), shape=False)
+    at = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # one row an object type
+    return ordered_summary(inv.summary).select(at.cast("bigint").alias("place"), "Category", "Object")
+
+
 def q_grand_totals(spark, d):
     """A5: object types and records over every dataset of the inventory (children, catalog scan, mounts)."""
     inv = build_inventory(spark, scenario.landing(spark, d), mounts=scenario.mounts(spark, d), shape=False)
@@ -535,6 +585,30 @@ def q_retype_large_ints(spark, d):
     return raw.select("o_orderkey", F.col("amount").cast("string").alias("amount"), F.date_format("_collected_at", "yyyy-MM").alias("month"))
 
 
+def q_empty_records(spark, d):
+    """A listing of records that hold nothing leaves a table without rows, which later records widen."""
+    o = _t(spark, d, "orders")
+    sink = _stream_sink(spark)
+    listed = lambda rec: o.select(F.lit("repo").alias("endpoint"), F.lit("ws").alias("workspace"), rec.alias("rec"),
+                                  F.lit("2024-01-01 00:00:00").cast("timestamp").alias("collected_at"))
+    for rec in (F.parse_json(F.lit("{}")), as_record("o_orderkey")):
+        sink.write_raw("repo", shape_records(checkpoint_once(listed(rec)), keep=True, names=sink.stored_names())[("repo",)])
+    return spark.table(sink.table("repo")).select("_empty", "_workspace", "o_orderkey")
+
+
+def q_stream_callback(spark, d):
+    """A caller's function gets every dataset of every evaluated drain, children and catalog scan included."""
+    pages = scenario.landing(spark, d).where(F.col("endpoint").isin("registered_model", "vector_search_endpoint", "vector_search_index",
+                                                                     "catalog", SCHEMA_KEY, "table"))
+    out = shared_path(spark, "callback")
+
+    def keep(key, df):
+        df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_workspace").alias("workspaces")).withColumn("key", F.lit(key)).write.mode("append").parquet(out)
+
+    stream_inventory(spark, _page_files(spark, pages), shared_path(spark, "stream-checkpoint"), _stream_sink(spark), fn=keep)
+    return spark.read.schema("n long, workspaces long, key string").parquet(out)
+
+
 def q_object_history(spark, d):
     """Orders over three appended runs as validity intervals: changed, gone for a run, back again, new."""
     o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit("ws").alias("_workspace"))
@@ -590,7 +664,13 @@ QUERIES = {
     "topn_per_group": q_topn_per_group,
     "type_counts": q_type_counts,
     "merge_counts": q_merge_counts,
+    "nameless_parents": q_nameless_parents,
+    "keep_lists": q_keep_lists,
     "name_patterns": q_name_patterns,
+    "disabled_endpoints": q_disabled_endpoints,
+    "summary_order": q_summary_order,
+    "empty_records": q_empty_records,
+    "stream_callback": q_stream_callback,
     "grand_totals": q_grand_totals,
     "raw_cluster": q_raw_cluster,
     "raw_job": q_raw_job,

@@ -122,7 +122,8 @@ def landing(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataF
     # Landed once as parquet in the shared folder, partitioned by endpoint like a real
     # landing: later jobs read columnar files and endpoint filters prune whole folders.
     path = shared_path(spark, "landing")
-    out.write.mode("overwrite").partitionBy("endpoint").parquet(path)
+    # Files of few pages each: parsing JSON takes far longer than reading it, so it needs more tasks than bytes tell.
+    out.write.mode("overwrite").option("maxRecordsPerFile", 200).partitionBy("endpoint").parquet(path)
     _LANDED[key] = path
     return read_pages(spark, path)
 

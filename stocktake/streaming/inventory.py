@@ -72,7 +72,7 @@ def evaluate(spark: SparkSession, store: str, sink: InventorySink, fn: Callable[
     prefix = options.get("prefix", "")
     inv = build_inventory(spark, pages.where(F.col(UNIT_COL).isin(units)).drop("batch", UNIT_COL), names=sink.stored_names(), **options)
     unit = unit_of(F.col("collected_at"), F.col("workspace"))
-    counts = inv.records.groupBy(F.col("endpoint").alias("key"), unit.alias(UNIT_COL)).agg(F.count(F.lit(1)).alias("count"))
+    counts = inv.listed.groupBy(F.col("endpoint").alias("key"), unit.alias(UNIT_COL)).agg(F.sum("_n").alias("count"))
     if inv.scan:
         counts = counts.unionByName(uc_counters(*inv.scan, by=unit).withColumnRenamed("group", UNIT_COL))
     counts = checkpoint_once(counts.select("key", F.col("count").cast("long").alias("count"), UNIT_COL))

@@ -44,25 +44,20 @@ def process_batch(pages: DataFrame, batch_id: int, sink: InventorySink | None,
     reg = resolved_registry(spark, prefix, **(registry_options or {}))
     children = [r["key"] for r in reg.where("parent_key IS NOT NULL").select("key").collect()]
     children += [SCHEMA_KEY, TABLE_KEY, prefix + SCHEMA_KEY, prefix + TABLE_KEY]
-    pages = pages.persist()
-    try:
-        if not pages.where(F.col("endpoint").isin(children)).isEmpty():
-            raise ValueError("pages of child listings: use streaming.inventory.stream_inventory")
-        # the micro-batch is persisted: its page bounds need no checkpoint of their own
-        recs = landed_records(pages, reg.where("parent_key IS NULL"), policy, checkpoint=False)
-        found: dict = {}
-        written = {}
-        names = sink.stored_names() if sink is not None else None
-        for (key,), df in shape_records(recs, keep=True, prefix=prefix, counts_out=found, names=names).items():
-            if fn is not None:
-                fn(key, df)                        # user callback per dataset (K11)
-            if sink is not None:
-                sink.write_raw(key, df, mode="append", batch_id=batch_id,
-                               known_nonempty=found.get((key,), 0) > 0)
-            written[key] = found.get((key,), 0)
-        return written
-    finally:
-        pages.unpersist()
+    if not pages.where(F.col("endpoint").isin(children)).isEmpty():
+        raise ValueError("pages of child listings: use streaming.inventory.stream_inventory")
+    recs = landed_records(pages, reg.where("parent_key IS NULL"), policy)
+    found: dict = {}
+    written = {}
+    names = sink.stored_names() if sink is not None else None
+    for (key,), df in shape_records(recs, keep=True, prefix=prefix, counts_out=found, names=names).items():
+        if fn is not None:
+            fn(key, df)                        # user callback per dataset (K11)
+        if sink is not None:
+            sink.write_raw(key, df, mode="append", batch_id=batch_id,
+                           known_nonempty=found.get((key,), 0) > 0)
+        written[key] = found.get((key,), 0)
+    return written
 
 
 def stream_raw(spark: SparkSession, landing_dir: str, checkpoint_location: str, sink: InventorySink | None = None,
