@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from stocktake.functions.names import quote_ident
 from stocktake.llm.common import stored
 
 
@@ -76,7 +77,9 @@ def uniform_shards(rows: DataFrame, shards: int = 40, seed: int = 20240229, rows
     any column are carried along. Columns named shard or slot are replaced.
     """
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot", "part__", "rank__")
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    # inside, the columns go by number, so that none clashes with the operator's own
+    rows = rows.select(*[F.col(quote_ident(c)).alias(f"c{i}") for i, c in enumerate(names)])
     schema = StructType([*rows.schema.fields, StructField("part__", LongType()), StructField("rank__", LongType())])
 
     def permute(batches):
@@ -108,7 +111,7 @@ def uniform_shards(rows: DataFrame, shards: int = 40, seed: int = 20240229, rows
     offsets = sizes.select("shard", "bucket__", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before__"))
     w = Window.partitionBy("shard", "bucket__").orderBy("key__", "part__", "rank__")
     out = dealt.withColumn("n__", F.row_number().over(w)).join(offsets, ["shard", "bucket__"])
-    return out.select(*rows.columns, "shard", (F.col("n__") - 1 + F.col("before__")).alias("slot"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "shard", (F.col("n__") - 1 + F.col("before__")).alias("slot"))
 
 
 def document_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
