@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from stocktake.llm.common import append_columns
-from stocktake.session import shared_path
+from stocktake.llm.common import append_columns, stored
+from stocktake.session import ensure_checkpoint_dir
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Segments a worker remembers; the memory is emptied when full, which changes no count.
@@ -84,22 +84,24 @@ def tokenizer_digest(model_path: str) -> str:
 class TokenCountCache:
     """A Parquet table of counts in a shared folder, appended to by every run.
 
-    ``normalise`` is applied to the text before the digest and before encoding; the default keeps
+    The folder stays the same from run to run: ``path``, or one under the cluster's checkpoint folder. ``normalise`` is applied to the text before the digest and before encoding; the default keeps
     every character (null: empty text), so the counts are the library's own.
     """
 
     def __init__(self, spark: SparkSession, model_path: str, path: str | None = None, normalise=None):
         self.spark, self.model_path = spark, model_path
-        self.path = path or shared_path(spark, "llm", "token-cache")
+        self.path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/token-counts"
         self.normalise = normalise or (lambda text: F.coalesce(text.cast("string"), F.lit("")))
         self.tokenizer = tokenizer_digest(model_path)
         self.by_segment = splits_at_spaces(_model(model_path))
 
+    def exists(self) -> bool:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+
     def counts(self) -> DataFrame:
         """What is stored for this tokenizer; one row a digest even if runs overlapped."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        cache = self.spark.read.schema(CACHE_SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], CACHE_SCHEMA)
+        cache = self.spark.read.schema(CACHE_SCHEMA).parquet(self.path) if self.exists() else self.spark.createDataFrame([], CACHE_SCHEMA)
         return cache.where(F.col("tokenizer") == self.tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def _digest(self, text: Column) -> Column:
@@ -108,16 +110,24 @@ class TokenCountCache:
     def count(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
         """One row a document: id, UTF-8 bytes, tokens, and whether they exceed ``limit``.
 
-        Distinct contents without a stored count are encoded once and appended. The texts travel
-        once, to meet their copies; a content that a third of all rows share is combined on the
-        map side. Null ids and repeated rows are counted like any row; an empty table gives none.
+        Distinct contents without a stored count are encoded once and appended. Digests are looked up first;
+        only the texts of missing ones travel, once, to meet their copies, and none if all are stored. A
+        content that a third of all rows share is combined on the map side. Null ids and repeated rows are counted like any row; an empty table gives none.
         """
         seen = docs.select(F.col(id_col).alias("doc_id"), self._digest(F.col(text_col)).alias("digest"),
                            F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"))
         texts = docs.select(self._digest(F.col(text_col)).alias("digest"), self.normalise(F.col(text_col)).alias("text"))
-        misses = texts.groupBy("digest").agg(F.min("text").alias("text")).join(self.counts(), "digest", "left_anti")
+        if self.exists():
+            missing = stored(seen.select("digest").distinct().join(self.counts(), "digest", "left_anti"), "missing-digests")
+            if missing.isEmpty():
+                return self._joined(seen, limit)
+            texts = texts.join(missing, "digest", "left_semi")
+        misses = texts.groupBy("digest").agg(F.min("text").alias("text"))
         fresh = append_columns(misses, "text", [StructField("n_tokens", LongType())],
                                _counter(self.model_path, self.by_segment), keep=["digest"])
         fresh.select("digest", F.lit(self.tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(self.path)
+        return self._joined(seen, limit)
+
+    def _joined(self, seen: DataFrame, limit: int) -> DataFrame:
         out = seen.join(self.counts(), "digest")
         return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

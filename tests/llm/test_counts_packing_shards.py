@@ -26,6 +26,20 @@ def test_counts_are_the_librarys_and_are_stored(spark, docs, texts, none):
     assert cache.count(none).count() == 0
 
 
+def test_a_second_cache_finds_the_first_ones_counts(spark, docs, texts, none, monkeypatch):
+    first = token_cache.TokenCountCache(spark, PIECES)
+    first.count(docs).collect()
+    before = spark.read.parquet(first.path).count()
+    second = token_cache.TokenCountCache(spark, PIECES)
+    assert second.path == first.path
+    with monkeypatch.context() as m:  # nothing is missing, so nothing is encoded
+        m.setattr(token_cache, "append_columns", None)
+        assert second.count(docs).count() == len(texts)
+    more = spark.createDataFrame([(1, "a text of its own"), (2, texts[0][1]), (3, "a text of its own")], "doc_id long, text string")
+    assert second.count(more).count() == 3
+    assert spark.read.parquet(first.path).count() == before + 1
+
+
 def test_packing_is_a_partition_of_all_ids(docs, texts, none):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(WORDS)
