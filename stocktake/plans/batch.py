@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import (INJECTED_CHILD_FIELD, INJECTED_TABLE_FIELDS, MOUNT_FIELD, MOUNTS_KEY,
                             SCHEMA_KEY, TABLE_KEY)
+from ..functions.parallel import each
 from ..operators.hierarchy import catalog_scan, child_listings, child_records
 from ..operators.shape import add_provenance, shape_records
 from ..operators.summary import build_summary, ordered_summary
@@ -133,8 +134,7 @@ def run_batch(spark: SparkSession, pages: DataFrame, sink: InventorySink, drop_f
     if drop_first:
         drop_matching(spark, sink.schema, sink.catalog, raw_prefix=sink.raw_prefix)
     inv = build_inventory(spark, pages, names=sink.stored_names(), **options)
-    for key, df in inv.raw.items():
-        sink.write_raw(key, df, known_nonempty=inv.found.get(key, 0) > 0)
+    each(inv.raw.items(), lambda table: sink.write_raw(*table, known_nonempty=inv.found.get(table[0], 0) > 0))
     sink.write_summary(inv.summary)
     return ordered_summary(spark.table(sink.table("workspace_scan_summary", raw=False)))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import COLLECTED_AT, COUNTER_KEYS, MOUNTS_KEY, SCHEMA_KEY, TABLE_KEY, WORKSPACE
 from ..functions.joins import checkpoint_once
+from ..functions.parallel import each
 from ..operators.hierarchy import uc_counters
 from ..operators.summary import build_summary, ordered_summary
 from ..plans.batch import build_inventory, counted_keys, mount_count, rename_single
@@ -82,13 +83,18 @@ def evaluate(spark: SparkSession, store: str, sink: InventorySink, fn: Callable[
     held[prefix + SCHEMA_KEY], held[prefix + TABLE_KEY] = held.get("uc_schemas", set()), held.get("uc_tables", set())
 
     keys = [r["key"] for r in resolved_registry(spark, prefix).select("key").collect()]
-    for key in [*keys, prefix + SCHEMA_KEY, prefix + TABLE_KEY]:
-        df = inv.raw.get(key) if held.get(key) else None
+    every = [*keys, prefix + SCHEMA_KEY, prefix + TABLE_KEY]
+    raw = {key: inv.raw[key] for key in every if held.get(key) and key in inv.raw}
+    for key, df in raw.items() if fn is not None else ():
+        fn(key, df)
+
+    def write(key: str) -> None:
+        df = raw.get(key)
         if df is not None:
-            if fn is not None:
-                fn(key, df)
             df = df.withColumn(UNIT_COL, unit_of(F.col(COLLECTED_AT), F.col(WORKSPACE)))
         sink.write_units(sink.table(key), df, units, held.get(key, set()))
+
+    each(every, write)
     sink.write_units(sink.table(COUNTS_TABLE, raw=False), counts, units, set().union(*held.values()))
     spark.createDataFrame([(newest,)], "batch long").coalesce(1).write.mode("append").parquet(marks)
     return units

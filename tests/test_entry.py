@@ -16,7 +16,8 @@ FAST = ["flatten_props", "flatten_long_leaves", "json_keep_list", "safe_names",
         "page_cap", "page_unnest", "child_rows", "hierarchy_counts", "allowlist_topn", "topn_per_group",
         "type_counts", "merge_counts", "name_patterns", "snapshot_diff", "evolve_append", "page_fallback", "page_object",
         "page_scalars", "multi_workspace_scan", "multi_workspace_children", "recollected_listing", "raw_tables", "grand_totals",
-        "raw_job", "raw_cluster", "stream_raw_tables"]
+        "raw_job", "raw_cluster", "stream_raw_tables", "object_history", "nameless_parents", "keep_lists", "empty_records",
+        "disabled_endpoints", "summary_order", "names_over_runs", "stream_callback"]
 ALL = list(QUERIES)
 SELECTED = ALL if os.environ.get("STOCKTAKE_ALL_QUERIES") else FAST
 
