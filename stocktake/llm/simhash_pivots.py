@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stocktake.llm.common import append_columns, stored
+from stocktake.llm.common import append_columns, free_name, stored
 from stocktake.llm.components import components
 from stocktake.llm.words import mix
 
@@ -153,13 +153,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     split otherwise, as executors come and go. Of rows that share the smallest id one stays. Only the
     places of the rows that go are joined back.
     """
-    place, key = "place__", "id__"
+    place, key = free_name(docs, "place__"), "id__"
     placed = stored(docs.withColumn(place, F.monotonically_increasing_id()), "placed-documents")
-    prints = stored(with_fingerprints(placed.select(place, F.col(id_col).cast("long").alias(key), F.col(text_col).cast("string").alias("text")),
-                                      "text", words, [place, key]), "document-prints")
-    named = groups(prints, place, max_bits).select("fp", F.col("component_id").alias("group__"))
-    grouped = stored(prints.join(named, "fp").select(place, key, "group__"), "document-groups")
-    first = grouped.groupBy("group__").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col(place)))[place].alias("first__"))
-    gone = grouped.join(first, "group__").where(F.col(place) != F.col("first__")).select(place)
-    # the rows that go grow with the input, so they are never broadcast; the hash join leaves the texts unsorted
+    narrow = placed.select(F.col(place).alias("place__"), F.col(id_col).cast("long").alias(key), F.col(text_col).cast("string").alias("text"))
+    prints = stored(with_fingerprints(narrow, "text", words, ["place__", key]), "document-prints")
+    # the row that stays: the smallest of each fingerprint, then of each group; both sums are combined on the map side
+    row = F.struct(F.col(key).isNull().alias("null_id"), F.col(key).alias("id"), F.col("place__").alias("place"))
+    lowest = prints.groupBy("fp").agg(F.min(row).alias("row"))
+    member = groups(prints, "place__", max_bits).select("fp", "component_id")
+    stays = lowest.join(member, "fp").groupBy("component_id").agg(F.min("row").alias("row")).select(F.col("row.place").alias("place__"))
+    gone = prints.select("place__").join(stays.hint("shuffle_hash"), "place__", "left_anti").select(F.col("place__").alias(place))
+    # the rows that go grow with the input, so they are never broadcast; the hash join leaves the texts unsorted, and no
+    # step joins documents on their fingerprint or group, which a third of them may share
     return placed.join(gone.hint("shuffle_hash"), place, "left_anti").select(*docs.columns)
