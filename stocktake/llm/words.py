@@ -23,7 +23,7 @@ PIECE = 4 << 20
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, PIECE + 1)
+        size = 1 << max(16, (n - 1).bit_length())
         for key, base in (("p", BASE), ("i", INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
@@ -69,12 +69,12 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(texts: pa.Array):
-    """(first text, bytes, offsets) of runs of whole texts of about PIECE bytes."""
+def pieces(texts: pa.Array, size: int = PIECE):
+    """(first text, bytes, offsets) of runs of whole texts of about ``size`` bytes."""
     data, offsets = bytes_of(texts)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end
 
