@@ -31,9 +31,42 @@ NOTICES = [
      "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
      "option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
      "that the following conditions are met."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+     "option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+     "your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+     "option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+     "option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+     "that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+     "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+     "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+     "the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+     "that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+     "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+     "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+     "the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+     "or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights "
+     "to this software to the public domain worldwide."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+     "purpose, commercial or non-commercial, and by any means."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+     "2.0 which is available at"),
 ]
 
 MATCH = StructType([StructField("doc_id", LongType()), StructField("license", StringType()), StructField("template", LongType()),
@@ -200,15 +233,28 @@ def _retrieved(w: Width, shingle: np.ndarray, doc: np.ndarray):
         yield run[0], run[1], run[2]
 
 
+def best_of(matches: list[tuple], sizes: list[int]) -> list[tuple]:
+    """Of the matches (text, template, containment, first word, last word) that lie on one place, the one of highest
+    containment (ties: the larger template, then its number): two lie on one place if they share more than half of
+    the shorter one's words."""
+    kept: list[tuple] = []
+    for m in sorted(matches, key=lambda m: (-m[2], -sizes[m[1]], m[1], m[3])):
+        shared = ((min(m[4], k[4]) - max(m[3], k[3]) + 1, min(m[4] - m[3], k[4] - k[3]) + 1) for k in kept if k[0] == m[0])
+        if not any(2 * both > shorter for both, shorter in shared):
+            kept.append(m)
+    return kept
+
+
 def scan(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, threshold: float = 0.8, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", best: bool = False) -> DataFrame:
     """One row for each license text found: doc_id, license, template (its number), containment (share of
     the template's five-word shingles), first_word and last_word (of the text's words, from 0).
 
     Words are runs of letters and digits in lower case. Overlapping windows as wide as the template
     are retrieved by MinHash bands whose number makes a miss less likely than 0.1 %, and every
     retrieved region is verified exactly; regions that touch are one. A text that repeats a license
-    in several places has a row for each. Null and empty texts have no rows, nor do empty templates;
+    in several places has a row for each. ``best`` names each place by one template only (``best_of``), so that
+    versions and variants of a license aren't taken for each other. Null and empty texts have no rows, nor do empty templates;
     null ids are carried. A narrow map: templates are a parameter, and nothing is shuffled.
     """
     library = docs.sparkSession.sparkContext.broadcast(Library(notices, threshold))
@@ -219,7 +265,13 @@ def scan(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, threshol
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for first, _, word, doc in hashed(text_array(batch, "text")):
-                out += [(ids[first + d], lib.names[t], t, share, a, z) for d, t, share, a, z in lib.matches(word, doc)]
+                matches = list(lib.matches(word, doc))
+                if best and len(matches) > 1:
+                    by_text: dict[int, list[tuple]] = {}
+                    for m in matches:
+                        by_text.setdefault(m[0], []).append(m)
+                    matches = [m for own in by_text.values() for m in best_of(own, [len(x) for x in lib.sets])]
+                out += [(ids[first + d], lib.names[t], t, share, a, z) for d, t, share, a, z in matches]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), (
                     pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], MATCH.fieldNames())

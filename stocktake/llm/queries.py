@@ -35,8 +35,8 @@ def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in all documents."""
-    return license_scan.scan(load(spark, sf_dir, "documents"))
+    """License notices in all documents, each place by the template it holds most of."""
+    return license_scan.scan(load(spark, sf_dir, "documents"), best=True)
 
 
 def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
