@@ -8,7 +8,7 @@ same listing; the last page of a listing has none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import TOKEN_FIELD
@@ -21,34 +21,40 @@ def pack_pages(df: DataFrame, endpoint: str, list_key: str | None, page_no: Colu
                order: Column, parent: Column | None = None, workspace: Column | str = "ws-main",
                status: Column | None = None, html: Column | None = None, token: bool = True,
                end_here: Column | None = None, extra_fields: dict[str, str] | None = None,
-               collected_at: str = DEFAULT_TS) -> DataFrame:
+               collected_at: str = DEFAULT_TS, by_listing: bool = False) -> DataFrame:
     """Group records into envelopes ``{list_key: [...], next_page_token?}``.
 
     ``status`` / ``html`` / ``end_here`` are aggregated over a page's records (a max)
     and mark it failed, give it a non-JSON body, or drop its token although later
     pages exist. ``extra_fields`` adds envelope fields (JSON text values).
     ``list_key=None`` lands each record as the page body itself (object listings).
+    ``by_listing`` is for many short listings: each is packed by one task, in one exchange and without a join.
     """
     ws = F.lit(workspace) if isinstance(workspace, str) else workspace
     par = parent if parent is not None else F.lit(None).cast("string")
-    # Records travel as structs through the page shuffle; the JSON text of a whole page
-    # is made once after it, by all post-shuffle tasks.
-    src = df.select(ws.alias("workspace"), par.cast("string").alias("parent"), page_no.cast("int").alias("page_no"),
-                    order.alias("_o"), record.alias("_r"),
-                    (status if status is not None else F.lit(200)).alias("_st"),
-                    (html if html is not None else F.lit(False)).alias("_html"),
-                    (end_here if end_here is not None else F.lit(False)).alias("_end"))
+    # The table's own columns travel through one page shuffle; records, their order and the JSON text of a whole
+    # page are made after it, so no record is sorted or sent beside its order columns.
+    keyed = df.select("*", ws.alias("_pw"), par.cast("string").alias("_pp"), page_no.cast("int").alias("_pn"))
+    listing = [c for c, given in (("_pw", not isinstance(workspace, str)), ("_pp", parent is not None)) if given]
+    src = keyed.repartition(*(listing if by_listing and listing else [*listing, "_pn"])).select(
+        F.col("_pw").alias("workspace"), F.col("_pp").alias("parent"), F.col("_pn").alias("page_no"),
+        order.alias("_o"), record.alias("_r"),
+        (status if status is not None else F.lit(200)).alias("_st"),
+        (html if html is not None else F.lit(False)).alias("_html"),
+        (end_here if end_here is not None else F.lit(False)).alias("_end"))
     aggs = [F.sort_array(F.collect_list(F.struct(F.col("_o"), F.col("_r")))).alias("_rs"),
             F.max("_st").alias("status"), F.max(F.col("_html").cast("int")).alias("_html"),
             F.max(F.col("_end").cast("int")).alias("_end")]
     pages = src.groupBy("workspace", "parent", "page_no").agg(*aggs)
-    if parent is None and isinstance(workspace, str):
+    if not listing:
         # a single listing: its last page is one number
-        last_no = src.agg(F.max("page_no")).first()[0]
+        last_no = keyed.agg(F.max("_pn")).first()[0]
         pages = pages.withColumn("_last", F.lit(last_no))
+    elif by_listing:
+        pages = pages.withColumn("_last", F.max("page_no").over(Window.partitionBy("workspace", "parent")))
     else:
-        last = src.groupBy(F.col("workspace").alias("_w"), F.col("parent").alias("_p")) \
-                  .agg(F.max("page_no").alias("_last"))
+        last = keyed.groupBy(F.col("_pw").alias("_w"), F.col("_pp").alias("_p")) \
+                    .agg(F.max("_pn").alias("_last"))
         on = (pages["workspace"].eqNullSafe(last["_w"])) & (pages["parent"].eqNullSafe(last["_p"]))
         pages = join_checked(pages, last, on)
     records = F.transform("_rs", lambda x: x["_r"])

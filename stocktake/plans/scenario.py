@@ -21,10 +21,13 @@ Each table plays one API listing, so the inventory's work grows with the tables:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import SCHEMA_KEY, TABLE_KEY
+from ..functions.parallel import each
 from ..session import shared_path
 from ..sources.landing import read_pages
 from .landing_builders import pack_pages
@@ -45,24 +48,48 @@ def table_type_of(segment) -> F.Column:
             .otherwise(F.lit("MATERIALIZED_VIEW")))
 
 
-_LANDED: dict[tuple, str] = {}
+#: Folder of each session and table folder, and the endpoints that lie there.
+_LANDED: dict[tuple, tuple[str, set[str]]] = {}
+
+
+def landing(spark: SparkSession, sf_dir: str, materialize: bool = True, endpoints: list[str] | None = None) -> DataFrame:
+    """The derived landing (of ``endpoints``; all by default); each endpoint is written once per session and table folder,
+    then re-read."""
+    build = _listings(spark, sf_dir)
+    wanted = list(endpoints or build)
+    if not materialize:
+        out = None
+        for endpoint in wanted:
+            out = build[endpoint]() if out is None else out.unionByName(build[endpoint]())
+        return out
+    # Landed once as parquet in the shared folder, partitioned by endpoint like a real landing: later jobs read
+    # columnar files and endpoint filters prune whole folders. Each endpoint is a write of its own, so pages are not
+    # sorted by endpoint first.
+    path, there = _LANDED.setdefault((spark.sparkContext.applicationId, sf_dir), (shared_path(spark, "landing"), set()))
 
+    def land(endpoint: str) -> None:
+        # Files of few pages each: parsing JSON takes far longer than reading it, so it needs more tasks than bytes tell.
+        build[endpoint]().drop("endpoint").write.mode("overwrite").option("maxRecordsPerFile", 200).parquet(
+            f"{path}/endpoint={endpoint}")
+        there.add(endpoint)
 
-def landing(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """The derived landing; written once per session and table folder, then re-read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if materialize and key in _LANDED:
-        return read_pages(spark, _LANDED[key])
+    each([e for e in wanted if e not in there], land)
+    pages = read_pages(spark, path)
+    return pages if endpoints is None else pages.where(F.col("endpoint").isin(wanted))
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
+    """The pages of each endpoint, as functions: only what is landed is planned and read."""
     t = lambda n: read_table(spark, sf_dir, n)
     orders, lineitem, customer, part = t("orders"), t("lineitem"), t("customer"), t("part")
     events, supplier, nation, region = t("events"), t("supplier"), t("nation"), t("region")
 
-    jobs = pack_pages(orders, "job", "jobs", F.floor(F.col("o_orderkey") / 100) + 1,
+    jobs = lambda: pack_pages(orders, "job", "jobs", F.floor(F.col("o_orderkey") / 100) + 1,
                       F.struct(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("creator_user_name"),
                                F.col("o_orderdate").cast("string").alias("created_time"),
                                F.struct("o_orderstatus", "o_totalprice", "o_orderpriority").alias("settings")),
                       F.col("o_orderkey"))
-    clusters = pack_pages(lineitem, "cluster", "clusters", F.floor(F.col("l_orderkey") / 125) + 1,
+    clusters = lambda: pack_pages(lineitem, "cluster", "clusters", F.floor(F.col("l_orderkey") / 125) + 1,
                           F.struct(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
                                    .alias("cluster_id"), F.col("l_quantity").alias("num_workers"),
                                    F.col("l_returnflag").alias("state"), F.col("l_linestatus").alias("cluster_source"),
@@ -70,62 +97,51 @@ def landing(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataF
                                    F.struct(F.col("l_partkey"), F.col("l_suppkey")).alias("spark_conf")),
                           F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                    "l_extendedprice"))
-    repos = pack_pages(customer, "repo", "repos", F.floor(F.col("c_custkey") / 100) + 1,
+    repos = lambda: pack_pages(customer, "repo", "repos", F.floor(F.col("c_custkey") / 100) + 1,
                        F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("path"),
                                 F.col("c_mktsegment").alias("branch"), F.col("c_acctbal").alias("head_commit_id")),
                        F.col("c_custkey"))
-    models = pack_pages(part, "registered_model", "registered_models", F.floor(F.col("p_partkey") / 100) + 1,
+    models = lambda: pack_pages(part, "registered_model", "registered_models", F.floor(F.col("p_partkey") / 100) + 1,
                         F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
                                  F.col("p_brand").alias("user_id"), F.col("p_size"), F.col("p_retailprice"),
                                  F.array(F.col("p_type")).alias("tags")),
                         F.col("p_partkey"))
-    dashboards = pack_pages(events, "dashboard", "dashboards", F.floor(F.col("event_id") / 100) + 1,
+    dashboards = lambda: pack_pages(events, "dashboard", "dashboards", F.floor(F.col("event_id") / 100) + 1,
                             F.struct(F.col("event_id").alias("dashboard_id"), "user_id", "event_type", "value",
                                      F.from_json("props", "k bigint").alias("props")),
                             F.col("event_id"))
-    confs = pack_pages(supplier, "workspace_conf", None, F.lit(1),
+    confs = lambda: pack_pages(supplier, "workspace_conf", None, F.lit(1),
                        F.struct(F.col("s_name").alias("workspace_name"), F.col("s_nationkey").alias("region_id"),
                                 F.col("s_acctbal").alias("quota")),
                        F.col("s_suppkey"), workspace=F.col("s_name"))
-    groups = pack_pages(nation, "group", "group_names", F.col("n_regionkey") + 1, F.col("n_name"),
+    groups = lambda: pack_pages(nation, "group", "group_names", F.col("n_regionkey") + 1, F.col("n_name"),
                         F.col("n_nationkey"))
-    vs_endpoints = pack_pages(nation, "vector_search_endpoint", "endpoints", F.lit(1),
+    vs_endpoints = lambda: pack_pages(nation, "vector_search_endpoint", "endpoints", F.lit(1),
                               F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id")),
                               F.col("n_nationkey"))
     sup_nation = supplier.join(F.broadcast(nation.select("n_nationkey", "n_name")),
                                supplier.s_nationkey == nation.n_nationkey)
-    vs_indexes = pack_pages(sup_nation, "vector_search_index", "vector_indexes", F.floor(F.col("s_suppkey") / 20) + 1,
+    vs_indexes = lambda: pack_pages(sup_nation, "vector_search_index", "vector_indexes", F.floor(F.col("s_suppkey") / 20) + 1,
                             F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("index_id"),
                                      F.col("n_name").alias("endpoint_name")),
                             F.col("s_suppkey"), parent=F.col("n_name"))
-    catalogs = pack_pages(region, "catalog", "catalogs", F.lit(1),
+    catalogs = lambda: pack_pages(region, "catalog", "catalogs", F.lit(1),
                           F.struct(F.col("r_name").alias("name"), F.lit("MANAGED_CATALOG").alias("catalog_type")),
                           F.col("r_regionkey"))
     nat_reg = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-    schemas = pack_pages(nat_reg, SCHEMA_KEY, "schemas", F.lit(1), F.struct(F.col("n_name").alias("name")),
+    schemas = lambda: pack_pages(nat_reg, SCHEMA_KEY, "schemas", F.lit(1), F.struct(F.col("n_name").alias("name")),
                          F.col("n_nationkey"), parent=F.col("r_name"))
     cust_nat = (customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
                 .join(F.broadcast(region), F.col("n_regionkey") == region.r_regionkey))
-    tables = pack_pages(cust_nat, TABLE_KEY, "tables", F.floor(F.col("c_custkey") / 50) + 1,
+    tables = lambda: pack_pages(cust_nat, TABLE_KEY, "tables", F.floor(F.col("c_custkey") / 50) + 1,
                         F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("table_id"),
                                  table_type_of(F.col("c_mktsegment")).alias("table_type"),
                                  F.col("r_name").alias("catalog_name"), F.col("n_name").alias("schema_name"),
                                  F.struct(F.col("c_acctbal").alias("size")).alias("properties")),
                         F.col("c_custkey"), parent=F.concat_ws(".", "r_name", "n_name"))
-    parts = [jobs, clusters, repos, models, dashboards, confs, groups, vs_endpoints, vs_indexes, catalogs,
-             schemas, tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if not materialize:
-        return out
-    # Landed once as parquet in the shared folder, partitioned by endpoint like a real
-    # landing: later jobs read columnar files and endpoint filters prune whole folders.
-    path = shared_path(spark, "landing")
-    # Files of few pages each: parsing JSON takes far longer than reading it, so it needs more tasks than bytes tell.
-    out.write.mode("overwrite").option("maxRecordsPerFile", 200).partitionBy("endpoint").parquet(path)
-    _LANDED[key] = path
-    return read_pages(spark, path)
+    return {"job": jobs, "cluster": clusters, "repo": repos, "registered_model": models, "dashboard": dashboards,
+            "workspace_conf": confs, "group": groups, "vector_search_endpoint": vs_endpoints,
+            "vector_search_index": vs_indexes, "catalog": catalogs, SCHEMA_KEY: schemas, TABLE_KEY: tables}
 
 
 def mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
