@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import TOKEN_FIELD
 from ..functions.joins import join_checked
@@ -42,7 +43,10 @@ def pack_pages(df: DataFrame, endpoint: str, list_key: str | None, page_no: Colu
         (status if status is not None else F.lit(200)).alias("_st"),
         (html if html is not None else F.lit(False)).alias("_html"),
         (end_here if end_here is not None else F.lit(False)).alias("_end"))
-    aggs = [F.sort_array(F.collect_list(F.struct(F.col("_o"), F.col("_r")))).alias("_rs"),
+    # An order of several columns is spread out: sort_array would make a new ordering for each two nested structs it compares.
+    o = src.schema["_o"].dataType
+    keys = [F.col("_o")[f.name].alias(f"_o{i}") for i, f in enumerate(o.fields)] if isinstance(o, T.StructType) else [F.col("_o")]
+    aggs = [F.sort_array(F.collect_list(F.struct(*keys, F.col("_r")))).alias("_rs"),
             F.max("_st").alias("status"), F.max(F.col("_html").cast("int")).alias("_html"),
             F.max(F.col("_end").cast("int")).alias("_end")]
     pages = src.groupBy("workspace", "parent", "page_no").agg(*aggs)

@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 import random
 
@@ -70,3 +71,15 @@ def test_keep_lists_copies_no_row_for_its_cells(spark, tmp_path):
     got = {(r["endpoint"], r["field"]): (r["n"], r["total"], r["json"]) for r in out.collect()}
     assert got["catalog", "name"] == (3, 5, None) and got["catalog", "left_over"] == (2, 12, None)
     assert got["catalog", "inside_json"][0] == 3 and got["catalog", "inside_json"][1] is None
+
+
+def test_orders_of_several_columns_are_not_nested(spark):
+    # sort_array makes a new ordering for each two nested structs it compares, most of the time of a page
+    rows = [(o, (o * 7 + n) % 5 or None, n) for o in range(6) for n in range(20)] + [(1, 2, 3), (1, 2, 3)]
+    df = spark.createDataFrame(rows, "o long, k long, n long")
+    pages = pack_pages(df, "job", "jobs", F.col("o"), F.struct("n", "k"), F.struct("k", "n"))
+    plan = pages._jdf.queryExecution().analyzed().toString()
+    assert "sort_array(collect_list(struct(_o0" in plan
+    for p in pages.collect():
+        want = sorted(((k is not None, k or 0, n) for o, k, n in rows if o == p["page_no"]))
+        assert [(r["n"], r.get("k")) for r in json.loads(p["body"])["jobs"]] == [(n, k if has else None) for has, k, n in want]
