@@ -83,3 +83,35 @@ def test_orders_of_several_columns_are_not_nested(spark):
     for p in pages.collect():
         want = sorted(((k is not None, k or 0, n) for o, k, n in rows if o == p["page_no"]))
         assert [(r["n"], r.get("k")) for r in json.loads(p["body"])["jobs"]] == [(n, k if has else None) for has, k, n in want]
+
+
+def test_large_landings_have_larger_files(spark, monkeypatch):
+    pages = lambda n: checkpoint_once(spark.range(n, numPartitions=1).select(
+        F.lit("w").alias("workspace"), F.lit("job").alias("endpoint"), F.lit(None).cast("string").alias("parent"),
+        F.col("id").cast("int").alias("page_no"), F.lit("{}").alias("body")))
+    monkeypatch.setattr(queries, "PAGES_PER_FILE", 10)
+    monkeypatch.setattr(queries, "PAGE_FILES", 20)
+    for n, per_file in ((50, 10), (200, 10), (1000, 50)):
+        landed = pages(n)
+        assert queries._pages_per_file(landed) == per_file
+        files = spark.read.json(queries._page_files(spark, landed, per_file=queries._pages_per_file(landed)))
+        assert n // per_file <= len(files.inputFiles()) <= n // per_file + 8
+        assert sorted(r[0] for r in files.select("page_no").collect()) == list(range(n))
+
+
+def test_discovery_carries_no_record_beside_its_leaves(spark):
+    df = records(spark, [(1, '{"a":1,"b":1.25,"c":{"d":[true,null]},"":"x"}'), (2, '{"a":9007199254740993,"b":"t"}'), (3, '{}'), (4, '[{"":2}]')])
+    keep = F.when(F.col("id") < 10, F.array(F.lit("a")))
+    rows = flatten.leaf_rows(df, "rec", ["id"], 2, keep)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # the keep-list and a container's own value do not go through the second level's generators
+    generators = [line for line in plan.splitlines() if "Generate " in line]
+    assert len(generators) == 4
+    assert flatten._step(flatten._start(df, "rec", ["id"], keep), ["id"], True).columns == ["id", "_p", "_j", "_v", "_k"]
+    got = {(r["id"], r["_j"]): (r["_p"], r["_k"]) for r in rows.drop("_v").collect()}
+    assert got[1, "$['c']"] == ("c_json", "J") and got[1, "$['']"] == ("", "F") and got[1, "$['b']"] == ("b", "F")
+    assert got[1, "$['a']"] == ("a", "I") and got[4, "$[0]['']"] == ("[0].", "I") and got[3, "$"] == ("", "O")
+    plans = {c.jpath: c.type for c in flatten.discover(df, "rec")[()]}
+    assert plans["$['a']"] == "bigint" and plans["$['b']"] == "string" and plans["$['c']['d'][0]"] == "boolean"
+    numbers = records(spark, [(1, '{"a":1.25,"b":1.25}'), (2, '{"a":9007199254740993,"b":2}')])
+    assert {c.jpath: c.type for c in flatten.discover(numbers, "rec")[()]} == {"$['a']": "decimal(18,2)", "$['b']": "double"}
