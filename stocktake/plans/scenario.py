@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import SCHEMA_KEY, TABLE_KEY
+from ..functions.joins import CODEC
 from ..functions.parallel import each
 from ..session import shared_path
 from ..sources.landing import read_pages
@@ -69,7 +70,7 @@ def landing(spark: SparkSession, sf_dir: str, materialize: bool = True, endpoint
 
     def land(endpoint: str) -> None:
         # Files of few pages each: parsing JSON takes far longer than reading it, so it needs more tasks than bytes tell.
-        build[endpoint]().drop("endpoint").write.mode("overwrite").option("maxRecordsPerFile", 200).parquet(
+        build[endpoint]().drop("endpoint").write.mode("overwrite").option("maxRecordsPerFile", 200).option("compression", CODEC).parquet(
             f"{path}/endpoint={endpoint}")
         there.add(endpoint)
 

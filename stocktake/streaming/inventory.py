@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import COLLECTED_AT, COUNTER_KEYS, MOUNTS_KEY, SCHEMA_KEY, TABLE_KEY, WORKSPACE
-from ..functions.joins import checkpoint_once
+from ..functions.joins import CODEC, checkpoint_once
 from ..functions.parallel import each
 from ..operators.hierarchy import uc_counters
 from ..operators.summary import build_summary, ordered_summary
@@ -49,7 +49,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def add_pages(batch: DataFrame, batch_id: int, store: str) -> None:
     """One micro-batch's pages into the store; the same batch again replaces them."""
     (batch.withColumn(UNIT_COL, unit_of(F.col("collected_at"), F.col("workspace")))
-     .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", CODEC)
      .partitionBy(UNIT_COL, "endpoint").parquet(f"{store}/pages/batch={int(batch_id)}"))
 
 
